@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, media, packing
+from . import bitpack, media, packing, pii, secrets
 from .common import table
+from .spans import joined
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,27 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _digest(rows: DataFrame, spans: str, kinds: list[str]) -> list:
+    """Counts of the base kinds, and a digest of their spans."""
+    base = F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [*map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans")]
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_pii(table(spark, sf_dir, "documents"))
+    scores = F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return rows.select("doc_id", *_digest(rows, "pii_spans", [k.name for k in pii.KINDS if k.base]), scores)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *_digest(rows, "secret_spans", [r.name for r in secrets.RULES if r.base]))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), byte_level=False, end_id=2)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -25,5 +47,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_packing, op10_media)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op8_secrets, op10_media)}
 ORACLES: dict[str, str] = {}
