@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import materialize, scratch, shared_dir  # noqa: F401
+
 #: Text bytes that a Python task holds decoded at once (one longer text still goes alone).
 SLICE_BYTES = 8 << 20
 
@@ -20,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.sparkContext.setCheckpointDir(found)
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", full)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared URI, for use inside tasks (file, hdfs, s3, gs)."""
     return pafs.FileSystem.from_uri(uri)

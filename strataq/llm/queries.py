@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, media, packing, pii, secrets
+from . import bitpack, media, packing, pii, secrets, simhash
 from .common import table
 from .spans import joined
 
@@ -32,6 +32,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *_digest(rows, "pii_spans", [k.name for k in pii.KINDS if k.base]), scores)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *_digest(rows, "secret_spans", [r.name for r in secrets.RULES if r.base]))
@@ -47,5 +52,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op8_secrets, op10_media)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op7_simhash, op8_secrets, op10_media)}
 ORACLES: dict[str, str] = {}
