@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, media, packing, pii, secrets, simhash
+from . import bitpack, media, packing, pii, secrets, simhash, substrings
 from .common import table
 from .spans import joined
 
@@ -47,10 +47,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op7_simhash, op8_secrets, op10_media)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
 ORACLES: dict[str, str] = {}
