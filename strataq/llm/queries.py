@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, media, packing, pii, secrets, simhash, substrings
+from . import bitpack, decontaminate, media, packing, pii, secrets, simhash, substrings, toxicity
 from .common import table
 from .spans import joined
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bitpack.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257, end_id=0)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -26,6 +32,10 @@ def _digest(rows: DataFrame, spans: str, kinds: list[str]) -> list:
     return [*map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans")]
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find_pii(table(spark, sf_dir, "documents"))
     scores = F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("string")), ",").alias("scores")
@@ -57,5 +67,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
 ORACLES: dict[str, str] = {}
