@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import slices
 from .terms import codes_of
 
-SAMPLE_ROWS, FEATURES, FACTORS = 16_000, 2048, 8
-LEAST_ROWS = 5  # of the sample that have a feature
-EPOCHS, BATCH, RATE, DECAY = 25, 256, 0.02, 2e-4
+SAMPLE_ROWS, FEATURES, FACTORS = 18_000, 4096, 8
+LEAST_ROWS = 6  # of the sample that have a feature
+EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 5e-5
 THRESHOLD = 0.7
 
 
