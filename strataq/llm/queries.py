@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, media, packing, pii, secrets, simhash, substrings, toxicity
+from . import bitpack, decontaminate, lm, media, packing, pii, secrets, simhash, substrings, toxicity
 from .common import table
 from .spans import joined
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = lm.score_documents(docs, lm.fit_network(docs))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return rows.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -67,5 +74,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_pseudo_likelihood, op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
 ORACLES: dict[str, str] = {}
