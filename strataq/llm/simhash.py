@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -193,3 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written first, so that both sides of the last join are plain shuffles and a hot class is split.
     ids = materialize(placed.join(least, "component").select("fingerprint", "component_id"), "fingerprint-components")
     return rows.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: the one of its smallest id. Rows without an id are kept, as they
+    cannot be told apart; of repeated rows of that id, one stays."""
+    first = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi")
+    # The join has dealt rows by id already; rows of one id are few.
+    nth = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`")))
+    one = rows.withColumn("__nth", nth).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return one.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
