@@ -13,7 +13,7 @@ from .graph import connected_components
 GROUP_MIN, GROUP_MAX = 2, 10
 SOURCES = {0: ["dwg", "dxf", "rvt", "rfa", "ifc", "skp", "max", "3ds", "blend"], 1: ["psd", "ai", "indd", "eps", "svg"]}
 BACKUPS = ["bak", "dwl", "dwl2", "dwl3", "sv$", "$sv"]
-VERSION = r"(?i)[ _.-]*(?:v|r|rev\.?|kopya|copy)[ _.-]*[0-9]*$"
+VERSION = r"(?i)[ _.-]+(?:(?:v|r|rev\.?)[ _.-]*[0-9]+|(?:kopya|copy)[ _.-]*[0-9]*)$"
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -76,7 +76,8 @@ def version_relations(assets: DataFrame) -> DataFrame:
     rows = assets.select("id", ascii_lower(F.regexp_replace(name, VERSION, "")).alias("base"), extension(F.col("file_name")).alias("ext"), name.rlike(VERSION).alias("marked"), ascii_lower(F.col("file_name")).alias("name"))
     groups = rows.filter("base != ''").groupBy("base", "ext").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"), F.count_if("marked").alias("marks"), F.min_by("id", F.struct("marked", "id")).alias("hub"))
     groups = groups.filter(f"n between {GROUP_MIN} and {GROUP_MAX} and names = n and marks >= 1")
-    return rows.join(groups, (rows["base"] == groups["base"]) & rows["ext"].eqNullSafe(groups["ext"])).filter("id != hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"), F.lit("version").alias("kind"))
+    groups = groups.select(F.col("base").alias("__base"), F.col("ext").alias("__ext"), "hub")
+    return rows.join(groups, (F.col("base") == F.col("__base")) & F.col("ext").eqNullSafe(F.col("__ext"))).filter("id != hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"), F.lit("version").alias("kind"))
 
 
 def backup_relations(assets: DataFrame) -> DataFrame:

@@ -111,8 +111,10 @@ def read_dxf(data: bytes, ext: str) -> tuple[str, dict[str, str]]:
             blocks.add(value)
         elif code == 1 and kind in ("TEXT", "MTEXT", "ATTRIB"):
             texts.append(value)
-        elif code == 9 and value == "$ACADVER" and i + 1 < len(pairs):
-            version = pairs[i + 1][1]
+        elif code == 9:  # a header variable; its value follows
+            kind = ""
+            if value == "$ACADVER" and i + 1 < len(pairs):
+                version = pairs[i + 1][1]
     return "\n".join(texts), {"version": version, "layers": ", ".join(sorted(layers)), "blocks": ", ".join(sorted(blocks)), "text_count": str(len(texts))}
 
 
