@@ -48,7 +48,7 @@ class Kind:
     likely: object = None  # Column -> boolean Column: a cheap necessary condition
 
 
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 #: A run starts where none is open, or where the last match ended inside it.
 KINDS = [
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True, 0.9, r"(?i)\b(?:e-?mail|mail|contact|write)\b", likely=lambda t: F.contains(t, F.lit("@"))),
