@@ -27,7 +27,7 @@ from .terms import codes_of
 
 SAMPLE_ROWS, FEATURES, FACTORS = 18_000, 4096, 8
 LEAST_ROWS = 6  # of the sample that have a feature
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.02, 5e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 30, 2000, 256, 0.02, 5e-5  # epochs, or more for so many steps at least
 THRESHOLD = 0.7
 
 
@@ -96,7 +96,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Ma
     bias, w, v = np.array([none.bias]), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (bias, w, v)]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-n // BATCH)))):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             own = order[at : at + BATCH]

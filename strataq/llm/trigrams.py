@@ -8,6 +8,7 @@ from itertools import product
 _SRE = re._parser  # the standard library's own parse tree
 #: An expression is kept as its full set of strings up to this many of them.
 MAX_STRINGS = 64
+REPEATS = {"MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"}
 
 # A condition is a set of alternatives, each a set of trigrams that must all occur.
 # ALWAYS, the alternative that needs nothing, makes a rule scan all texts.
@@ -28,6 +29,13 @@ def _of_strings(strings: set[str]) -> Condition:
     return _least(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings))
 
 
+def _repeated(strings: set[str] | None, n: int) -> set[str] | None:
+    """All ways to write n of some strings side by side, if they are not too many."""
+    if strings is None or n > 8 or len(strings) ** n > MAX_STRINGS:
+        return None
+    return {"".join(x) for x in product(strings, repeat=n)}
+
+
 def trigram_query(pattern: str) -> Condition:
     """The condition, over lower-cased text, that any text with a match of pattern meets."""
 
@@ -35,6 +43,11 @@ def trigram_query(pattern: str) -> Condition:
         """(all strings it can be, or None; what must occur in it otherwise)."""
         needed, run, whole = ALWAYS, {""}, True
         for op, value in items:
+            if str(op) in REPEATS and value[0] and value[1] > value[0] and (edge := _repeated(sequence(value[2])[0], value[0])):
+                # What is repeated stands beside what comes before and beside what comes after.
+                before = {a + b for a, b in product(run, edge)} if len(run) * len(edge) <= MAX_STRINGS else run
+                needed, run, whole = _both(needed, _of_strings(before)), edge, False
+                continue
             strings, inner = node(op, value)
             grown = None if strings is None or len(run) * len(strings) > MAX_STRINGS else {a + b for a, b in product(run, strings)}
             if grown is not None:
@@ -62,13 +75,13 @@ def trigram_query(pattern: str) -> Condition:
             if all(s is not None for s, _ in found) and sum(len(s) for s, _ in found) <= MAX_STRINGS:
                 return set().union(*(s for s, _ in found)), ALWAYS
             return None, _least(frozenset().union(*(c if s is None else _of_strings(s) for s, c in found)))
-        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        if name in REPEATS:
             low, high, items = value
             strings, inner = sequence(items)
             if strings is not None and high == 1:
                 return (strings if low else strings | {""}), ALWAYS
-            if strings is not None and low == high and len(strings) ** low <= MAX_STRINGS:
-                return {"".join(x) for x in product(strings, repeat=low)}, ALWAYS
+            if low == high and (all_of := _repeated(strings, low)):
+                return all_of, ALWAYS
             return None, (inner if strings is None else _of_strings(strings)) if low else ALWAYS
         if name in ("AT", "ASSERT", "ASSERT_NOT"):
             return {""}, ALWAYS
