@@ -6,9 +6,11 @@ documents that share a window share one of its seeds. Seeds that occur once anyw
 Extension: from each remaining seed, both ways, by all windows that hold it; a window is shared if
 some document has an equal one, and overlapping shared windows join up to maximal repeats.
 
-Hot passages never form pairs: of equal seeds or windows a task sends on one, and settles the others
-itself (each has a partner in the task), so a seed or window that a third of all documents hold has a
-row per task. Windows are compared by 96 bits of hash.
+Equal texts are found first, by hash: all but the one of smallest id lose every word (if they have a
+window), and only that one goes on to the seeds. Hot passages never form pairs: of equal seeds or
+windows a task sends on one, and settles the others itself (each has a partner in the task), so a seed
+or window that a third of all documents hold has a row per task. Windows are compared by 96 bits of
+hash, texts by 128. The three passes over texts join by document and share one shuffle of them.
 
 Nulls, empty and long texts: a null text is an empty one, with no words; long texts go whole. A null
 doc_id has no order: such a document keeps all its words and takes none from others. Rows of one
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, slices
+from .common import materialize, ranges, slices
 
 WINDOW, GRAM = 13, 5
 PICK = WINDOW - GRAM + 1
@@ -71,8 +73,14 @@ def _starts(borders: np.ndarray) -> np.ndarray:
     return ranges(borders[:-1], counts).astype(np.int64)
 
 
-def _text_key(text: str | None) -> int:
-    return xxhash.xxh64_intdigest(text or "") - (1 << 63)
+def _picks(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the least gram of each window is; the first of equal ones."""
+    least, at = grams[starts], starts.copy()
+    for i in range(1, PICK):
+        other = grams[starts + i]
+        less = other < least
+        least[less], at[less] = other[less], starts[less] + i
+    return at
 
 
 def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,12 +90,7 @@ def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = _starts(borders)
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least, at = grams[starts], starts.copy()
-    for i in range(1, PICK):
-        other = grams[starts + i]
-        less = other < least
-        least[less], at[less] = other[less], starts[less] + i
-    picked = np.unique(at)
+    picked = np.unique(_picks(grams, starts))
     text = np.searchsorted(borders, picked, side="right") - 1
     return grams[picked], text, picked - borders[text]
 
@@ -115,26 +118,33 @@ def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.empty(0, np.int64)
 
 
+#: Stands for the check and start of a row that holds windows settled in the task.
+SETTLED = -1
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, check, doc_id, text_key, sure, starts) of the windows around repeated seeds.
+    """(k, check, start, doc_id, text_key, more) of the windows whose seed is repeated.
 
-    Windows equal to one of a smaller document in the slice are sure to go: a row per text holds
-    them. Of the others, those of the smallest document are sent under their hash.
+    Windows equal to one of a smaller document in the slice are settled: a row per text holds their
+    starts. Of the others, those of the smallest document are sent under their hash; more holds further
+    starts of the same window in the text.
     """
-    kinds = [("k", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("sure", pa.bool_()), ("starts", pa.list_(pa.int32()))]
+    kinds = [("k", pa.int64()), ("check", pa.int32()), ("start", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("more", pa.list_(pa.int32()))]
     for batch in slices(batches, "text"):
         words, borders = words_of(batch.column("text"))
+        starts = _starts(borders)
+        if not len(starts):
+            continue
         one, two = _word_hashes(words)
         positions = batch.column("positions")
         counts = np.diff(np.asarray(positions.offsets, np.int64))
-        text = np.repeat(np.arange(batch.num_rows), counts)
-        at = positions.flatten().to_numpy(zero_copy_only=False) + borders[text]
-        at = np.unique((at[:, None] - np.arange(PICK)[None, :]).ravel())
-        at = at[np.isin(at, _starts(borders), assume_unique=True)]
+        repeated = np.zeros(len(words), bool)
+        repeated[positions.flatten().to_numpy(zero_copy_only=False) + np.repeat(borders[:-1], counts)] = True
+        at = starts[repeated[_picks(_rolled(one, GRAM, _BASE[0]), starts)]]
         if not len(at):
             continue
         k = _rolled(one, WINDOW, _BASE[0])[at]
-        check = (_rolled(two, WINDOW, _BASE[1])[at] >> np.uint64(32)).astype(np.int64) - (1 << 31)
+        check = (_rolled(two, WINDOW, _BASE[1])[at] >> np.uint64(33)).astype(np.int32)
         text = np.searchsorted(borders, at, side="right") - 1
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[text]
         start = (at - borders[text]).astype(np.int32)
@@ -143,8 +153,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (check[1:] != check[:-1])))
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
         goes = doc != doc[first]  # the smallest document of the group comes first
-        keys = [_text_key(t) for t in batch.column("text").to_pylist()]
-        # Sure windows: a row per text.
+        keys = batch.column("text_key").to_numpy(zero_copy_only=False)
+        # Settled windows: a row per text.
         gone = np.flatnonzero(goes)
         gone = gone[np.argsort(text[gone], kind="stable")]
         heads = _groups(text[gone])
@@ -152,25 +162,34 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = doc[gone][heads]
         spread = (docs.view(np.uint64) * _BASE[1]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(gone)).astype(np.int32)), pa.array(start[gone]))
-        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(rows), np.int32)), pa.array(docs), pa.array([keys[i] for i in rows], pa.int64()), pa.array(np.ones(len(rows), bool)), lists], schema=pa.schema(kinds))
+        mark = pa.array(np.full(len(rows), SETTLED, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(spread), mark, mark, pa.array(docs), pa.array(keys[rows]), lists], schema=pa.schema(kinds))
         # Others: a row per window and text of the smallest document.
         held = np.flatnonzero(~goes)
         change = fresh[held] | np.concatenate(([True], text[held][1:] != text[held][:-1])) if len(held) else np.empty(0, bool)
         heads = np.flatnonzero(change)
         rows = held[heads]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(held)).astype(np.int32)), pa.array(start[held]))
-        yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)), pa.array(check[rows].astype(np.int32)), pa.array(doc[rows]), pa.array([keys[i] for i in text[rows].tolist()], pa.int64()), pa.array(np.zeros(len(rows), bool)), lists], schema=pa.schema(kinds))
+        n = np.diff(np.append(heads, len(held)))
+        further = np.ones(len(held), bool)
+        further[heads] = False
+        ends = np.concatenate(([0], np.cumsum(n - 1))).astype(np.int32)
+        none = pa.array(np.append(n == 1, False))
+        lists = pa.ListArray.from_arrays(pa.array(ends, mask=none.to_numpy(zero_copy_only=False)), pa.array(start[held][further]))
+        yield pa.RecordBatch.from_arrays([pa.array(k[rows].view(np.int64)), pa.array(check[rows]), pa.array(start[rows]), pa.array(doc[rows]), pa.array(keys[text[rows]]), lists], schema=pa.schema(kinds))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_words, n_removed, kept_text) from texts and their (text_key, starts)."""
+    """(doc_id, n_words, n_removed, kept_text) from texts, their (text_key, starts) and whether they are copies."""
     for batch in slices(batches, "text", 4 << 20):
         total, removed, texts = [], [], []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
+        for text, key, found, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "removed", "is_copy"))):
             words = (text or "").encode("utf-8").split()
-            key = _text_key(text) if found else 0
             starts = np.array([s for part in found or () if part["text_key"] == key for s in part["starts"]], np.int64)
             total.append(len(words))
+            if copy and len(words) >= WINDOW:
+                removed.append(len(words))
+                texts.append(b"")
+                continue
             if not len(starts):
                 removed.append(0)
                 texts.append(b" ".join(words))
@@ -184,19 +203,34 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
+def copies_of(known: DataFrame) -> DataFrame:
+    """(doc_id, copies): keys of a document's texts that a smaller document has whole."""
+    rows = known.select("doc_id", "text_key", F.unhex(F.md5("text")).alias("digest"))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
+    # Written first, so that both sides of the join are plain shuffles and a hot text is split.
+    found = rows.join(materialize(classes, "text-classes"), "digest").filter("doc_id > first")
+    return found.groupBy("doc_id").agg(F.collect_set("text_key").alias("copies"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row: its words that no repeated window covers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.withColumn("text_key", F.hash("text"))
     known = rows.filter("doc_id is not null")
-    found = known.mapInArrow(_seed_rows, "k long, doc_id long, place long")
+    copies = copies_of(known)
+    firsts = known.join(copies, "doc_id", "left").filter("copies is null or not array_contains(copies, text_key)")
+    found = firsts.select("doc_id", "text").mapInArrow(_seed_rows, "k long, doc_id long, place long")
     # A group has at most a row per slice of text.
     repeated = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).filter("n > 1 or place % 2 = 1")
     positions = repeated.groupBy("doc_id").agg(F.collect_list((F.shiftright("place", 1)).cast("int")).alias("positions"))
-    windows = known.join(positions, "doc_id").mapInArrow(_window_rows, "k long, check int, doc_id long, text_key long, sure boolean, starts array<int>")
-    gone = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("k", "check"))).filter("sure or doc_id > least")
-    removed = gone.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    windows = known.join(positions, "doc_id").mapInArrow(_window_rows, "k long, check int, start int, doc_id long, text_key int, more array<int>")
+    gone = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("k", "check"))).filter(f"check = {SETTLED} or doc_id > least")
+    own = F.when(F.col("check") == SETTLED, F.col("more")).otherwise(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>"))))
+    removed = gone.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(own)).alias("starts"))
     removed = removed.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "starts")).alias("removed"))
-    done = known.join(removed, "doc_id", "left")
-    none = rows.filter("doc_id is null").withColumn("removed", F.lit(None).cast(removed.schema["removed"].dataType))
+    done = known.join(removed, "doc_id", "left").join(copies, "doc_id", "left")
+    none = rows.filter("doc_id is null").withColumns({"removed": F.lit(None).cast(removed.schema["removed"].dataType), "is_copy": F.lit(False)})
+    done = done.withColumn("is_copy", F.coalesce(F.array_contains("copies", F.col("text_key")), F.lit(False)))
+    wanted = ["doc_id", "text", "text_key", "removed", "is_copy"]
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return done.select("doc_id", "text", "removed").mapInArrow(_kept, schema).unionByName(none.mapInArrow(_kept, schema))
+    return done.select(*wanted).mapInArrow(_kept, schema).unionByName(none.select(*wanted).mapInArrow(_kept, schema))
