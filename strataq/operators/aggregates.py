@@ -22,7 +22,7 @@ def facet(df: DataFrame, value: str | Column, limit: int | None = None, skip_emp
 
 def multi_facet(df: DataFrame, key: str, value: Column, separator: str = ",", limit: int | None = None) -> DataFrame:
     """A facet over parts of a value, each counted once a row."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(value, separator), F.trim), lambda p: p != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(value, separator), lambda p: F.trim(p)), lambda p: p != ""))
     return facet(df.select(key, F.explode(parts).alias("part")), "part", limit)
 
 

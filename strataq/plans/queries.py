@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, text, vectors
-from ..operators import aggregates, chunking, duplicates, filters, fulltext, graph, similarity
+from ..operators import aggregates, chunking, classify, duplicates, filters, fulltext, geo, graph, shapes, similarity
 from ..operators.filters import Catalog, ListOptions
 
 QUERIES: dict[str, object] = {}
@@ -454,3 +454,102 @@ def page_text(spark, sf):
     from ..sources import readers
 
     return readers.extract_html(_t(spark, sf, "pages"), "page_id", "html")
+
+
+_SHAPE = "CAST(p_size AS DOUBLE) AS vertices, (p_partkey * 7 % 100) / 100.0 AS compactness, (p_partkey * 11 % 100) / 100.0 AS regularity, 1 + (p_partkey * 3 % 40) / 10.0 AS aspect, (p_partkey * 13 % 100) / 100.0 AS rectangularity, (p_partkey * 17 % 100) / 100.0 AS solidity, p_size % 3 <> 0 AS closed"
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as shapes of the brand's drawing, with features made from their keys."""
+    tenth = lambda n, m, by: (F.col("p_partkey") * n % m) / by
+    return _t(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("asset_id"), F.col("p_partkey").alias("shape_id"), F.col("p_size").cast("double").alias("vertices"), tenth(7, 100, 100.0).alias("compactness"), tenth(11, 100, 100.0).alias("regularity"),
+        (1 + tenth(3, 40, 10.0)).alias("aspect"), tenth(13, 100, 100.0).alias("rectangularity"), tenth(17, 100, 100.0).alias("solidity"), (F.col("p_size") % 3 != 0).alias("closed"),
+    )
+
+
+_VERTEX = "exp(-pow(vertices - 12, 2) / (2 * pow(greatest(0.3 * greatest(vertices, 12), 1.5), 2)))"
+
+
+@query(f"""WITH s AS (SELECT p_brand AS asset_id, {_SHAPE} FROM part)
+SELECT asset_id, round(max(CASE WHEN closed THEN 0.20 * {_VERTEX} + 0.20 * greatest(0, 1 - abs(compactness - 0.8)) + 0.15 * greatest(0, 1 - abs(regularity - 0.9)) + 0.15 * least(aspect, 1.5) / greatest(aspect, 1.5) + 0.15 * greatest(0, 1 - abs(rectangularity - 0.7)) + 0.10 * greatest(0, 1 - abs(solidity - 0.95)) + 0.05 ELSE 0.30 * {_VERTEX} + 0.20 * least(aspect, 1.5) / greatest(aspect, 1.5) END), 6) AS score
+FROM s GROUP BY asset_id ORDER BY 2 DESC, 1 LIMIT 200""")
+def shape_search(spark, sf):
+    goal = {"vertices": 12.0, "compactness": 0.8, "regularity": 0.9, "aspect": 1.5, "rectangularity": 0.7, "solidity": 0.95, "closed": True}
+    return shapes.similar_shapes(_shapes(spark, sf), goal, k=200).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH s AS (SELECT p_brand AS asset_id, {_SHAPE} FROM part)
+SELECT asset_id, round(max(CASE WHEN closed THEN 0.30 * regularity + 0.25 * compactness + 0.20 * rectangularity + 0.15 * solidity + 0.10 ELSE 0.40 * regularity + 0.30 / (1 + abs(aspect - 1)) + 0.20 * least(vertices / 20, 1) + 0.10 END), 6) AS score FROM s GROUP BY asset_id ORDER BY 2 DESC, 1 LIMIT 200""")
+def shape_features(spark, sf):
+    return shapes.feature_search(_shapes(spark, sf), k=200).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT shape_id FROM (SELECT p_partkey AS shape_id, {_SHAPE} FROM part) WHERE vertices BETWEEN 8 AND 12 AND regularity >= 0.5 AND aspect BETWEEN 1.0 AND 3.0 AND closed")
+def shape_criteria(spark, sf):
+    wanted = shapes.ShapeCriteria(vertices=10, tolerance=2, min_regularity=0.5, aspect=(1.0, 3.0), closed_only=True)
+    return shapes.filter_shapes(_shapes(spark, sf), wanted).select("shape_id")
+
+
+_POINTS = "SELECT s_suppkey, (s_suppkey * 37 % 1600) / 10.0 - 80 AS lat, (s_suppkey * 91 % 3400) / 10.0 - 170 AS lon FROM supplier"
+_PLACES = "SELECT n_name AS place, n_nationkey * 6.1 - 75 AS plat, n_nationkey * 13.3 - 160 AS plon FROM nation"
+
+
+@query(f"SELECT s_suppkey, arg_min(place, struct_pack(d := pow((lon - plon) * cos(radians((lat + plat) / 2)), 2) + pow(lat - plat, 2), n := place)) AS place FROM ({_POINTS}), ({_PLACES}) GROUP BY s_suppkey")
+def nearest_place(spark, sf):
+    points = _t(spark, sf, "supplier").selectExpr("s_suppkey", "(s_suppkey * 37 % 1600) / 10.0D - 80 AS lat", "(s_suppkey * 91 % 3400) / 10.0D - 170 AS lon")
+    places = _t(spark, sf, "nation").selectExpr("n_name AS place", "n_nationkey * 6.1D - 75 AS lat", "n_nationkey * 13.3D - 160 AS lon")
+    return geo.nearest_place(points, places, "s_suppkey").select("s_suppkey", "place")
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(render|vray|lumion|enscape|corona|3dmax)') THEN 'Render' WHEN regexp_matches(url, '(?i)(doku|texture|material|malzeme|bump|normalmap)') THEN 'Doku' WHEN regexp_matches(url, '(?i)(foto|photo|fotograf|santiye|whatsapp)') THEN 'Fotoğraf' END AS kind FROM pages")
+def image_kinds(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", classify.image_kind(F.col("url"), F.lit(None).cast("string")).alias("kind"))
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
+def message_roles(spark, sf):
+    return _t(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT conv_id, arg_min(turn, turn) AS first_turn, count(*) AS n, string_agg(role, '>' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id")
+def chat_sessions(spark, sf):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' AND o_orderpriority = '1-URGENT'")
+def bridge_joins(spark, sf):
+    nations = _t(spark, sf, "nation").join(F.broadcast(_t(spark, sf, "region").filter("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = filters.semi(_t(spark, sf, "customer"), nations, "c_nationkey", "n_nationkey")
+    orders = filters.semi(_t(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'"), customers, "o_custkey", "c_custkey")
+    return filters.semi(_t(spark, sf, "lineitem"), orders, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, date_trunc('second', ts) AS s FROM events) GROUP BY user_id")
+def throttled_events(spark, sf):
+    from ..streaming import incremental
+
+    return incremental.throttle(_t(spark, sf, "events").select("user_id", "ts"), "user_id", "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS locked_from FROM (SELECT user_id, ts, lag(date_trunc('second', ts), 2) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts)) AS back FROM events) WHERE epoch(date_trunc('second', ts)) - epoch(back) < 3600")
+def lockouts(spark, sf):
+    from ..streaming import rates
+
+    return rates.lockouts(_t(spark, sf, "events"), "user_id", "ts", 3, 3600).select("user_id", F.date_format("locked_from", "yyyy-MM-dd HH:mm:ss").alias("locked_from"))
+
+
+@query("SELECT c.c_custkey AS id, 'orphan' AS state FROM customer c WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c.c_nationkey) UNION ALL SELECT o_orderkey, CASE WHEN abs(o_totalprice - o_orderkey) > 2 THEN 'stale' ELSE 'fresh' END FROM orders WHERE o_orderkey < 100")
+def staleness(spark, sf):
+    from ..operators import archive
+
+    orders = _t(spark, sf, "orders").filter("o_orderkey < 100")
+    catalog, listing = orders.select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("modified_at")), orders.select(F.col("o_orderkey").alias("path"), F.col("o_orderkey").alias("modified_at"))
+    orphans = filters.semi(_t(spark, sf, "customer"), _t(spark, sf, "nation"), "c_nationkey", "n_nationkey", "left_anti").select(F.col("c_custkey").alias("id"), F.lit("orphan").alias("state"))
+    return orphans.unionByName(archive.staleness(catalog, listing).withColumnRenamed("path", "id"))
+
+
+@query()
+def structural_groups(spark, sf):
+    return shapes.structural_groups(_shapes(spark, sf), 40)
