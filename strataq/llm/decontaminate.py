@@ -38,7 +38,9 @@ TERMS = 1 << 16
 #: A group of passages has a latent space of its own; a block of groups is broadcast at once.
 GROUP_ITEMS, RANK, OVERSAMPLE = 256, 224, 8
 BLOCK_ITEMS = 20 * GROUP_ITEMS
-WINDOWS = (16, 32, 64)
+SVD_BLOCK = 1024  # terms whose rows one group of the sums holds
+#: Lengths of windows, each an even number of parts whose sums they share.
+WINDOWS, PART = (16, 32, 64), 8
 MIN_COSINE, MIN_WORDS = 0.5, 8
 #: Shares of a passage's words in common order that decide alone, or with its answer.
 MIN_LCS, MIN_LCS_ANSWER, ANSWER_WORDS = 0.8, 0.6, 5
@@ -79,60 +81,57 @@ def _rows_of(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """A TERMS x rank basis of the passages' TF-IDF rows (column text), largest components first."""
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, rows): a basis of the passages' TF-IDF rows (column text), largest components first; a
+    row for each term that some passage has."""
     wide = rank + OVERSAMPLE
-    block = 1024
-
-    def summed(work) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in slices(batches, "text"):
-                part = work(_rows_of(batch.column("text"), idf))
-                total = part if total is None else total + part
-            for at in range(0, 0 if total is None else len(total), block):
-                if total[at : at + block].any():
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "part": [total[at : at + block].astype("<f4").tobytes()]})
-
-        def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in parts:  # in turn: a block's parts are never all held
-                for raw in batch.column("part").to_pylist():
-                    found = np.frombuffer(raw, "<f4").astype(np.float64)
-                    total = found if total is None else total + found
-            yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "part": [total.astype("<f4").tobytes()]})
-
-        schema = "block int, part binary"
-        parts = passages.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).toPandas()
-        return parts
-
-    omega = np.random.default_rng(seed).standard_normal((TERMS, wide), np.float32)
-    found = summed(lambda rows: _back(rows, omega))
-    ranged = np.zeros((TERMS, wide), np.float32)
-    for at, raw in zip(found["block"], found["part"]):
-        ranged[at : at + block] = np.frombuffer(raw, "<f4").reshape(-1, wide)
-    used = np.flatnonzero(ranged.any(axis=1))
-    basis = np.zeros((TERMS, wide), np.float32)
-    q = np.linalg.qr(ranged[used].astype(np.float64))[0] if len(used) else np.zeros((0, wide))
-    basis[used, : q.shape[1]] = q
-    square = np.zeros((wide, wide))
-    for raw in summed(lambda rows: _gram(rows, basis))["part"]:
-        square += np.frombuffer(raw, "<f4").reshape(wide, wide)
-    values, vectors = np.linalg.eigh(square)
-    return (basis @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
-
-
-def _back(rows: list[tuple[np.ndarray, np.ndarray]], omega: np.ndarray) -> np.ndarray:
-    """The passages' transpose times the passages times omega."""
-    out = np.zeros(omega.shape, np.float32)
-    for terms, weights in rows:
-        out[terms] += np.outer(weights, weights @ omega[terms])
-    return out
-
-
-def _gram(rows: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -> np.ndarray:
-    projected = np.array([w @ basis[t] for t, w in rows]).reshape(len(rows), basis.shape[1])
-    return projected.T @ projected
+    schema = "block int, terms binary, part binary"
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SVD_BLOCK, wide))
+        for batch in parts:  # in turn: a block's parts are never all held
+            for terms, raw in zip(batch.column("terms").to_pylist(), batch.column("part").to_pylist()):
+                total[np.frombuffer(terms, "<i4") % SVD_BLOCK] += np.frombuffer(raw, "<f4").reshape(-1, wide)
+        used = np.flatnonzero(total.any(axis=1))
+        block = key[0].as_py()
+        yield _part(block, block * SVD_BLOCK + used, total[used])
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        omega = np.random.default_rng(seed).standard_normal((TERMS, wide), np.float32)  # alike in every task
+        for batch in slices(batches, "text", 1 << 20):
+            rows = _rows_of(batch.column("text"), idf)
+            terms = np.unique(np.concatenate([t for t, _ in rows] or [np.empty(0, np.int64)]))
+            out = np.zeros((len(terms), wide))
+            for t, w in rows:
+                out[np.searchsorted(terms, t)] += np.outer(w, w @ omega[t])
+            for block in np.unique(terms // SVD_BLOCK):
+                own = terms // SVD_BLOCK == block
+                yield _part(int(block), terms[own], out[own])
+
+    texts = passages.select("text")
+    found = texts.mapInArrow(ranged, schema).groupBy("block").applyInArrow(add, schema).toPandas()
+    if not len(found):
+        return np.empty(0, np.int64), np.empty((0, rank), np.float32)
+    terms = np.concatenate([np.frombuffer(t, "<i4") for t in found["terms"]]).astype(np.int64)
+    rows = np.concatenate([np.frombuffer(r, "<f4").reshape(-1, wide) for r in found["part"]])
+    order = np.argsort(terms)
+    terms, q = terms[order], np.linalg.qr(rows[order].astype(np.float64))[0].astype(np.float32)
+    deep = q.shape[1]
+
+    def squared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            projected = np.array([w @ q[np.searchsorted(terms, t)] for t, w in _rows_of(batch.column("text"), idf)]).reshape(-1, deep)
+            yield pa.RecordBatch.from_pydict({"part": [(projected.T @ projected).astype("<f8").tobytes()]})
+
+    square = np.zeros((deep, deep))
+    for row in texts.mapInArrow(squared, "part binary").toLocalIterator():  # deep x deep numbers a task
+        square += np.frombuffer(row["part"]).reshape(deep, deep)
+    vectors = np.linalg.eigh(square)[1][:, ::-1][:, :rank].astype(np.float32)
+    return terms, q @ vectors
+
+
+def _part(block: int, terms: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "terms": [terms.astype("<i4").tobytes()], "part": [rows.astype("<f4").tobytes()]})
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -164,32 +163,50 @@ class Index:
         """(text, passage, cosine, first word, end) of all windows near a passage."""
         terms = codes & (TERMS - 1)
         slots, energy = self.slot[terms], self.idf[terms].astype(np.float64) ** 2
-        all_of = np.concatenate(([0.0], np.cumsum(energy)))
-        own_of = np.concatenate(([0.0], np.cumsum(energy * (slots > 0))))
-        found = []
         lengths = np.diff(borders)
+        n_blocks = -(-lengths // PART)
+        first = np.concatenate(([0], np.cumsum(n_blocks)))
+        inner = np.arange(first[-1]) - np.repeat(first[:-1], n_blocks)
+        begin = np.repeat(borders[:-1], n_blocks) + inner * PART
+        end = np.minimum(begin + PART, np.repeat(borders[1:], n_blocks))
+        edge = np.append(begin, len(codes))  # texts lie side by side, so a part ends where the next begins
+        all_of = np.concatenate(([0.0], np.cumsum(energy)))[edge]
+        own_of = np.concatenate(([0.0], np.cumsum(np.where(slots > 0, energy, 0.0))))[edge]
+        found = []
         for size in WINDOWS:
-            stride = size // 2
-            # Windows at each stride; the last one of a text, or the only one, ends with it.
-            counts = np.where(lengths <= size, (lengths > 0) & (size == WINDOWS[0]), -(-(lengths - size) // stride) + 1)
+            m = size // PART
+            # Windows at each half length; the last one of a text ends with it.
+            counts = np.where(n_blocks <= m, (n_blocks > 0) & (size == WINDOWS[0]), -(-(n_blocks - m) // (m // 2)) + 1)
             text = np.repeat(np.arange(len(lengths)), counts)
-            if not len(text):
-                continue
             nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            a = borders[text] + np.minimum(nth * stride, np.maximum(lengths[text] - size, 0))
-            b = np.minimum(a + size, borders[text + 1])
+            a = first[text] + nth * (m // 2)
+            b = np.minimum(a + m, first[text + 1])
             whole = all_of[b] - all_of[a]
-            near = np.flatnonzero((own_of[b] - own_of[a]) >= MIN_COSINE**2 * whole)
-            for at in range(0, len(near), 4096):
-                part = near[at : at + 4096]
-                span = b[part] - a[part]
-                rows = np.repeat(a[part], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                vectors = np.add.reduceat(self.vectors[slots[rows]], np.cumsum(span) - span, axis=0)
+            near = np.flatnonzero(own_of[b] - own_of[a] >= MIN_COSINE**2 * whole)
+            for at in range(0, len(near), 16_384):
+                part = near[at : at + 16_384]
+                needed = np.unique((a[part][:, None] + np.arange(m)[None, :])[np.arange(m)[None, :] < (b - a)[part][:, None]])
+                sums = self._sums(slots, begin[needed], end[needed])
+                vectors = np.zeros((len(part), sums.shape[1]), np.float32)
+                for j in range(m):
+                    own = np.flatnonzero(a[part] + j < b[part])
+                    vectors[own] += sums[np.searchsorted(needed, a[part][own] + j)]
                 cosine = vectors @ self.latent.T / np.sqrt(np.maximum(whole[part], 1e-9))[:, None]
                 i, j = np.nonzero(cosine >= MIN_COSINE)
-                found += zip(text[part[i]].tolist(), j.tolist(), cosine[i, j].tolist(), a[part[i]].tolist(), b[part[i]].tolist())
+                w = part[i]
+                found += zip(text[w].tolist(), j.tolist(), cosine[i, j].tolist(), begin[a[w]].tolist(), end[b[w] - 1].tolist())
         return found
 
+    def _sums(self, slots: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Summed latent vectors of parts of texts; only words that some passage has add to them."""
+        out = np.zeros((len(begin), self.vectors.shape[1]), np.float32)
+        for j in range(PART):
+            own = np.flatnonzero(begin + j < end)
+            rows = slots[begin[own] + j]
+            full = rows > 0
+            out[own[full]] += self.vectors[rows[full]]
+        return out
+
     def matches(self, codes: np.ndarray, borders: np.ndarray) -> list[tuple[int, int, float, float, bool, int, int]]:
         """(text, item, cosine, LCS share, answer found, first word, end) of each confirmed pair."""
         groups: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
@@ -237,7 +254,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
 
 
 def _group(passages: DataFrame, idf: np.ndarray) -> Index | None:
-    basis = randomised_svd(passages, idf)
+    terms, basis = randomised_svd(passages, idf)
     frame = passages.orderBy("item").toPandas()  # about GROUP_ITEMS passages
     codes, borders = codes_of(pa.array(frame["text"], pa.string()))
     spans = [codes[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
@@ -245,11 +262,10 @@ def _group(passages: DataFrame, idf: np.ndarray) -> Index | None:
     if not kept:
         return None
     said = [codes_of(pa.array([x], pa.string()))[0].tolist() if isinstance(x, str) else spans[i][-ANSWER_WORDS:] for i, x in enumerate(frame["answer"])]
-    terms = np.unique(np.concatenate([np.array(spans[i]) for i in kept]) & (TERMS - 1))
     slot = np.zeros(TERMS, np.int32)
     slot[terms] = np.arange(1, len(terms) + 1)
     vectors = np.zeros((len(terms) + 1, basis.shape[1]), np.float32)
-    vectors[1:] = basis[terms] * idf[terms][:, None]
+    vectors[1:] = basis * idf[terms][:, None]
     latent = np.array([vectors[slot[np.array(spans[i]) & (TERMS - 1)]].sum(axis=0) for i in kept])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return Index([int(frame["item"][i]) for i in kept], [spans[i] for i in kept], [said[i] for i in kept], idf, slot, vectors, latent)

@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from .substrings import words_of
 
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¿¡"
-#: Distinct words that a Python worker keeps coded.
-CACHE_WORDS = 500_000
-
-
-@lru_cache(maxsize=1)
-def _coded() -> dict[bytes, int]:
-    return {}
-
-
-def _code(word: bytes) -> int:
-    """A 32-bit code of a word without case and punctuation around it; -1 if nothing is left."""
-    plain = word.decode("utf-8").lower().strip(_PUNCTUATION)
-    return xxhash.xxh32_intdigest(plain) if plain else -1
 
 
 def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes of some texts, and the n+1 borders of the texts; a code's low bits are its term."""
+    """32-bit codes of all words without case and punctuation around them, and the n+1 borders of the
+    texts. Words of punctuation alone have none. Each distinct word is coded once."""
     words, borders = words_of(texts)
-    coded = words.cast(pa.large_binary()).dictionary_encode()
-    names, known = coded.dictionary.to_pylist(), _coded()
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    known.update((w, _code(w)) for w in names if w not in known)
-    table = np.fromiter((known[w] for w in names), np.int64, len(names))
+    coded = words.dictionary_encode()
+    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters=_PUNCTUATION).cast(pa.large_binary())
+    hashed = xxhash.xxh32_intdigest
+    table = np.fromiter((hashed(w) if w else -1 for w in plain.to_pylist()), np.int64, len(plain))
     codes = table[coded.indices.to_numpy(zero_copy_only=False)]
     full = codes >= 0
+    if full.all():
+        return codes, borders
     kept = np.concatenate(([0], np.cumsum(full)))
     return codes[full], kept[borders]
