@@ -75,4 +75,31 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pseudo_likelihood, op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
-ORACLES: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """Spans from the pieces between matches and the matches, in turn; patterns without look-around."""
+    hints = {"hex": "[0-9a-f]{24,}"}
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = hints.get(rule.name, rule.pattern).replace("'", "''")
+        measured = f"length(regexp_extract(m[i], '{pattern}', {rule.group}))"
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.name}' AS kind, a AS start, a + length(m[i]) AS e FROM (SELECT doc_id, m, i, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS a "
+            f"FROM (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m FROM d))) WHERE {measured if rule.least else 1} >= {rule.least or 1}"
+        )
+    kinds = ", ".join(f"'{r.name}'" for r in secrets.RULES if r.base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in secrets.RULES if r.base)
+    text = "kind || ':' || start || ':' || e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY start, rank) FILTER (kind IN ({kinds})), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY start, rank), '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+_REPEATS_SQL = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)), m AS (SELECT k, min(doc_id) AS d FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM g JOIN m USING (k) WHERE doc_id > d), a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT a.doc_id, count(*) - count(c.p) AS kept, string_agg(word, ' ' ORDER BY a.p) FILTER (c.p IS NULL) AS t FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+#: The others need hashes, models or formats that SQL lacks; tests hold them against plain versions.
+ORACLES: dict[str, str] = {"op8_secrets": _secrets_sql(), "op9_substrings": _REPEATS_SQL}
