@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
@@ -22,6 +22,13 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(_minimum(edges), ["u", "salt"]).select("u", "v", "m")
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Edges in the shared folder, with their number and a hash of all, taken while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("hash")), "components")
+    return out, seen.get
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge to another.
 
@@ -30,17 +37,18 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     to the shared folder. Null ends and self-loops are ignored; nodes without an edge have no row.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    edges, last = materialize(edges, "components"), None
+    edges, now = _written(edges)
     for _ in range(MAX_ROUNDS):
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == last or not now[0]:
-            break
         last = now
+        if not now["n"]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_minimum(large)
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = materialize(small, "components")
+        edges, now = _written(small)
+        if now == last:
+            break
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
