@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -144,12 +145,14 @@ def bm25(df: DataFrame, key: str, field: str, terms: list[str]) -> DataFrame:
     tf = [_count("tokens", w) for w in terms]
     rows = tokens.select(key, F.size("tokens").alias("length"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    known = stats.first()  # one row of counts
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    held = rows.filter(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
-    return held.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+        held, tf = known[f"df{i}"], F.col(f"tf{i}")
+        idf = math.log(1 + (known["n"] - held + 0.5) / (held + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (known["mean"] or 1.0)))
+    found = rows.filter(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
+    return found.select(key, score.alias("score"))
 
 
 def _count(tokens: str, word: str) -> Column:

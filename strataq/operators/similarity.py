@@ -13,6 +13,8 @@ from ..functions.color import palette_distance
 
 #: Query vectors that are broadcast at once.
 BLOCK = 4096
+#: Entries of a palette, at most.
+PALETTE_MAX = 4096
 
 
 def knn(vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, vector: str, k: int, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
@@ -78,6 +80,11 @@ def near_colour(df: DataFrame, key: str, colors: str, target: tuple[int, int, in
 
 def nearest_label(df: DataFrame, dim: DataFrame, distance, value: str) -> DataFrame:
     """The nearest entry of a small dimension (a palette) for every row; dim is of fixed size."""
-    wide = dim.agg(F.collect_list(F.struct(*dim.columns)).alias("entries"))
-    best = F.array_min(F.transform("entries", lambda e: F.struct(distance(e).alias("distance"), e[value].alias(value))))
-    return df.crossJoin(F.broadcast(wide)).withColumn("nearest", best).drop("entries")
+    found = dim.limit(PALETTE_MAX + 1).collect()
+    if len(found) > PALETTE_MAX:
+        raise ValueError(f"a dimension of more than {PALETTE_MAX} entries is no palette")
+    if not found:
+        return df.withColumn("nearest", F.lit(None))
+    entries = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in dim.columns)) for r in found))
+    best = F.array_min(F.transform(entries, lambda e: F.struct(distance(e).alias("distance"), e[value].alias(value))))
+    return df.withColumn("nearest", best)

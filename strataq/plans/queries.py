@@ -142,9 +142,8 @@ def multi_value_facet(spark, sf):
 SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM b UNION ALL SELECT 'user', u, count(*) FROM b GROUP BY u UNION ALL SELECT 'action', a, count(*) FROM b GROUP BY a""")
 def activity_summary(spark, sf):
     events = _t(spark, sf, "events")
-    last = events.agg(F.max("ts").alias("last"))  # one row
-    recent = events.crossJoin(F.broadcast(last)).filter("ts >= last - interval 7 days").drop("last")
-    return aggregates.activity_summary(recent, "ts", F.lit("1900-01-01").cast("timestamp_ntz"), "user_id", "event_type")
+    last = events.agg(F.max("ts")).first()[0]
+    return aggregates.activity_summary(events, "ts", F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days"), "user_id", "event_type")
 
 
 @query(r"SELECT regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) AS folder, count(*) AS n FROM pages WHERE regexp_matches(url, '[/\\]') GROUP BY 1")
@@ -261,8 +260,9 @@ def knn_l2(spark, sf):
 @query(f"SELECT e.label, max(coalesce({_COS}, 0)) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q GROUP BY e.label")
 def max_sim_per_label(spark, sf):
     rows = _t(spark, sf, "embeddings")
-    one = rows.filter("vec_id = 0").select(F.col("embedding").alias("goal")).limit(1)
-    hits = rows.crossJoin(F.broadcast(one)).select("label", F.round(vectors.cosine(F.col("embedding"), F.col("goal")), 6).alias("score"))
+    own = rows.filter("vec_id = 0").select("embedding").first()
+    goal = F.array(*(F.lit(float(x)) for x in (own[0] if own else [])))
+    hits = rows.select("label", F.round(vectors.cosine(F.col("embedding"), goal), 6).alias("score"))
     return similarity.best_of_regions(hits, "label", "score")
 
 
