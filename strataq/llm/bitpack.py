@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocab_size:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, enc = TaskContext.get().partitionId(), None, encoder(vocabulary, byte_level)
         fs, root = open_fs(folder)
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 12 << 20):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 temporary = f"{root}/.{shard}-{uuid.uuid4().hex}"

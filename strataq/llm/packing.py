@@ -32,7 +32,7 @@ from .tokens import encoder
 #: Limits of one sequence.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 512, 4096
 #: Examples and tokens that a task packs together.
-GROUP_ROWS, GROUP_TOKENS = 8192, 8 << 20
+GROUP_ROWS, GROUP_TOKENS = 8192, 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -140,7 +140,7 @@ def pack_examples(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: in
             return pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.binary() if k == "ids" else pa.int64()) for k in rows]))
 
         tokens = 0
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 12 << 20):
             ids, borders = enc.encode(batch.column("text"), end_id)
             firsts = np.ones(batch.num_rows, np.int64)
             if prompt_col:

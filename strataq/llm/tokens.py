@@ -23,7 +23,9 @@ from tokenizers import Tokenizer  # noqa: E402
 _W = r"[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]"
 _WHOLE = f"{_W} {_W}|{_W} $|  "
 #: Pieces, and words of the pre-tokenizer, that a Python worker keeps before it forgets them all.
-CACHE_PIECES = 500_000
+CACHE_PIECES, CACHE_WORDS = 300_000, 300_000
+#: Pieces whose ids are gathered at once.
+PART_PIECES = 1 << 18
 #: Words encoded as one text.
 JOINED = 500
 #: The pre-tokenizers' patterns of the two public vocabularies.
@@ -76,7 +78,7 @@ class PieceEncoder:
             pieces = [p for p in pieces if _SIMPLE.fullmatch(p)]
         find, known = self.words.findall, self.known
         words = [find(p) for p in pieces] if self.byte_level else [find(p.lower()) for p in pieces]
-        if len(known) > CACHE_PIECES:
+        if len(known) > CACHE_WORDS:
             known.clear()
         self._learn_words(list({w for ws in words for w in ws if w not in known}))
         self.pieces.update(zip(pieces, (b"".join([known[w] for w in ws]) for ws in words)))
@@ -89,7 +91,8 @@ class PieceEncoder:
         if len(cache) + len(new) > CACHE_PIECES:
             cache.clear()
             new = pieces
-        self._learn(new)
+        for at in range(0, len(new), 40_000):
+            self._learn(new[at : at + 40_000])
         return [cache[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,27 +103,40 @@ class PieceEncoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         whole = pc.match_substring_regex(texts, _WHOLE)
         split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
-        flat = split.flatten().dictionary_encode()
         offsets = np.asarray(split.offsets, dtype=np.int64)
         offsets = offsets - offsets[0]
+        flat = split.flatten().dictionary_encode()
+        del split
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         names = flat.dictionary.to_pylist()
+        del flat
         table = self._ids([self.lead + p for p in names] if self.lead else names)
         if self.lead:  # the first piece of a text has no space before it
             distinct, back = np.unique(codes[offsets[:-1]], return_inverse=True)
             codes[offsets[:-1]] = len(table) + back
             table += self._ids([names[i] for i in distinct])
+        del names
         longs = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         codes[offsets[longs]] = len(table) + np.arange(len(longs))
         table += [np.array(x, dtype="<u4").tobytes() for x in self._plain([texts[int(i)].as_py() for i in longs])]
         table.append(np.array([end_id], dtype="<u4").tobytes())
-        lens = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        starts = np.cumsum(lens) - lens
-        codes = np.insert(codes, offsets[1:], len(table) - 1)  # the end id closes each text
-        sizes = lens[codes]
-        ids = np.frombuffer(b"".join(table), "<u4")[ranges(starts[codes], sizes)]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, ends[offsets + np.arange(n + 1)]
+        lens = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        starts = np.cumsum(lens, dtype=np.int64) - lens
+        known = np.frombuffer(b"".join(table), "<u4")
+        end = len(table) - 1
+        del table
+        pa.default_memory_pool().release_unused()
+        parts, borders, at = [], [np.zeros(1, np.int64)], 0
+        while at < n:  # a part of the texts at a time, as the indexes are larger than the ids
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_PIECES, side="right")) - 1)
+            own = offsets[at : to + 1] - offsets[at]
+            part = np.insert(codes[offsets[at] : offsets[to]], own[1:], end)  # the end id closes each text
+            sizes = lens[part]
+            parts.append(known[ranges(starts[part], sizes)])
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            borders.append(borders[-1][-1] + ends[own[1:] + np.arange(1, to - at + 1)])
+            at = to
+        return np.concatenate(parts), np.concatenate(borders)
 
 
 @lru_cache(maxsize=4)

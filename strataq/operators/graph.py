@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 
-#: A node's rows are dealt over this many tasks, so that the hub of a large star fills no single one.
-SALTS = 16
+#: From so many edges on, a node's rows are dealt over several tasks, so that the hub of a large star
+#: fills no single one; fewer edges than that fit in any task.
+SALTED_FROM, SALTS = 1 << 20, 16
 MAX_ROUNDS = 60
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    """(u, m, salt): each node's smallest neighbour, or itself, once per salt."""
+def _with_minimum(edges: DataFrame, salts: int) -> DataFrame:
+    """(u, v, m): edges with the smallest neighbour of u, or u itself."""
     least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(_minimum(edges), ["u", "salt"]).select("u", "v", "m")
+    if salts == 1:
+        return edges.join(least, "u").select("u", "v", "m")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -42,9 +42,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
         last = now
         if not now["n"]:
             break
+        salts = SALTS if now["n"] >= SALTED_FROM else 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_minimum(large)
+        large = _with_minimum(both, salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_minimum(large, salts)
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
         edges, now = _written(small)
         if now == last:

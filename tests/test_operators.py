@@ -86,6 +86,14 @@ def test_filters(spark):
     assert total == 3 and [r.id for r in rows.collect()] == [1]
 
 
+def test_components_with_salts(spark, monkeypatch):
+    edges = spark.range(1, 200).selectExpr("id * 7 % 200 as src", "id * 3 % 50 as dst")
+    rows = lambda: sorted((r.node, r.component) for r in graph.connected_components(edges).collect())
+    own = rows()
+    monkeypatch.setattr(graph, "SALTED_FROM", 0)
+    assert rows() == own
+
+
 def test_components_and_pairs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 3), (None, 1)], "src long, dst long")
     assert {r.node: r.component for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 1, 9: 1, 4: 4, 5: 4}
