@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+
 from .common import ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
@@ -22,77 +22,57 @@ from tokenizers import Tokenizer  # noqa: E402
 
 _W = r"[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]"
 _WHOLE = f"{_W} {_W}|{_W} $|  "
-#: Pieces, and words of the pre-tokenizer, that a Python worker keeps before it forgets them all.
-CACHE_PIECES, CACHE_WORDS = 300_000, 300_000
+#: Distinct pieces that a Python worker keeps in each of two generations.
+CACHE_PIECES = 120_000
 #: Pieces whose ids are gathered at once.
 PART_PIECES = 1 << 18
-#: Words encoded as one text.
+#: Pieces encoded as one text.
 JOINED = 500
-#: The pre-tokenizers' patterns of the two public vocabularies.
-BYTE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Pieces of these letters are lower-cased and composed alike by every library; others are encoded whole.
-_SIMPLE = regex.compile(r"[\x00-\x7f\xa0-\xff]*")
 
 
 class PieceEncoder:
     def __init__(self, path: str, byte_level: bool):
-        """byte_level: a space belongs to the piece after it; else pieces are lower-cased, space dropped."""
+        """byte_level: a space belongs to the piece after it; else space between words is dropped."""
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.byte_level, self.lead = byte_level, " " if byte_level else ""
-        self.words = BYTE_WORDS if byte_level else LOWER_WORDS
+        # A mark between joined pieces that always has an id of its own.
+        self.mark, self.joint = ("\n", "\n") if byte_level else ("\u2022", " \u2022 ")
+        (self.sign,) = self._plain([self.mark])[0]
         self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        if byte_level:
-            (self.sign,) = self._plain(["\n"])[0]
-        else:
-            vocab = self.tok.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.before: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode distinct words, many in one text; where each ends shows in its ids."""
-        alone = [w for w in words if w.isspace()]
-        words = [w for w in words if not w.isspace()]
-        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for group, ids in zip(groups, self._plain([("\n" if self.byte_level else " ").join(g) for g in groups])):
-            ids = np.array(ids, dtype="<u4")
-            raw = ids.tobytes()
-            if self.byte_level:
-                cuts = (np.flatnonzero(ids == self.sign) * 4).tolist()
-                spans = zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)
-            else:
-                cuts = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
-                spans = zip([0, *cuts[:-1]], cuts, strict=True)
-            self.known.update(zip(group, (raw[a:b] for a, b in spans), strict=True))
-        self.known.update(zip(alone, (np.array(x, dtype="<u4").tobytes() for x in self._plain(alone))))
+    def _joins(self, piece: str) -> bool:
+        """Whether a piece keeps its ids beside the mark."""
+        return piece.split() == [piece.lstrip(" ")] if self.byte_level else self.mark not in piece
 
     def _learn(self, pieces: list[str]) -> None:
-        whole: list[str] = []
-        if not self.byte_level:
-            whole = [p for p in pieces if not _SIMPLE.fullmatch(p)]
-            pieces = [p for p in pieces if _SIMPLE.fullmatch(p)]
-        find, known = self.words.findall, self.known
-        words = [find(p) for p in pieces] if self.byte_level else [find(p.lower()) for p in pieces]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        self._learn_words(list({w for ws in words for w in ws if w not in known}))
-        self.pieces.update(zip(pieces, (b"".join([known[w] for w in ws]) for ws in words)))
-        self.pieces.update(zip(whole, (np.array(x, dtype="<u4").tobytes() for x in self._plain(whole))))
+        """Encode distinct pieces, many in one text; the mark's ids show where each ends."""
+        fit: list[str] = []
+        others: list[str] = []
+        for p in pieces:
+            (fit if self._joins(p) else others).append(p)
+        groups = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
+        for group, ids in zip(groups, self._plain([self.joint.join(g) for g in groups])):
+            ids = np.array(ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.sign) * 4).tolist()
+            spans = zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])
+            self.pieces.update(zip(group, (raw[a:b] for a, b in spans), strict=True))
+        self.pieces.update(zip(others, (np.array(x, dtype="<u4").tobytes() for x in self._plain(others))))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each of some distinct pieces."""
-        cache = self.pieces
-        new = [p for p in pieces if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = pieces
-        for at in range(0, len(new), 40_000):
-            self._learn(new[at : at + 40_000])
+        if len(self.pieces) > CACHE_PIECES:  # pieces in use come back from the last generation
+            self.pieces, self.before = {}, self.pieces
+        cache, before = self.pieces, self.before
+        missing = [p for p in pieces if p not in cache]
+        cache.update((p, before[p]) for p in missing if p in before)
+        new = [p for p in missing if p not in before]
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
         return [cache[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
