@@ -3,15 +3,17 @@
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataq.llm import bitpack, decontaminate, lm, media, packing, pii, queries, secrets, simhash, substrings, toxicity
+from strataq.llm import bitpack, decontaminate, lm, media, packing, pii, queries, secrets, simhash, substrings, tokens, toxicity
 from strataq.llm.spans import joined
 from strataq.llm.trigrams import ALWAYS, trigram_query
 
@@ -56,9 +58,15 @@ def by_text(rows, docs, *columns):
     return sorted(map(str, rows.select(*columns).collect()))
 
 
-def ids_of(text, name, end):
+@lru_cache
+def tokenizer(name):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
     tok.encode_special_tokens = True
+    return tok
+
+
+def ids_of(text, name, end):
+    tok = tokenizer(name)
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -79,6 +87,23 @@ def test_bits_round_trip(width, tmp_path):
         assert (reader.document(1) == ids[:1000]).all() and (reader.document(2) == ids[1000:]).all() and (reader.ids(299, 901) == ids[299:901]).all()
 
 
+ODD = ["a", "Zed", "foo", "'s", "’s", " ", "  ", "\n", "\t", "\xa0", " ", "•", "§", "é", "é", "́", "ß", "İ", "Σ", "ΑΣ", "1", "23", "!", "?!", "...", "<|endoftext|>", "日本", "🙂", "\x1c", "\x85", "​", "it's", "I'LL", "\r\n", "ﬁ", "\x00"]
+
+
+@pytest.mark.parametrize("name, byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_piece_encoder_equals_whole_texts(name, byte_level, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ODD + [" "] * 14) for _ in range(rng.randrange(30))) for _ in range(4000)] + [None, ""]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 300)  # so that generations change
+    encoder = tokens.PieceEncoder(public_tokenizers.path(name), byte_level)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, borders = encoder.encode(pa.array(part, pa.string()), 7)
+        assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])] == [ids_of(t, name, 7).tolist() for t in part]
+
+
 def test_token_files(docs, empty):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     got = [tuple(r) for r in bitpack.token_files(docs, vocabulary, 50_257).select("doc_id", "start", "n_tokens", "ids").collect()]
