@@ -54,8 +54,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         for batch in slices(batches, "text"):
             codes, borders = codes_of(batch.column("text"))
             text = np.repeat(np.arange(batch.num_rows), np.diff(borders))
-            pairs = np.unique(text * TERMS + (codes & (TERMS - 1)))
-            found += np.bincount(pairs % TERMS, minlength=TERMS + 1)
+            kind = np.uint32 if batch.num_rows * TERMS < 1 << 32 else np.int64
+            pairs = np.sort(text.astype(kind) * kind(TERMS) + (codes & (TERMS - 1)).astype(kind))
+            distinct = pairs[np.flatnonzero(np.diff(pairs, prepend=pairs[:1] + kind(1)))]
+            found += np.bincount(distinct % TERMS, minlength=TERMS + 1)
             found[TERMS] += batch.num_rows
         full = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(found[full])], names=["term", "n"])
@@ -227,6 +229,8 @@ class Index:
             for a, b in regions:
                 region = codes[a:b].tolist()
                 share = lcs_length(wanted, region) / len(wanted)
+                if share < MIN_LCS_ANSWER:
+                    continue
                 said = any(region[i : i + len(answer)] == answer for i in range(len(region) - len(answer) + 1)) if answer else False
                 best = max(best, (share, said, a - first, b - first))
             share, said, a, b = best
