@@ -6,10 +6,9 @@ place in the class. A document's score is the sum of these conditional log-proba
 
 Tokens are words without case; the VOCAB - OTHERS most frequent of the whole corpus have ids of their
 own and the rest share OTHERS hashed ids. Counts come from all documents. The network starts as the
-corpus's unigram model and is trained in numpy, in ROUNDS rounds, on a fixed share of all documents
-(one of TRAIN_EVERY, by hash, so it grows with the corpus): every task trains on its own part, then
-Spark averages the networks, weighted by tokens, over two levels of groups. The driver holds only
-VOCAB counts and one network.
+corpus's unigram model and is trained in numpy, in ROUNDS rounds, on all documents: every task trains
+on its own part, then Spark averages the networks, weighted by tokens, over two levels of groups. The
+driver holds only VOCAB counts and one network.
 
 Nulls, empty and long texts: a null or empty text has no tokens, log_prob 0 and no mean; long texts are
 scored whole. Repeated rows get equal scores; null doc_ids stay null; an empty table gives no rows.
@@ -33,7 +32,7 @@ from .terms import codes_of
 SIDE, DIM = 2, 16
 CLASSES = MEMBERS = 64
 VOCAB, OTHERS = CLASSES * MEMBERS, MEMBERS
-TRAIN_EVERY, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.05
+TRAIN_EVERY, ROUNDS, BATCH, RATE = 1, 2, 1024, 0.05  # every document trains the network
 #: Distinct words that a task counts before it sends them on; tokens scored at once.
 COUNTED, CHUNK = 1_000_000, 1 << 15
 BLOCK, LANES = 1 << 14, 32
@@ -163,13 +162,13 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.
             p -= RATE * g / (np.sqrt(s) + 1e-4)
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def fit_network(docs: DataFrame, text_col: str = "text") -> Network:
     """Count, then train and average in rounds."""
     counts = materialize(word_counts(docs, text_col), "word-counts")  # read twice
     top = counts.orderBy(F.desc("n"), "code").limit(VOCAB - OTHERS).toPandas()  # VOCAB rows at most
     total = counts.agg(F.sum("n")).first()[0] or 0
     net = start_network(top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(total - top["n"].sum()))
-    rows = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(TRAIN_EVERY)) == 0)
+    rows = docs.select(F.col(text_col).alias("text"))
     sizes = [p.size for p in net.params]
     schema = "block int, lane int, weight double, part binary"
     for _ in range(ROUNDS):

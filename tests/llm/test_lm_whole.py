@@ -1,0 +1,12 @@
+"""The language model over whole corpora."""
+
+import numpy as np
+
+from strataq.llm import lm
+
+
+def test_every_document_trains_the_network(spark):
+    """Each of some one-document tables moves the network from its unigram start."""
+    for i in range(3):
+        docs = spark.createDataFrame([(i, " ".join(f"w{i} x{i} y{j % 3}" for j in range(50)))], "doc_id long, text string")
+        assert np.abs(lm.fit_network(docs).classes).max() > 0
