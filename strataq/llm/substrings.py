@@ -14,8 +14,10 @@ hash, texts by 128. The three passes over texts join by document and share one s
 
 Nulls, empty and long texts: a null text is an empty one, with no words; long texts go whole. A null
 doc_id has no order: such a document keeps all its words and takes none from others. Rows of one
-doc_id are one document's: they take nothing from each other. An empty table gives no rows. Further
-columns are ignored.
+doc_id are one document's: they take nothing from each other. Their seeds are gathered by id alone, so
+each text of the id is looked through at all of them that lie in it: more windows than needed, of which
+the comparison keeps the shared ones. Equal windows of equal ids (ties) stay. An empty table gives no
+rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,8 +140,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _word_hashes(words)
         positions = batch.column("positions")
         counts = np.diff(np.asarray(positions.offsets, np.int64))
+        place = positions.flatten().to_numpy(zero_copy_only=False) + np.repeat(borders[:-1], counts)
         repeated = np.zeros(len(words), bool)
-        repeated[positions.flatten().to_numpy(zero_copy_only=False) + np.repeat(borders[:-1], counts)] = True
+        repeated[place[place < np.repeat(borders[1:], counts)]] = True  # an id's longer text has places beyond this one
         at = starts[repeated[_picks(_rolled(one, GRAM, _BASE[0]), starts)]]
         if not len(at):
             continue

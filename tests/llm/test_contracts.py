@@ -321,6 +321,14 @@ def test_substrings_of_many_copies(spark):
     assert sorted(str(tuple(r)) for r in substrings.remove_repeats(df).collect()) == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_substrings_of_one_id_with_two_texts(spark, order):
+    long = " ".join(f"v{i}" for i in range(300))
+    rows = [(5, long), (5, " ".join(f"s{i}" for i in range(14))), (9, " ".join(long.split()[180:220]))]
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    assert sorted(str(tuple(r)) for r in substrings.remove_repeats(df).collect()) == plain_repeats(rows)
+
+
 BENCH = [(1, PASSAGE), (2, "short one"), (3, None), (4, "entirely unrelated words that no document of this table holds in any order at all whatsoever")]
 
 
