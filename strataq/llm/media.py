@@ -77,19 +77,18 @@ def decode_png(data: bytes) -> bytes:
 def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every text's payload into tar shards under folder: a row per document (INDEX).
 
-    A task streams its shard to a name of its own and renames it when whole, so a lost or repeated
-    task leaves the same shard.
+    Each attempt of a task writes a shard of its own name, which only the rows of the attempt that
+    Spark accepts point to; nothing is renamed or written over.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, at = TaskContext.get().partitionId(), None, 0
         fs, root = open_fs(folder)
-        name, stored = f"shard-{part:06d}.tar", {}
+        name, stored = f"shard-{part:06d}-{uuid.uuid4().hex}.tar", {}
         for batch in slices(batches, "text"):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                temporary = f"{root}/.{part}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(temporary)
+                out = fs.open_output_stream(f"{root}/{name}")
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 payload = payload_of(text)
@@ -108,7 +107,6 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         if out is not None:
             out.write(bytes(1024))
             out.close()
-            fs.move(temporary, f"{root}/{name}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(write, INDEX)
@@ -172,4 +170,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Store all payloads, then fill metadata by header reads and features by reading the bytes back."""
     folder = scratch(docs.sparkSession, "media")
     index = materialize(store_payloads(docs, folder), "media-index")
-    return with_features(with_metadata(index))
+    # Index rows are small but stand for payloads: as many tasks read as wrote, each some ranges of shards.
+    tasks = max(1, index.select("shard").distinct().count())
+    spread = index.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return with_features(with_metadata(spread))
