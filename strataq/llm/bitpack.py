@@ -138,9 +138,9 @@ class ShardReader:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocab_size: int, end_id: int = 0, byte_level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and write shards in ascending document order under folder.
 
-    Range-partitions by document id, so shard k holds ids below those of shard k + 1. Each task
-    streams its shard to a file of its own name and renames it when whole; a repeated or lost task
-    writes the same file again. Returns (shard, path, n_docs, n_ids), one row per shard.
+    Range-partitions by document id, so shard k holds ids below those of shard k + 1. Each attempt of
+    a task streams its shard to a file of its own name, which only the row of the attempt that Spark
+    accepts points to; nothing is renamed or written over. Returns (shard, path, n_docs, n_ids), one row per shard.
     """
     width = width_of(vocab_size)
 
@@ -150,17 +150,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocab_size:
         for batch in slices(batches, "text"):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                temporary = f"{root}/.{shard}-{uuid.uuid4().hex}"
-                out = fs.open_output_stream(temporary)
+                name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bpk"
+                out = fs.open_output_stream(f"{root}/{name}")
                 writer = ShardWriter(out, width)
             ids, borders = enc.encode(batch.column("text"), end_id)
             writer.add(batch.column("doc_id").to_pylist(), ids, borders)
         if out is not None:
             writer.close()
             out.close()
-            path = f"{root}/shard-{shard:06d}.bpk"
-            fs.move(temporary, path)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.bpk"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
