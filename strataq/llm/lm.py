@@ -4,15 +4,21 @@ A small window network predicts every token from SIDE tokens on either side of i
 scaled by position, are summed and squashed, and a two-level softmax gives the token's class and its
 place in the class. A document's score is the sum of these conditional log-probabilities.
 
-Tokens are words without case; the VOCAB - OTHERS most frequent of the whole corpus have ids of their
-own and the rest share OTHERS hashed ids. Counts come from all documents. The network starts as the
-corpus's unigram model and is trained in numpy, in ROUNDS rounds, on all documents: every task trains
-on its own part, then Spark averages the networks, weighted by tokens, over two levels of groups. The
-driver holds only VOCAB counts and one network.
+Tokens are words without case. The HEAD most frequent of the whole corpus have ids of their own; the
+other ids are groups of rarer words (bands of frequency for the KNOWN most frequent, hashes for the
+rest), and a word of a group has the group's probability times its share of the group's count. So every
+word of the corpus has a probability of its own, and these sum to one. Counts come from all documents.
+The driver and the tasks hold KNOWN counts and one network; the counts of rarer words stay a table,
+which grows with the corpus and meets the rarer words of the documents in a join by word.
+
+The network starts as the corpus's unigram model and is trained in numpy, in ROUNDS rounds, on all
+documents: every task trains on its own part, then Spark averages the networks, weighted by tokens,
+over two levels of groups. Texts are coded once, into a table that all passes read.
 
 Nulls, empty and long texts: a null or empty text has no tokens, log_prob 0 and no mean; long texts are
-scored whole. Repeated rows get equal scores; null doc_ids stay null; an empty table gives no rows.
-Further columns are ignored.
+scored whole. Repeated rows get equal scores; words of equal counts (ties) have ids in order of their
+codes; null doc_ids stay null; an empty table gives no rows. A word that the corpus lacks counts as half
+a word. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,36 +36,67 @@ from .common import materialize, slices
 from .terms import codes_of
 
 SIDE, DIM = 2, 16
-CLASSES = MEMBERS = 64
-VOCAB, OTHERS = CLASSES * MEMBERS, MEMBERS
-TRAIN_EVERY, ROUNDS, BATCH, RATE = 1, 2, 1024, 0.05  # every document trains the network
+CLASSES = MEMBERS = 128
+#: Tokens; ids that stand for bands of the known words, and for hashes of the others; known words.
+VOCAB, BANDS, HASHED, KNOWN = CLASSES * MEMBERS, 96, 32, 1 << 17
+HEAD = VOCAB - BANDS - HASHED
+ROUNDS, RATE = 1, 0.08
+#: Batches grow with the tokens that a task has seen.
+FIRST_BATCH, BATCH, GROWTH = 256, 8192, 16
 #: Distinct words that a task counts before it sends them on; tokens scored at once.
-COUNTED, CHUNK = 1_000_000, 1 << 15
+COUNTED, PART = 1_000_000, 1 << 16
 BLOCK, LANES = 1 << 14, 32
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n) of every distinct word of the corpus; tasks add up their own words first."""
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, codes) of every text, written: its words as little-endian 32-bit codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            new, n = np.unique(codes_of(batch.column("text"))[0], return_counts=True)
+            codes, borders = codes_of(batch.column("text"))
+            raw = codes.astype("<u4")
+            found = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(4 * borders.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), found.cast(pa.binary())], names=["row", "doc_id", "codes"])
+            row += batch.num_rows
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return materialize(rows.mapInArrow(run, "row long, doc_id long, codes binary"), "coded")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, borders) of coded texts."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if data is not None else np.empty(0, "<u4")), (offsets - offsets[0]) // 4
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(code, n) of every distinct word of coded texts; tasks add up their own words first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        for batch in slices(batches, "codes"):
+            new, n = np.unique(_codes(batch.column("codes"))[0], return_counts=True)
             both, back = np.unique(np.concatenate((codes, new)), return_inverse=True)
             codes, counts = both, np.bincount(back, np.concatenate((counts, n)), len(both)).astype(np.int64)
             if len(codes) > COUNTED:
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], names=["code", "n"])
                 codes, counts = codes[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], names=["code", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.select("codes").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Network:
-    codes: np.ndarray  # sorted codes of the frequent words
+    head: int  # words with ids of their own
+    codes: np.ndarray  # sorted codes of the known words
     ids: np.ndarray  # their token ids
+    share: np.ndarray  # log of their share of their token's count
+    rest: np.ndarray  # log counts of the HASHED tokens of all other words
+    begin: np.ndarray  # codes below each 20-bit prefix
     embed: np.ndarray  # VOCAB + 1 rows; the last one, beyond a text's ends, stays zero
     place: np.ndarray  # scale of each position
     classes: np.ndarray  # CLASSES x DIM
@@ -71,11 +108,21 @@ class Network:
     def params(self) -> list[np.ndarray]:
         return [self.embed, self.place, self.classes, self.class_bias, self.members, self.member_bias]
 
-    def tokens(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.codes):
-            return VOCAB - OTHERS + codes % OTHERS
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.ids[at], VOCAB - OTHERS + codes % OTHERS)
+    def with_params(self, params: list[np.ndarray]) -> Network:
+        return Network(self.head, self.codes, self.ids, self.share, self.rest, self.begin, *params)
+
+    def tokens(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids, and the places of words among the known ones (-1 for others)."""
+        at = np.full(len(codes), -1, np.int32)
+        if len(self.codes):
+            prefix = codes >> np.uint32(12)
+            look, end = self.begin[prefix], self.begin[prefix + np.uint32(1)]
+            for i in range(int(np.diff(self.begin).max())):
+                held = look + i < end
+                held[held] = self.codes[look[held] + i] == codes[held]
+                at[held] = look[held] + i
+        ids = np.where(at >= 0, self.ids[at] if len(self.ids) else 0, self.head + BANDS + (codes % HASHED).astype(np.int32))
+        return ids.astype(np.int32), at
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.embed[context[:, 0]] * self.place[0]
@@ -84,76 +131,94 @@ class Network:
         return np.tanh(total)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = self.hidden(context)
+        """Log-probabilities of tokens in their contexts."""
+        order = np.argsort(target, kind="stable")  # so that a class's tokens lie side by side
+        target = target[order]
+        hidden = np.ascontiguousarray(self.hidden(context[order]).T)
         group, member = np.divmod(target, MEMBERS)
-        logits = hidden @ self.classes.T + self.class_bias
-        out = logits[np.arange(len(target)), group] - _log_sum(logits)
-        order = np.argsort(group, kind="stable")
-        borders = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[borders[c] : borders[c + 1]]
-            if len(own):
-                logits = hidden[own] @ self.members[c].T + self.member_bias[c]
-                out[own] += logits[np.arange(len(own)), member[own]] - _log_sum(logits)
+        at = np.arange(len(target))
+        logits = self.classes @ hidden + self.class_bias[:, None]
+        found = logits[group, at] - _log_sum(logits)
+        borders = np.searchsorted(group, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(borders)):
+            a, b = borders[c], borders[c + 1]
+            logits = self.members[c] @ hidden[:, a:b] + self.member_bias[c][:, None]
+            found[a:b] += logits[member[a:b], at[: b - a]] - _log_sum(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(axis=1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(axis=1))
+    """Over the first axis; logits of a network stay far from where exp ends."""
+    return np.log(np.exp(logits).sum(axis=0))
 
 
-def start_network(codes: np.ndarray, counts: np.ndarray, others: int) -> Network:
-    """The unigram model of the most frequent words, by falling count, and of all other words' tokens."""
+def start_network(codes: np.ndarray, counts: np.ndarray, rest: np.ndarray, head: int = HEAD, known: int = KNOWN) -> Network:
+    """The unigram model of the known words, by falling count, and of the hashed tokens' counts."""
     rng = np.random.default_rng(1)
-    n = np.full(VOCAB, 0.5)
-    n[: len(counts)] += counts
-    n[VOCAB - OTHERS :] += others / OTHERS
-    n = n.reshape(CLASSES, MEMBERS)
+    ids = np.arange(len(codes), dtype=np.int64)
+    ids[head:] = head + (ids[head:] - head) * BANDS // (known - head)
+    n = np.bincount(ids, counts, VOCAB)
+    share = np.log(counts / n[ids]) if len(ids) else np.empty(0)
+    n[head + BANDS : head + BANDS + HASHED] = rest
+    logs = np.log(n + 0.5).reshape(CLASSES, MEMBERS)
     order = np.argsort(codes)
+    begin = np.searchsorted(codes[order], np.arange((1 << 20) + 1, dtype=np.int64) << 12).astype(np.int32)
     embed = rng.normal(0, 0.1, (VOCAB + 1, DIM)).astype(np.float32)
     embed[VOCAB] = 0
-    return Network(codes[order], order.astype(np.int64), embed, np.ones((len(OFFSETS), DIM), np.float32), np.zeros((CLASSES, DIM), np.float32), np.log(n.sum(axis=1)).astype(np.float32), np.zeros((CLASSES, MEMBERS, DIM), np.float32), np.log(n).astype(np.float32))
+    top = np.log(np.exp(logs).sum(axis=1))
+    return Network(
+        head, codes[order].astype(np.uint32), ids[order].astype(np.int32), share[order], np.log(np.maximum(rest, 0.5)), begin,
+        embed, np.ones((len(OFFSETS), DIM), np.float32), np.zeros((CLASSES, DIM), np.float32), (top - top.max()).astype(np.float32),
+        np.zeros((CLASSES, MEMBERS, DIM), np.float32), (logs - top[:, None]).astype(np.float32),
+    )
 
 
 def contexts(tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """The tokens at OFFSETS around each token, VOCAB beyond the text's ends."""
     n = len(tokens)
-    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
     out = np.full((n, len(OFFSETS)), VOCAB, np.int32)
+    left = np.arange(n, dtype=np.int32) - np.repeat(borders[:-1], np.diff(borders)).astype(np.int32)
+    right = np.repeat(borders[1:], np.diff(borders)).astype(np.int32) - np.arange(n, dtype=np.int32) - 1
     for j, o in enumerate(OFFSETS):
-        a, b = max(0, -o), min(n, n - o)
+        a, b = max(0, -o), max(0, min(n, n - o))
         if b > a:
-            same = text[a + o : b + o] == text[a:b]
+            same = (left[a:b] >= -o) if o < 0 else (right[a:b] >= o)
             out[a:b, j] = np.where(same, tokens[a + o : b + o], VOCAB)
     return out
 
 
-def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.ndarray]) -> None:
-    """One pass of Adagrad over some tokens, in place."""
-    for at in range(0, len(target), BATCH):
-        ctx, goal = context[at : at + BATCH], target[at : at + BATCH]
-        n = len(goal)
+def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.ndarray], seen: int = 0) -> None:
+    """One pass of Adagrad over some tokens, in place; a batch's tokens are sorted by class."""
+    at = 0
+    while at < len(target):
+        to = at + min(BATCH, FIRST_BATCH + (seen + at) // GROWTH)
+        goal = target[at:to]
+        order = np.argsort(goal)
+        goal, ctx, n = goal[order], context[at:to][order], len(goal)
+        at = to
         hidden = net.hidden(ctx)
         group, member = np.divmod(goal, MEMBERS)
         grads = [np.zeros_like(p) for p in net.params]
-        logits = hidden @ net.classes.T + net.class_bias
-        error = np.exp(logits - _log_sum(logits)[:, None])
+        error = np.exp(hidden @ net.classes.T + net.class_bias)
+        error /= error.sum(axis=1, keepdims=True)
         error[np.arange(n), group] -= 1
         grads[2], grads[3] = error.T @ hidden, error.sum(axis=0)
         back = error @ net.classes
-        order = np.argsort(group, kind="stable")
-        borders = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        borders = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(borders)):
-            own = order[borders[c] : borders[c + 1]]
-            logits = hidden[own] @ net.members[c].T + net.member_bias[c]
-            error = np.exp(logits - _log_sum(logits)[:, None])
-            error[np.arange(len(own)), member[own]] -= 1
-            grads[4][c], grads[5][c] = error.T @ hidden[own], error.sum(axis=0)
-            back[own] += error @ net.members[c]
+            a, b = borders[c], borders[c + 1]
+            error = np.exp(hidden[a:b] @ net.members[c].T + net.member_bias[c])
+            error /= error.sum(axis=1, keepdims=True)
+            error[np.arange(b - a), member[a:b]] -= 1
+            grads[4][c], grads[5][c] = error.T @ hidden[a:b], error.sum(axis=0)
+            back[a:b] += error @ net.members[c]
         back *= 1 - hidden**2
+        flat = (ctx[:, :, None] * DIM + np.arange(DIM, dtype=np.int32)).ravel()
+        parts = back[:, None, :] * net.place
+        grads[0] = np.bincount(flat, parts.ravel(), (VOCAB + 1) * DIM).astype(np.float32).reshape(-1, DIM)
         for j in range(len(OFFSETS)):
-            np.add.at(grads[0], ctx[:, j], back * net.place[j])
             grads[1][j] = (back * net.embed[ctx[:, j]]).sum(axis=0)
         grads[0][VOCAB] = 0
         for p, g, s in zip(net.params, grads, state):
@@ -162,26 +227,28 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.
             p -= RATE * g / (np.sqrt(s) + 1e-4)
 
 
-def fit_network(docs: DataFrame, text_col: str = "text") -> Network:
-    """Count, then train and average in rounds."""
-    counts = materialize(word_counts(docs, text_col), "word-counts")  # read twice
-    top = counts.orderBy(F.desc("n"), "code").limit(VOCAB - OTHERS).toPandas()  # VOCAB rows at most
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    net = start_network(top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(total - top["n"].sum()))
-    rows = docs.select(F.col(text_col).alias("text"))
+def fit_network(rows: DataFrame, counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Network:
+    """Start from the counts, then train and average in rounds over all coded texts."""
+    top = counts.orderBy(F.desc("n"), "code").limit(known).toPandas()  # KNOWN rows
+    codes, n = top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    sums = counts.groupBy((F.col("code") % HASHED).alias("k")).agg(F.sum("n").alias("n")).collect()  # HASHED rows
+    rest = -np.bincount(codes % HASHED, n, HASHED)
+    for r in sums:
+        rest[r["k"]] += r["n"]
+    net = start_network(codes, n, rest, head, known)
     sizes = [p.size for p in net.params]
     schema = "block int, lane int, weight double, part binary"
     for _ in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(net)
+        shared = rows.sparkSession.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            net = Network(*(a.copy() for a in vars(shared.value).values()))
+            net = shared.value.with_params([p.copy() for p in shared.value.params])
             state, seen = [np.zeros_like(p) for p in net.params], 0
-            for batch in slices(batches, "text"):
-                codes, borders = codes_of(batch.column("text"))
-                tokens = net.tokens(codes)
+            for batch in slices(batches, "codes"):
+                codes, borders = _codes(batch.column("codes"))
+                tokens = net.tokens(codes)[0]
                 mixed = np.random.default_rng(seen).permutation(len(tokens))
-                train(net, contexts(tokens, borders)[mixed], tokens[mixed], state)
+                train(net, contexts(tokens, borders)[mixed], tokens[mixed], state, seen)
                 seen += len(tokens)
             if seen:
                 flat = np.concatenate([p.ravel() for p in net.params]).astype("<f8") * seen
@@ -197,28 +264,45 @@ def fit_network(docs: DataFrame, text_col: str = "text") -> Network:
                     total, weight, block = found if total is None else total + found, weight + w, b
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "lane": pa.array([0], pa.int32()), "weight": [weight], "part": [total.astype("<f4").tobytes()]})
 
-        sums = rows.mapInArrow(run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).toPandas().sort_values("block")
+        sums = rows.select("codes").mapInArrow(run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).toPandas().sort_values("block")
         shared.unpersist()
         if not len(sums):
             break
         flat = np.concatenate([np.frombuffer(raw, "<f4") / w for raw, w in zip(sums["part"], sums["weight"])])
         parts = np.split(flat, np.cumsum(sizes)[:-1])
-        net = Network(net.codes, net.ids, *(p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.params)))
+        net = net.with_params([p.reshape(old.shape).astype(np.float32) for p, old in zip(parts, net.params)])
     return net
 
 
-def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_prob) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def score_coded(rows: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, log_prob) of every coded text."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            codes, borders = codes_of(batch.column("text"))
-            tokens = shared.value.tokens(codes)
+        net = shared.value
+        for batch in slices(batches, "codes"):
+            codes, borders = _codes(batch.column("codes"))
+            tokens, at = net.tokens(codes)
             around = contexts(tokens, borders)
-            logs = [shared.value.log_probs(around[i : i + CHUNK], tokens[i : i + CHUNK]) for i in range(0, len(tokens), CHUNK)]
-            sums = np.concatenate(([0.0], np.cumsum(np.concatenate(logs or [np.empty(0)]), dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(borders)), pa.array(sums[borders[1:]] - sums[borders[:-1]])], names=["doc_id", "n_tokens", "log_prob"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+            logs = [net.log_probs(around[i : i + PART], tokens[i : i + PART]) for i in range(0, len(tokens), PART)]
+            logs = np.concatenate(logs).astype(np.float64) if logs else np.empty(0)
+            logs += np.where(at >= 0, net.share[at] if len(net.share) else 0.0, -net.rest[codes % HASHED])
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            rare = at < 0
+            ends = np.concatenate(([0], np.cumsum(rare)))[borders].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[rare].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(borders)), pa.array(sums[borders[1:]] - sums[borders[:-1]]), lists], names=["row", "doc_id", "n_tokens", "log_prob", "rare"])
+
+    scored = materialize(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, rare array<long>"), "scores")
+    # Words beyond the known ones: few to a text, and none of them hot.
+    words = scored.select("row", F.explode("rare").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("times"))
+    logs = words.join(counts, "code", "left").groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0.5)))).alias("more"))
+    return scored.join(logs, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+
+
+def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, log_prob) of every row of docs, by a model of the corpus (docs itself if None)."""
+    rows = coded(docs, id_col, text_col)
+    known = rows if corpus is None else coded(corpus, id_col, text_col)
+    counts = materialize(word_counts(known), "word-counts")  # read three times
+    return score_coded(rows, fit_network(known, counts), counts)

@@ -12,8 +12,7 @@ from .spans import joined
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = lm.score_documents(docs, lm.fit_network(docs))
+    rows = lm.score_documents(table(spark, sf_dir, "documents"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return rows.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
 

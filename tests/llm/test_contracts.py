@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strataq.llm import bitpack, decontaminate, lm, media, packing, pii, queries, secrets, simhash, substrings, tokens, toxicity
+from strataq.llm import bitpack, decontaminate, media, packing, pii, queries, secrets, simhash, substrings, tokens, toxicity
 from strataq.llm.spans import joined
 from strataq.llm.trigrams import ALWAYS, trigram_query
 
@@ -403,36 +403,5 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks.limit(0))).collect()} == {0.5}
 
 
-def test_pseudo_likelihood(spark, docs, empty, monkeypatch):
-    import random
-
-    rng = random.Random(9)
-    order = list(range(60))
-    rng.shuffle(order)
-    walk = lambda a, n: " ".join(f"w{order[(a + j) % 60]}" for j in range(n))  # noqa: E731  each word tells the next
-    df = spark.createDataFrame([(i, walk(rng.randrange(60), 120)) for i in range(400)], "doc_id long, text string").repartition(2, "doc_id")
-    monkeypatch.setattr(lm, "TRAIN_EVERY", 1)
-    net = lm.fit_network(df)
-    shuffled = walk(0, 120).split()
-    rng.shuffle(shuffled)
-    test = spark.createDataFrame([(1, walk(5, 120)), (2, " ".join(shuffled))], "doc_id long, text string")
-    scores = {r.doc_id: r.log_prob for r in lm.score_documents(test, net).collect()}
-    unigram = 120 * np.log(1 / 60)
-    assert scores[1] > unigram * 0.8 and scores[1] > scores[2] + 20
-    monkeypatch.undo()
-    rows = {(r.doc_id, r.n_tokens, r.log_prob) for r in lm.score_documents(docs, lm.fit_network(docs)).collect()}
-    assert (5, 0, 0.0) in rows and all(p <= 0 for _, _, p in rows)
-    assert lm.score_documents(empty, lm.fit_network(empty)).count() == 0
-
-
-def test_log_probs_sum_to_one():
-    net = lm.start_network(np.arange(10, dtype=np.int64), np.arange(10, 0, -1), 5)
-    rng = np.random.default_rng(0)
-    net.members += rng.normal(0, 0.5, net.members.shape).astype(np.float32)
-    net.classes += rng.normal(0, 0.5, net.classes.shape).astype(np.float32)
-    context = np.tile(rng.integers(0, lm.VOCAB, len(lm.OFFSETS)), (lm.VOCAB, 1))
-    assert abs(np.exp(net.log_probs(context, np.arange(lm.VOCAB)).astype(np.float64)).sum() - 1) < 1e-3
-
-
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
