@@ -8,7 +8,7 @@ Tokens are words without case. The HEAD most frequent of the whole corpus have i
 other ids are groups of rarer words (bands of frequency for the KNOWN most frequent, hashes for the
 rest), and a word of a group has the group's probability times its share of the group's count. So every
 word of the corpus has a probability of its own, and these sum to one. Counts come from all documents.
-The driver and the tasks hold KNOWN counts and one network; the counts of rarer words stay a table,
+The driver and the tasks hold KNOWN counts at most and one network; the counts of rarer words stay a table,
 which grows with the corpus and meets the rarer words of the documents in a join by word.
 
 The network starts as the corpus's unigram model and is trained in numpy, in ROUNDS rounds, on all
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,8 +37,8 @@ from .common import materialize, slices
 from .terms import codes_of
 
 SIDE, DIM = 2, 16
-CLASSES = MEMBERS = 128
-#: Tokens; ids that stand for bands of the known words, and for hashes of the others; known words.
+CLASSES = MEMBERS = 100
+#: Tokens; ids that stand for bands of the known words, and for hashes of the others; known words at most.
 VOCAB, BANDS, HASHED, KNOWN = CLASSES * MEMBERS, 96, 32, 1 << 17
 HEAD = VOCAB - BANDS - HASHED
 ROUNDS, RATE = 1, 0.08
@@ -45,6 +46,8 @@ ROUNDS, RATE = 1, 0.08
 FIRST_BATCH, BATCH, GROWTH = 256, 8192, 16
 #: Distinct words that a task counts before it sends them on; tokens scored at once.
 COUNTED, PART = 1_000_000, 1 << 16
+#: Tokens whose class logits fit in the processor's cache.
+CACHED = 2048
 BLOCK, LANES = 1 << 14, 32
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
@@ -124,34 +127,47 @@ class Network:
         ids = np.where(at >= 0, self.ids[at] if len(self.ids) else 0, self.head + BANDS + (codes % HASHED).astype(np.int32))
         return ids.astype(np.int32), at
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.embed[context[:, 0]] * self.place[0]
-        for j in range(1, len(OFFSETS)):
-            total += self.embed[context[:, j]] * self.place[j]
-        return np.tanh(total)
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        """From the embeddings of the tokens around."""
+        total = around[0] * self.place[0]
+        for rows, scale in zip(around[1:], self.place[1:]):
+            total += rows * scale
+        return np.tanh(total, out=total)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probabilities of tokens in their contexts."""
         order = np.argsort(target, kind="stable")  # so that a class's tokens lie side by side
         target = target[order]
-        hidden = np.ascontiguousarray(self.hidden(context[order]).T)
+        context = context[order]
+        hidden = np.ascontiguousarray(self.hidden([self.embed[c] for c in context.T]).T)
         group, member = np.divmod(target, MEMBERS)
         at = np.arange(len(target))
-        logits = self.classes @ hidden + self.class_bias[:, None]
-        found = logits[group, at] - _log_sum(logits)
+        found = np.empty(len(target), np.float32)
+        for a in range(0, len(target), CACHED):
+            b = min(a + CACHED, len(target))
+            found[a:b] = _log_share(self.classes @ hidden[:, a:b] + self.class_bias[:, None], group[a:b], at[: b - a])
         borders = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(borders)):
             a, b = borders[c], borders[c + 1]
-            logits = self.members[c] @ hidden[:, a:b] + self.member_bias[c][:, None]
-            found[a:b] += logits[member[a:b], at[: b - a]] - _log_sum(logits)
+            found[a:b] += _log_share(self.members[c] @ hidden[:, a:b] + self.member_bias[c][:, None], member[a:b], at[: b - a])
         out = np.empty_like(found)
         out[order] = found
         return out
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """Over the first axis; logits of a network stay far from where exp ends."""
-    return np.log(np.exp(logits).sum(axis=0))
+def _log_share(logits: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log of the softmax down the columns; logits of a network stay far from where exp ends."""
+    own = logits[row, column]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=0))
+
+
+def _errors(logits: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(errors of a softmax along rows times the sums of each row, the sums' inverses)."""
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    logits[np.arange(len(goal)), goal] -= total
+    return logits, 1 / total
 
 
 def start_network(codes: np.ndarray, counts: np.ndarray, rest: np.ndarray, head: int = HEAD, known: int = KNOWN) -> Network:
@@ -198,28 +214,29 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.
         order = np.argsort(goal)
         goal, ctx, n = goal[order], context[at:to][order], len(goal)
         at = to
-        hidden = net.hidden(ctx)
+        around = [net.embed[c] for c in ctx.T]
+        hidden = net.hidden(around)
         group, member = np.divmod(goal, MEMBERS)
         grads = [np.zeros_like(p) for p in net.params]
-        error = np.exp(hidden @ net.classes.T + net.class_bias)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(n), group] -= 1
-        grads[2], grads[3] = error.T @ hidden, error.sum(axis=0)
-        back = error @ net.classes
+        back = np.empty_like(hidden)
+        for a in range(0, n, CACHED):
+            own = hidden[a : a + CACHED]
+            error, scale = _errors(own @ net.classes.T + net.class_bias, group[a : a + CACHED])
+            grads[2] += error.T @ (own * scale[:, None])
+            grads[3] += error.T @ scale
+            back[a : a + CACHED] = (error @ net.classes) * scale[:, None]
         borders = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(borders)):
             a, b = borders[c], borders[c + 1]
-            error = np.exp(hidden[a:b] @ net.members[c].T + net.member_bias[c])
-            error /= error.sum(axis=1, keepdims=True)
-            error[np.arange(b - a), member[a:b]] -= 1
-            grads[4][c], grads[5][c] = error.T @ hidden[a:b], error.sum(axis=0)
-            back[a:b] += error @ net.members[c]
+            error, scale = _errors(hidden[a:b] @ net.members[c].T + net.member_bias[c], member[a:b])
+            grads[4][c], grads[5][c] = error.T @ (hidden[a:b] * scale[:, None]), error.T @ scale
+            back[a:b] += (error @ net.members[c]) * scale[:, None]
         back *= 1 - hidden**2
-        flat = (ctx[:, :, None] * DIM + np.arange(DIM, dtype=np.int32)).ravel()
-        parts = back[:, None, :] * net.place
+        flat = (ctx.astype(np.int64)[:, :, None] * DIM + np.arange(DIM)).ravel()
+        parts = np.multiply(back[:, None, :], net.place, dtype=np.float64)
         grads[0] = np.bincount(flat, parts.ravel(), (VOCAB + 1) * DIM).astype(np.float32).reshape(-1, DIM)
         for j in range(len(OFFSETS)):
-            grads[1][j] = (back * net.embed[ctx[:, j]]).sum(axis=0)
+            grads[1][j] = np.einsum("ij,ij->j", back, around[j])
         grads[0][VOCAB] = 0
         for p, g, s in zip(net.params, grads, state):
             g /= n
@@ -229,7 +246,16 @@ def train(net: Network, context: np.ndarray, target: np.ndarray, state: list[np.
 
 def fit_network(rows: DataFrame, counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Network:
     """Start from the counts, then train and average in rounds over all coded texts."""
-    top = counts.orderBy(F.desc("n"), "code").limit(known).toPandas()  # KNOWN rows
+    # The least count from which words are known: from the numbers of words of like counts, a few hundred.
+    like = F.floor(16 * F.log2("n"))
+    steps = counts.groupBy(like.alias("like")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("like")).collect()
+    held, least = 0, None
+    for step in steps:
+        held += step["words"]
+        if held > known:
+            break
+        least = step["least"]
+    top = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "code"], ascending=[False, True]) if least else pd.DataFrame({"code": [], "n": []})
     codes, n = top["code"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     sums = counts.groupBy((F.col("code") % HASHED).alias("k")).agg(F.sum("n").alias("n")).collect()  # HASHED rows
     rest = -np.bincount(codes % HASHED, n, HASHED)

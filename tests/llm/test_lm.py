@@ -42,9 +42,10 @@ def test_every_document_trains_the_network(spark):
 
 def plain_log_prob(net, counts, codes, head, known):
     """Log-probability of one text, token by token, from the network's arrays and the counts alone."""
-    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    ranked = sorted(((c, n) for c, n in counts.items() if c in set(net.codes.tolist())), key=lambda x: (-x[1], x[0]))
+    assert 0 < len(ranked) <= known and (len(ranked) == len(counts) or min(n for _, n in ranked) > max(n for c, n in counts.items() if c not in set(net.codes.tolist())))
     ids = {}
-    for rank, (code, _) in enumerate(ranked[:known]):
+    for rank, (code, _) in enumerate(ranked):
         ids[code] = rank if rank < head else head + (rank - head) * lm.BANDS // (known - head)
     token = lambda c: ids.get(c, head + lm.BANDS + c % lm.HASHED)
     groups = Counter()
