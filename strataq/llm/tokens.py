@@ -4,11 +4,16 @@ A text is split at single spaces; pieces repeat a lot, so each distinct one is e
 ids are gathered with numpy. A single space between two non-space characters is always a border of
 the pre-tokenizer's pattern, so the ids equal those of the whole text. Texts where a space touches
 other white space (where the pattern looks across the border) are encoded whole.
+
+A new piece of plain letters, digits, stops and single line breaks alone is taken apart where those
+kinds meet: these are borders of either pattern too, so a word is encoded once, whatever stands around
+it. (Stops leave out the apostrophe, which the patterns join to letters.)
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +27,9 @@ from tokenizers import Tokenizer  # noqa: E402
 
 _W = r"[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]"
 _WHOLE = f"{_W} {_W}|{_W} $|  "
+_STOPS = ".,;:!?"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PARTS = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+|[{_STOPS}]+)|\n")
 #: Distinct pieces that a Python worker keeps in each of two generations.
 CACHE_PIECES = 120_000
 #: Pieces whose ids are gathered at once.
@@ -49,11 +57,33 @@ class PieceEncoder:
         """Whether a piece keeps its ids beside the mark."""
         return piece.split() == [piece.lstrip(" ")] if self.byte_level else self.mark not in piece
 
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        """A piece as parts of one kind each, or as a whole if it has other characters."""
+        core = piece.removeprefix(" ")
+        if self.byte_level or core.isascii():  # beyond ASCII, small letters can have marks of their own
+            if core.isalpha():
+                return (piece if self.byte_level else piece.lower(),)
+            if core[:-1].isalpha() and core[-1] in _STOPS:
+                return (piece[:-1] if self.byte_level else piece[:-1].lower(), core[-1])
+        found = _PARTS.findall(piece)
+        if "\n\n" in core or core[:1] == "\n" or core[-1:] == "\n" or sum(map(len, found)) < len(piece):
+            return (piece,)
+        return tuple(found if self.byte_level else [p.lower() for p in found if p != "\n"])
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode distinct pieces, many in one text; the mark's ids show where each ends."""
+        """Ids of some distinct new pieces: their parts are looked up or encoded, and joined again."""
+        apart = list(map(self._parts, pieces))
+        cache, before = self.pieces, self.before
+        parts = {q for x in apart for q in x if q not in cache}
+        cache.update((q, before[q]) for q in parts if q in before)
+        self._encode_parts([q for q in parts if q not in cache])
+        cache.update((p, cache[x[0]] if len(x) == 1 else b"".join([cache[q] for q in x])) for p, x in zip(pieces, apart))
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encode distinct parts, many in one text; the mark's ids show where each ends."""
         fit: list[str] = []
         others: list[str] = []
-        for p in pieces:
+        for p in parts:
             (fit if self._joins(p) else others).append(p)
         groups = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
         for group, ids in zip(groups, self._plain([self.joint.join(g) for g in groups])):
