@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_dir, root_of
+from .numbering import number_rows
 
 #: Bounds of a facet's length, and of a folder rollup's.
 FACET_MAX, FOLDERS_MAX = 200, 1000
@@ -92,12 +93,7 @@ def reciprocal_ranks(lists: list[DataFrame], key: str, rank: str, k: int = 60) -
 def stride_sample(df: DataFrame, order: str, percent: int) -> DataFrame:
     """Every ceil(100 / percent)-th row in an order; numbered by ranges, never in one task."""
     stride = -(-100 // max(1, min(percent, 100)))
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = own.join(F.broadcast(before.select("__part", "__before")), "__part")
-    return out.filter((F.col("__before") + F.col("__nth") - 1) % stride == 0).select(*df.columns)
+    return number_rows(df, [order], "__nth").filter(F.col("__nth") % stride == 0).select(*df.columns)
 
 
 def first_seen(df: DataFrame, group: str, rank: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_rows
+
 
 def merge_preview(target: DataFrame, source: DataFrame) -> DataFrame:
     """One row: rows of the source, those whose path the target has, and those with a known hash."""
@@ -15,15 +17,6 @@ def merge_preview(target: DataFrame, source: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(conflict).alias("path_conflicts"), F.count_if(~conflict & F.col("__h").isNotNull()).alias("hash_duplicates"))
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: int) -> DataFrame:
-    """Consecutive numbers in an order, from ranges of it: only a count per range meets in one place."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    return own.join(F.broadcast(before), "__part").withColumn(name, F.lit(start) + F.col("__before") + F.col("__nth")).drop("__part", "__before", "__nth")
-
-
 def merge_assets(target: DataFrame, source: DataFrame, import_duplicates: bool = False, remap: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(assets, id map): the target with the source's new rows.
 
@@ -38,7 +31,7 @@ def merge_assets(target: DataFrame, source: DataFrame, import_duplicates: bool =
     if not import_duplicates:
         fresh = fresh.join(target.filter("content_hash is not null").select("content_hash"), "content_hash", "left_anti")
     top = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = number_rows(fresh.withColumnRenamed("id", "__old"), "path", "id", top)
+    numbered = number_rows(fresh.withColumnRenamed("id", "__old"), ["path"], "id", top + 1)
     return target.unionByName(numbered.drop("__old"), allowMissingColumns=True), numbered.select(F.col("__old").alias("old_id"), F.col("id").alias("new_id"))
 
 
@@ -54,7 +47,7 @@ def reconcile_names(target: DataFrame, source: DataFrame) -> tuple[DataFrame, Da
     """(dimension, id map): names of the target kept, new ones of the source numbered on."""
     fresh = source.join(target.select("name"), "name", "left_anti").dropDuplicates(["name"])
     top = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = number_rows(fresh.drop("id"), "name", "id", top)
+    added = number_rows(fresh.drop("id"), ["name"], "id", top + 1)
     full = target.unionByName(added, allowMissingColumns=True)
     ids = source.select("name", F.col("id").alias("old_id")).join(full.select("name", F.col("id").alias("new_id")), "name")
     return full, ids.select("old_id", "new_id")
