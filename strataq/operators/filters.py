@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,9 @@ class ListOptions:
     project_id: int | None = None
     metadata: dict[str, list[str]] = field(default_factory=dict)
     analysed: int | None = None  # 1: with a marker; 0: pending; None: all
+    query: str | None = None  # of a full-text search
+    fuzzy: bool = False
+    fuzzy_last: bool = False
 
 
 @dataclass
@@ -128,19 +132,21 @@ def apply_filters(catalog: Catalog, opts: ListOptions) -> DataFrame:
 
 
 #: Sort orders: role and whether it falls; all end by rising id.
+#: Names fall in order of their small ASCII letters.
 SORTS = {f"{role}_{way}": (column, way == "desc") for role, column in (("modified", "modified_at"), ("name", "file_name"), ("type", "ext"), ("size", "size_bytes"), ("created", "created_at"), ("path", "path")) for way in ("asc", "desc")}
 
 
 def sort_by(df: DataFrame, catalog: Catalog, order: str) -> DataFrame:
     role, falls = SORTS[order]
-    c = catalog.col(role)
+    c = ascii_lower(catalog.col(role)) if role in ("file_name", "path") else catalog.col(role)
     return df.orderBy(c.desc() if falls else c.asc(), catalog.col("id"))
 
 
-def page(df: DataFrame, number: int = 0, size: int = PAGE) -> tuple[DataFrame, int]:
-    """A page of sorted rows, and the number of all rows."""
+def page(df: DataFrame, number: int = 0, size: int = PAGE) -> tuple[DataFrame, Callable[[], int]]:
+    """A page of sorted rows, and a function that counts all rows. For pages far on, keyset() reads less:
+    an offset is a top-k of all rows up to the page's end."""
     size = PAGE if size <= 0 else min(size, PAGE_MAX)
-    return df.offset(max(0, number) * size).limit(size), df.count()
+    return df.offset(max(0, number) * size).limit(size), df.count
 
 
 def keyset(df: DataFrame, key: str, after: int, limit: int) -> DataFrame:

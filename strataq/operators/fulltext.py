@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_match, words
+from ..plans.shared import materialize
+from .filters import Catalog, ListOptions, apply_filters, sort_by
 
-#: BM25 parameters, the length from which a word is a prefix, and operator words.
+#: BM25 parameters, the length from which a word is a prefix, and operator words. (Turkish
+#: "ve" is a plain word: it stands in ordinary sentences, and words side by side must all occur anyway.)
 K1, B, PREFIX = 1.2, 0.75, 4
-OPERATORS = {"and": "AND", "ve": "AND", "or": "OR", "veya": "OR", "not": "NOT", "değil": "NOT", "degil": "NOT"}
+OPERATORS = {"and": "AND", "or": "OR", "veya": "OR", "not": "NOT", "değil": "NOT", "degil": "NOT"}
 
 
 def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -23,6 +26,30 @@ def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.groupBy("term", key, "field", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+@dataclass
+class TextIndex:
+    """Postings in ranges of (term, key), and the corpus's statistics; searches read no text."""
+
+    postings: DataFrame  # term, key, field, positions, doc_length
+    fields: list[str]
+    n: int
+    mean: float
+
+
+def build_index(df: DataFrame, key: str, fields: list[str]) -> TextIndex:
+    """Write the index of some fields to the shared folder. Rows lie in order of their term and key, so a
+    search reads the parts of its terms alone, and a hot term spans many parts."""
+    tokens = [words(F.col(f"`{f}`")) for f in fields]
+    sized = df.select(F.col(f"`{key}`").alias("key"), *(t.alias(f"t{i}") for i, t in enumerate(tokens)))
+    sized = sized.withColumn("doc_length", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t{i}").alias("tokens")) for i, f in enumerate(fields))))
+    rows = sized.select("key", "doc_length", each.alias("f")).select("key", "doc_length", "f.field", F.posexplode("f.tokens").alias("position", "term"))
+    postings = rows.groupBy("term", "key", "field", "doc_length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    written = materialize(postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key"), "text-index")
+    stats = df.select(sum((F.size(t) for t in tokens), F.lit(0)).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    return TextIndex(written, fields, stats["n"], stats["mean"] or 1.0)
+
+
 @dataclass(frozen=True)
 class Term:
     text: str  # one word, or words of a phrase
@@ -130,12 +157,140 @@ def search(df: DataFrame, query: str, fields: list[str], synonyms: dict[str, lis
     if tree is None:
         return df
     found = df.filter(matches(tree, fields))
-    more = sorted({s for w in words_of(query) for s in (synonyms or {}).get(w, [])})[:20]
+    more = synonyms_of(query, synonyms or {})
     if not more or not found.isEmpty():
         return found
     return df.filter(matches(Node("OR", tuple(Term(w, " " in w) for w in [*words_of(query), *more])), fields))
 
 
+def leaves(tree, positive: bool = True) -> list[tuple[Term, bool]]:
+    """The terms of a query, and whether each is asked for (not after NOT)."""
+    if isinstance(tree, Term):
+        return [(tree, positive)]
+    return [x for i, p in enumerate(tree.parts) for x in leaves(p, positive and (tree.op != "NOT" or i == 0))]
+
+
+def _term_hits(index: TextIndex, terms: list[Term]) -> DataFrame:
+    """(key, doc_length, h0, h1, ...): hits of each term in each field, as an array; one row per key."""
+    term = F.col("term")
+    exact = sorted({w for t in terms if not t.prefix for w in t.text.split()})
+    asked = term.isin(exact) if exact else F.lit(False)
+    for p in sorted({t.text for t in terms if t.prefix}):
+        asked = asked | F.startswith(term, F.lit(p))
+    spots: dict[tuple[str, str], Column] = {}
+
+    def hits(t: Term, field: str) -> Column:
+        own = F.col("field") == field
+        if not t.phrase:
+            match = F.startswith(term, F.lit(t.text)) if t.prefix else term == t.text
+            return F.sum(F.when(own & match, F.size("positions")).otherwise(0)).cast("int")
+        found = [spots.setdefault((field, w), F.coalesce(F.max(F.when(own & (term == w), F.col("positions"))), F.array().cast("array<int>"))) for w in t.text.split()]
+
+        def whole(at: Column) -> Column:
+            out = F.lit(True)
+            for i, other in enumerate(found[1:], 1):
+                out = out & F.array_contains(other, at + i)
+            return out
+
+        return F.size(F.filter(found[0], whole))
+
+    return index.postings.filter(asked).groupBy("key").agg(F.max("doc_length").alias("doc_length"), *(F.array(*(hits(t, f) for f in index.fields)).alias(f"h{i}") for i, t in enumerate(terms)))
+
+
+def _holds(tree, number: dict[Term, int]) -> Column:
+    if isinstance(tree, Term):
+        return F.exists(f"h{number[tree]}", lambda n: n > 0)
+    out = _holds(tree.parts[0], number)
+    for p in tree.parts[1:]:
+        own = _holds(p, number)
+        out = out & own if tree.op == "AND" else out | own if tree.op == "OR" else out & ~own
+    return out
+
+
+def search_index(index: TextIndex, query: str, synonyms: dict[str, list[str]] | None = None) -> DataFrame | None:
+    """(key, score, sources) of the rows that meet a query; None for a blank one.
+
+    score is BM25 over all fields; sources names the fields that hold a term asked for. Without any row,
+    words are widened by synonyms: keys are whole words or word sequences of the query.
+    """
+    tree = parse_query(query)
+    if tree is None:
+        return None
+    found = _scored(index, tree)
+    more = synonyms_of(query, synonyms or {})
+    if not more or not found.isEmpty():
+        return found
+    return _scored(index, Node("OR", tuple(Term(w, " " in w, " " not in w and len(w) >= PREFIX) for w in [*words_of(query), *more])))
+
+
+def _scored(index: TextIndex, tree) -> DataFrame:
+    marked = leaves(tree)
+    terms = list(dict.fromkeys(t for t, _ in marked))
+    wanted = [i for i, t in enumerate(terms) if (t, True) in marked]
+    rows = _term_hits(index, terms)
+    total = {i: F.aggregate(f"h{i}", F.lit(0), lambda a, b: a + b) for i in wanted}
+    held = rows.agg(*(F.count_if(total[i] > 0).alias(f"d{i}") for i in wanted)).first()  # a count per term
+    score = F.lit(0.0)
+    for i in wanted:
+        idf = math.log(1 + (index.n - held[f"d{i}"] + 0.5) / (held[f"d{i}"] + 0.5))
+        score = score + idf * total[i] * (K1 + 1) / (total[i] + K1 * (1 - B + B * F.col("doc_length") / index.mean))
+    hit = F.array(*(F.when(sum((F.col(f"h{i}")[k] for i in wanted), F.lit(0)) > 0, F.lit(f)) for k, f in enumerate(index.fields)))
+    found = rows.filter(_holds(tree, {t: i for i, t in enumerate(terms)}))
+    return found.select("key", score.alias("score"), F.filter(hit, lambda f: f.isNotNull()).alias("sources"))
+
+
+def synonyms_of(query: str, synonyms: dict[str, list[str]], most: int = 20) -> list[str]:
+    """Other words for the words and word sequences of a query, none that it has itself."""
+    asked = words_of(query)
+    text = f" {' '.join(asked)} "
+    return sorted({s for k, v in synonyms.items() if f" {' '.join(words_of(k))} " in text for s in v if s not in asked})[:most]
+
+
+def fuzzy_index(index: TextIndex, query: str, fields: list[str]) -> DataFrame:
+    """(key) of rows where every word of the query is near some word of the fields; reads postings alone."""
+    terms = [w for w in re.split(r'[\s"()]+', query.lower()) if w and w not in OPERATORS]
+    near = [fuzzy_match(F.col("term"), w) for w in terms]
+    if not near:
+        return index.postings.select("key").limit(0)
+    any_of = near[0]
+    for c in near[1:]:
+        any_of = any_of | c
+    flags = index.postings.filter(F.col("field").isin(fields) & any_of).groupBy("key").agg(*(F.max(c).alias(f"n{i}") for i, c in enumerate(near)))
+    all_of = F.lit(True)
+    for i in range(len(near)):
+        all_of = all_of & F.col(f"n{i}")
+    return flags.filter(all_of).select("key")
+
+
+def list_search(catalog: Catalog, opts: ListOptions, index: TextIndex, order: str = "modified_desc", synonyms: dict[str, list[str]] | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """The filtered listing that a query asks for, in order: by the sort order without a query or with a
+    fuzzy one, else by falling score, ties by id. Adds score and sources (null where no index was asked).
+
+    opts.fuzzy: words near the query's in the fields names. opts.fuzzy_last: so only where the query has
+    no row.
+    """
+    rows, key = apply_filters(catalog, opts), catalog.roles.get("id", "id")
+    bare = lambda df: df.withColumns({"score": F.lit(None).cast("double"), "sources": F.lit(None).cast("array<string>")})
+    near = lambda: bare(sort_by(rows.join(fuzzy_index(index, opts.query, list(names)).withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left_semi"), catalog, order))
+    if opts.query and opts.query.strip() and opts.fuzzy:
+        return near()
+    hits = search_index(index, opts.query or "", synonyms)
+    if hits is None:
+        return bare(sort_by(rows, catalog, order))
+    found = rows.join(hits.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key")).drop("__key")
+    if opts.fuzzy_last and found.isEmpty():
+        return near()
+    return found.orderBy(F.desc("score"), key)
+
+
+def keyword_ids(index: TextIndex, keywords: list[str]) -> DataFrame:
+    """(key) of rows that hold any of some words or phrases."""
+    terms = [Term(" ".join(words_of(k)), len(words_of(k)) > 1) for k in keywords if words_of(k)]
+    if not terms:
+        return index.postings.select("key").limit(0)
+    return _scored(index, Node("OR", tuple(terms)) if len(terms) > 1 else terms[0]).select("key")
+
+
 def bm25(df: DataFrame, key: str, field: str, terms: list[str]) -> DataFrame:
     """(key, score) of rows that hold some term; statistics over all rows, in two aggregations.
 
@@ -178,6 +333,14 @@ def snippet(c: Column, terms: list[str], width: int = 12, marks: tuple[str, str]
     return F.transform(F.transform(F.array(F.struct(flagged.alias("words"))), best), shown)[0]
 
 
+def best_snippet(fields: list[str], terms: list[str], width: int = 12) -> Column:
+    """(field, text): the snippet of the field with most hits, the first of equal ones."""
+    wanted = F.array(*(F.lit(w) for w in terms))
+    counted = F.array(*(F.struct(F.size(F.filter(words(F.col(f)), lambda t: F.array_contains(wanted, t))).alias("n"), F.lit(-i).alias("at"), F.lit(f).alias("field"), snippet(F.col(f), terms, width).alias("text")) for i, f in enumerate(fields)))
+    best = F.array_max(counted)
+    return F.when(best["n"] > 0, F.struct(best["field"].alias("field"), best["text"].alias("text")))
+
+
 def fuzzy_search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
     """Rows where every word of the query is near some word of a field."""
     for term in [w for w in re.split(r'[\s"()]+', query.lower()) if w and w not in OPERATORS]:
