@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,25 @@ def mean_pool(vectors: Column) -> Column:
     """The mean of an array of vectors, scaled to length 1 (zeros stay)."""
     total = F.aggregate(F.slice(vectors, 2, 1 << 30), F.transform(vectors[0], lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     return F.transform(total, lambda x: x / F.greatest(norm(total), F.lit(1e-12)))
+
+
+def text_hash(c: Column) -> Column:
+    """A 63-bit fingerprint of a text's words: bits set in over half of their hashes (0 without words)."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        split = texts.fillna("").str.lower().str.split()
+        sizes = split.str.len().to_numpy(np.int64)
+        flat = np.array([w for x in split for w in x], dtype=object)
+        out = np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            return pd.Series(out)
+        hashes = pd.util.hash_array(flat, categorize=True) >> np.uint64(1)
+        starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+        for bit in range(63):
+            held = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64), starts)
+            out[full] |= (2 * held > sizes[full]).astype(np.int64) << bit
+        return pd.Series(out)
+
+    return run(c)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, extension, stem
-from ..functions.vectors import hamming
+from ..plans.shared import materialize
 from .graph import connected_components
 
 #: Sizes of a relation group, file kinds by priority, and backup suffixes.
@@ -17,36 +21,117 @@ VERSION = r"(?i)[ _.-]+(?:(?:v|r|rev\.?)[ _.-]*[0-9]+|(?:kopya|copy)[ _.-]*[0-9]
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """(key, n, first, members) of keys that two rows or more share; members as sorted ids."""
+    """(id, key, n, first): a row per member of each key that two rows or more share.
+
+    Sizes are counted first, so a hot key is never gathered; the join can split it.
+    """
     rows = df.select(key.alias("key"), F.col(id_col).alias("id")).filter("key is not null")
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("members")).filter("n >= 2")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= 2")
+    return rows.join(sizes, "key").select("id", "key", "n", "first")
 
 
 def same_name_groups(df: DataFrame, name: str, id_col: str) -> DataFrame:
     return duplicate_groups(df, ascii_lower(F.col(name)), id_col)
 
 
-def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
-    """(a, b, d): hash values (a < b) within a distance, exactly.
+def report_totals(groups: DataFrame) -> DataFrame:
+    """One row: groups, their members, and rows that could go."""
+    return groups.agg(F.count_distinct("key").alias("groups"), F.count(F.lit(1)).alias("members"), (F.count(F.lit(1)) - F.count_distinct("key")).alias("spare"))
+
+
+def groups_of(groups: DataFrame, seed: int) -> DataFrame:
+    """The members of the groups that hold one id."""
+    return groups.join(groups.filter(F.col("id") == seed).select("key").distinct(), "key", "left_semi").select(*groups.columns)
+
+
+def group_order(groups: DataFrame, score: str = "n") -> DataFrame:
+    """Members by falling score of their group, then its first id, then their own."""
+    return groups.orderBy(F.desc(score), "first", "id")
+
+
+#: Values of a band that are compared at once.
+BLOCK = 4096
+
+
+def _blocks(df: DataFrame, hash_col: str, distance: int, bits: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Distinct hashes by band, band value and pair of blocks; the bands' bits.
 
-    Equal hashes are one value; a value is cut into distance + 1 bands, of which two values within the
-    distance share one. Values meet by band, which grows with the values in a band alone.
+    A value is cut into distance + 1 bands, of which two values within the distance share one. A band
+    value that many hashes share is dealt over pairs of blocks, so no group has more than two blocks.
     """
     values = df.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
-    n = distance + 1
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("v")) for i, (low, high) in enumerate(zip(edges, edges[1:]))))
+    edges = [round(i * bits / (distance + 1)) for i in range(distance + 2)]
+    cuts = list(zip(edges, edges[1:]))
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("v")) for i, (low, high) in enumerate(cuts)))
     banded = values.select("h", F.explode(bands).alias("band"))
-    a, b = banded.select(F.col("h").alias("a"), "band"), banded.select(F.col("h").alias("b"), "band")
-    near = a.join(b, "band").filter("a < b").withColumn("d", hamming(F.col("a"), F.col("b"))).filter(F.col("d") <= distance)
-    return near.select("a", "b", "d").distinct()
+    sizes = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
+    rows = banded.join(sizes, "band").withColumn("own", own).withColumn("met", F.explode(met))
+    return rows.select("band.i", "band.v", "met.x", "met.y", "own", "h"), cuts
+
+
+def _near(frame: pd.DataFrame, distance: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, d), a < b: values of a pair of blocks within the distance that share no earlier band."""
+    band, one, two = int(frame["i"].iloc[0]), int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
+    left = frame.loc[frame["own"] == one, "h"].to_numpy(np.int64)
+    right = frame.loc[frame["own"] == two, "h"].to_numpy(np.int64)
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        apart = part[:, None] ^ right[None, :]
+        d = np.bitwise_count(apart.view(np.uint64))
+        hit = (d <= distance) & (d > 0)
+        for low, high in cuts[:band]:
+            hit &= (apart >> low) & ((1 << (high - low)) - 1) != 0
+        i, j = np.nonzero(hit)
+        a, b, d = part[i], right[j], d[i, j].astype(np.int32)
+        if one == two:  # each pair once
+            keep = a < b
+            a, b, d = a[keep], b[keep], d[keep]
+        yield np.minimum(a, b), np.maximum(a, b), d
+
+
+def hamming_pairs(df: DataFrame, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
+    """(a, b, d): hash values (a < b) within a distance, exactly; equal hashes are one value."""
+    rows, cuts = _blocks(df, hash_col, distance, bits)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = list(_near(frame, distance, cuts))
+        return pd.DataFrame({c: np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k, c in enumerate("abd")})
+
+    return rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int")
+
+
+def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataFrame:
+    """(a, b, d): for each value of each pair of blocks that has a partner there, an edge to the least of
+    its group, and the distance of its farthest partner. A row a member, never a row a pair."""
+    rows, cuts = _blocks(df, hash_col, distance, bits)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        values = np.unique(frame["h"].to_numpy(np.int64))
+        label, worst = np.arange(len(values)), np.zeros(len(values), np.int32)
+        for a, b, d in _near(frame, distance, cuts):
+            a, b = np.searchsorted(values, a), np.searchsorted(values, b)
+            np.maximum.at(worst, a, d)
+            np.maximum.at(worst, b, d)
+            while True:
+                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                if (low == high).all():
+                    break
+                np.minimum.at(label, high, low)
+                while (label[label] != label).any():
+                    label = label[label]
+        held = worst > 0
+        return pd.DataFrame({"a": values[label[held]], "b": values[held], "d": worst[held]})
+
+    return rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int")
 
 
 def visual_groups(df: DataFrame, id_col: str, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
     """(id, component, score): rows linked by near hashes; score from the worst edge."""
-    pairs = hamming_pairs(df, id_col, hash_col, distance, bits)
-    nodes = connected_components(pairs, "a", "b")
-    worst = pairs.join(nodes.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max("d").alias("worst"))
+    edges = materialize(_near_trees(df, hash_col, distance, bits), "near-hashes")
+    nodes = connected_components(edges, "a", "b")
+    worst = edges.join(nodes.withColumnRenamed("node", "b"), "b").groupBy("component").agg(F.max("d").alias("worst"))
     values = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null")
     placed = values.join(nodes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= 2").join(worst, "component", "left")
