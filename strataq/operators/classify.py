@@ -10,21 +10,47 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_tr, words
 
-#: Kinds of images with words that tell them, names that cameras give, kinds of files.
-KINDS = [("Render", ["render", "vray", "lumion", "enscape", "corona", "3dmax"]), ("Doku", ["doku", "texture", "material", "malzeme", "bump", "normalmap"]), ("Fotoğraf", ["foto", "photo", "fotograf", "santiye", "whatsapp"])]
+#: Words that tell a kind of image: in a name (for renders anywhere, or only as a word), in a
+#: folder, and at the end of a texture's name; source files that stand beside renders.
+RENDER_WORDS = ["render", "rendering", "rendered", "rendre", "vray", "v-ray", "corona", "lumion", "enscape", "twinmotion", "archviz", "cgi", "visualisation", "visualization", "gorsellestirme", "görsellestirme", "gorsellestirilmis", "arnold", "octane", "redshift", "maxwell", "mentalray", "mental_ray", "cycles", "eevee", "iray", "fstorm", "thearender", "beauty", "masterbeauty", "crypto", "cryptomatte", "denoised"]
+RENDER_WHOLE_WORDS = ["viz", "3d", "final", "output", "view", "scene", "sahne", "gorunum", "görünüm", "visual", "gorsel", "görsel", "exterior", "interior", "perspective", "perspektif", "cam", "camera"]
+PHOTO_WORDS = ["foto", "fotograf", "fotoğraf", "photograph", "cek", "çek", "cekim", "çekim", "santiye", "şantiye", "mevcut", "existing", "as_built", "asbuilt", "screenshot", "ekran_goruntusu", "ekran_görüntüsü", "dcim", "photo_", "_photo", "photos", "canon", "nikon", "sony", "fujifilm", "leica", "panasonic", "olympus", "pentax", "lumix", "hasselblad", "iphone", "samsung", "galaxy", "xiaomi", "redmi", "huawei", "pixel", "oneplus", "oppo", "vivo", "dji", "mavic", "phantom", "inspire", "gopro", "whatsapp", "wechat", "telegram"]
+TEXTURE_WORDS = ["doku", "texture", "material", "malzeme", "kaplama", "surface", "seamless", "tileable", "tile", "pattern", "desen", "map", "mapping", "pbr", "swatch"]
+TEXTURE_ENDS = ["_diff", "_diffuse", "_albedo", "_basecolor", "_base_color", "_col", "_color", "_norm", "_normal", "_nrm", "_normalmap", "_bump", "_height", "_disp", "_displacement", "_spec", "_specular", "_gloss", "_glossiness", "_rough", "_roughness", "_rgh", "_metal", "_metallic", "_metalness", "_met", "_ao", "_ambient_occlusion", "_occlusion", "_cavity", "_opacity", "_alpha", "_mask", "_transparency", "_emissive", "_emission", "_self_illumination", "_refl", "_reflection", "_ior", "_env", "_hdri", "_cubemap", "_1k", "_2k", "_4k", "_8k", "_16k", "_512", "_1024", "_2048", "_4096"]
+TEXTURE_FOLDERS = ["texture", "textures", "tex", "doku", "dokular", "material", "materials", "map", "maps", "mapping", "kaplama", "kaplamalar", "surface", "surfaces", "pbr", "tileable", "seamless", "06-dokular"]
+RENDER_FOLDERS = ["render", "renders", "renderlar", "04-renderlar", "output", "outputs", "cikti", "final", "gorsel", "gorseller", "visual", "visuals", "vray", "v-ray", "corona", "lumion", "enscape", "archviz", "visualization"]
+PHOTO_FOLDERS = ["foto", "fotograf", "fotograflar", "fotoğraf", "fotoğraflar", "photo", "photos", "photograph", "photographs", "santiye", "şantiye", "santiye_fotograflari", "mevcut_durum", "mevcut", "as_built", "asbuilt", "as-built", "dcim", "screenshot", "screenshots", "ekran_goruntusu", "ekran_görüntüsü", "site_photos", "site_photo", "survey", "field", "cekim", "çekim", "cekimler", "çekimler"]
+RENDER, TEXTURE, PHOTO = "Render", "Doku", "Fotoğraf"
+#: Names that cameras give, kinds of files.
 DEVICE = r"(?i)^(?:img[_-]?\d{3,}|dsc[fn_]?\d{3,}|pxl_\d+|dji_\d+|gopr?\d+|\d{4}-?\d{2}-?\d{2}[t_ -]?\d{2}|\d{13,})"
 CATEGORIES = {"cad": ["dwg", "dxf", "rvt", "rfa", "skp", "max", "ifc"], "image": ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "gif", "webp", "psd"], "document": ["pdf", "doc", "docx", "txt", "rtf", "odt"], "sheet": ["xls", "xlsx", "csv", "ods"], "video": ["mp4", "mov", "avi", "mkv", "webm"]}
 NOTHING = ["BOŞ", "YOK", "BOS", "-"]
 
 
-def image_kind(name: Column, folder: Column, camera: Column | None = None) -> Column:
-    """Name, then folder, then camera data; null if none tells."""
-    out = F.lit(None).cast("string") if camera is None else F.when(camera.isNotNull(), "Fotoğraf")
-    for source in (folder, name):
-        plain = normalize_tr(F.coalesce(source, F.lit("")))
-        for kind, hints in reversed(KINDS):
-            out = F.when(plain.rlike("|".join(map(re.escape, hints))), kind).otherwise(out)
-    return F.when(name.rlike(DEVICE), "Fotoğraf").otherwise(out)
+def image_kind(name: Column, folder: Column, camera: Column | None = None, rendered: Column | None = None, width: Column | None = None, height: Column | None = None) -> Column:
+    """Render, texture or photograph, by name and folders, then by what the file says; null if none tells.
+
+    A photograph told by its name stays one; else a camera's data make it one, a renderer's mark a render,
+    and a square of a power of two from 512 on a texture.
+    """
+    low, places = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(folder, F.lit("")))
+    stem = F.regexp_replace(low, r"(?<=.)\.[^.]*$", "")
+    has = lambda c, words: c.rlike("|".join(map(re.escape, words)))
+    texture_name = stem.rlike(f"(?:{'|'.join(map(re.escape, TEXTURE_ENDS))})$")
+    textures, renders, photos = (has(places, words) for words in (TEXTURE_FOLDERS, RENDER_FOLDERS, PHOTO_FOLDERS))
+    photo_name = has(low, PHOTO_WORDS)
+    by_name = (
+        F.when(texture_name, TEXTURE).when(stem.rlike(DEVICE), PHOTO)
+        .when(photos & ~textures, PHOTO).when(textures & ~renders & ~photos, TEXTURE)
+        .when(photo_name, PHOTO).when(renders & ~textures & ~photos, RENDER)
+        .when(has(low, TEXTURE_WORDS), TEXTURE).when(has(low, RENDER_WORDS), RENDER)
+        .when(low.rlike(f"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, RENDER_WHOLE_WORDS))})(?![A-Za-z0-9])"), RENDER)
+    )
+    no = F.lit(False)
+    side = F.coalesce(width, F.lit(0)) if width is not None else F.lit(0)
+    square = (side >= 512) & (side.bitwiseAND(side - 1) == 0) & (side == height) if height is not None else no
+    by_file = F.when(F.coalesce(camera, no) if camera is not None else no, PHOTO).when(F.coalesce(rendered, no) if rendered is not None else no, RENDER).when(F.coalesce(square, no), TEXTURE)
+    return F.when(by_name == PHOTO, PHOTO).otherwise(F.coalesce(by_file, by_name))
 
 
 def file_category(ext: Column) -> Column:

@@ -57,9 +57,9 @@ def filter_semi(spark, sf):
     return filters.semi(_t(spark, sf, "customer"), _t(spark, sf, "orders").filter("o_totalprice > 100000"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def filter_anti(spark, sf):
-    return filters.semi(_t(spark, sf, "customer"), _t(spark, sf, "orders"), "c_custkey", "o_custkey", "left_anti").select("c_custkey", "c_name")
+    return filters.semi(_t(spark, sf, "customer"), _t(spark, sf, "orders").filter("o_totalprice > 400000"), "c_custkey", "o_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-12-31 23:59:59'")
@@ -173,42 +173,40 @@ def argmax_winner(spark, sf):
     return aggregates.winners(_t(spark, sf, "orders"), "o_custkey", "o_orderkey", [F.col("o_totalprice"), F.col("o_orderkey")])
 
 
-@query("SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first, array_to_string(list_sort(list(doc_id)), ',') AS members FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+@query("WITH g AS (SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) SELECT doc_id AS id, g.key, n, first FROM documents JOIN g ON sha256(text) = g.key")
 def exact_dup_groups(spark, sf):
-    rows = duplicates.duplicate_groups(_t(spark, sf, "documents"), F.sha2("text", 256), "doc_id")
-    return rows.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+    return duplicates.duplicate_groups(_t(spark, sf, "documents"), F.sha2("text", 256), "doc_id")
 
 
-@query("SELECT lower(p_name) AS key, count(*) AS n, min(p_partkey) AS first, array_to_string(list_sort(list(p_partkey)), ',') AS members FROM part GROUP BY 1 HAVING count(*) >= 2")
-def same_name_groups(spark, sf):
-    rows = duplicates.same_name_groups(_t(spark, sf, "part"), "p_name", "p_partkey")
-    return rows.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+@query("WITH g AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) >= 2) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS members, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS spare FROM g")
+def dup_totals(spark, sf):
+    return duplicates.report_totals(exact_dup_groups(spark, sf))
 
 
-_HASH = "CAST('0x' || md5(p_brand || '|' || p_size)[1:15] AS BIGINT) * 8 + p_partkey % 8"
+@query("WITH g AS (SELECT lower(p_name) AS key, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) >= 2) SELECT p_partkey AS id, g.key, n, first FROM part JOIN g ON lower(p_name) = g.key")
+def same_name_groups(spark, sf):
+    return duplicates.same_name_groups(_t(spark, sf, "part"), "p_name", "p_partkey")
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with a hash whose low bits differ among parts of one brand and size, as of images in slight variation."""
-    high = F.conv(F.substring(F.md5(F.concat_ws("|", "p_brand", F.col("p_size").cast("string"))), 1, 15), 16, 10).cast("long")
-    return _t(spark, sf_dir, "part").select("p_partkey", (high * 8 + F.col("p_partkey") % 8).alias("h"))
+    return _t(spark, sf_dir, "documents").select("doc_id", vectors.text_hash(F.coalesce("text", F.lit(""))).alias("h"))
 
 
-@query(f"WITH h AS (SELECT DISTINCT {_HASH} AS h FROM part) SELECT a.h AS a, b.h AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS d FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3")
+# SQL has no such fingerprints; tests compare all pairs.
+@query()
 def hamming_pairs(spark, sf):
-    return duplicates.hamming_pairs(_hashes(spark, sf), "p_partkey", "h", 3, 63)
+    return duplicates.hamming_pairs(_hashes(spark, sf), "h", 3, 63)
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT p_partkey AS id, {_HASH} AS h FROM part), e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON bit_count(xor(a.h, b.h)) <= 2 AND a.id <> b.id),
-r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node AS id, min(root) AS component FROM r GROUP BY node""")
+@query()
 def dup_components(spark, sf):
-    return duplicates.visual_groups(_hashes(spark, sf), "p_partkey", "h", 2, 63).select("id", "component")
+    return duplicates.visual_groups(_hashes(spark, sf), "doc_id", "h", 3, 63).select("id", "component")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49 AND l_discount >= 0.09), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
+# All lines; recursive SQL over them does not end in time, so a test holds it against plain search.
+@query()
 def version_closure(spark, sf):
-    lines = _t(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
-    edges = _t(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+    edges = _t(spark, sf, "orders").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
     return graph.connected_components(edges)
 
 
@@ -266,35 +264,75 @@ def max_sim_per_label(spark, sf):
     return similarity.best_of_regions(hits, "label", "score")
 
 
-_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+')"
+_INDEXES: dict[tuple[str, str], fulltext.TextIndex] = {}
+
 
+def text_index(spark: SparkSession, sf_dir: str) -> fulltext.TextIndex:
+    """The index of documents, written once an application; searches read no text."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = fulltext.build_index(_t(spark, sf_dir, "documents"), "doc_id", ["text", "source"])
+    return _INDEXES[key]
 
-@query(rf"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE (list_contains(t, 'license') OR list_contains(t, 'apache')) AND NOT list_contains(t, 'mit')")
+
+_DOC_TOKENS = r"SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+') AS t, regexp_extract_all(lower(coalesce(source, '')), '[\p{L}\p{N}\p{M}]+') AS s, lang, n_chars FROM documents"
+
+
+@query(f"SELECT doc_id FROM ({_DOC_TOKENS}) WHERE (list_contains(t, 'license') OR list_contains(t, 'apache') OR list_contains(s, 'license') OR list_contains(s, 'apache')) AND NOT list_contains(t, 'mit') AND NOT list_contains(s, 'mit')")
 def fts_bool(spark, sf):
-    return fulltext.search(_t(spark, sf, "documents"), '("license" OR "apache") NOT mit', ["text"]).select("doc_id")
+    return fulltext.search_index(text_index(spark, sf), '("license" OR "apache") NOT mit').select(F.col("key").alias("doc_id"))
 
 
-@query(rf"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE len(list_filter(t, lambda x: starts_with(x, 'licen'))) > 0 AND list_contains(t, 'of')")
+@query(f"SELECT doc_id FROM ({_DOC_TOKENS}) WHERE len(list_filter(list_concat(t, s), lambda x: starts_with(x, 'licen'))) > 0 AND list_contains(list_concat(t, s), 'of')")
 def fts_prefix(spark, sf):
-    return fulltext.search(_t(spark, sf, "documents"), "licen of", ["text"]).select("doc_id")
+    return fulltext.search_index(text_index(spark, sf), "licen of").select(F.col("key").alias("doc_id"))
 
 
-@query(rf"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' apache license ')")
+@query(f"SELECT doc_id FROM ({_DOC_TOKENS}) WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' apache license ') OR contains(' ' || array_to_string(s, ' ') || ' ', ' apache license ')")
 def fts_phrase(spark, sf):
-    return fulltext.search(_t(spark, sf, "documents"), '"apache license"', ["text"]).select("doc_id")
+    return fulltext.search_index(text_index(spark, sf), '"apache license"').select(F.col("key").alias("doc_id"))
 
 
-@query(rf"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), f AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'under')) AS b FROM d),
-s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
-SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM f, s WHERE a + b > 0""")
+_SCORED = f"""WITH d AS ({_DOC_TOKENS}), f AS (SELECT doc_id, lang, n_chars, len(t) + len(s) AS l, len(list_filter(t, lambda x: x = 'license')) AS ta, len(list_filter(s, lambda x: x = 'license')) AS sa, len(list_filter(t, lambda x: x = 'under')) AS tb, len(list_filter(s, lambda x: x = 'under')) AS sb FROM d),
+s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (ta + sa > 0) AS da, count(*) FILTER (tb + sb > 0) AS db FROM f),
+r AS (SELECT doc_id, lang, n_chars, ta, sa, tb, sb, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * (ta + sa) * 2.2 / (ta + sa + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * (tb + sb) * 2.2 / (tb + sb + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM f, s WHERE ta + sa > 0 OR tb + sb > 0)"""
+
+
+@query(f"{_SCORED} SELECT doc_id, score FROM r")
 def bm25_scores(spark, sf):
-    return fulltext.bm25(_t(spark, sf, "documents"), "doc_id", "text", ["license", "under"]).withColumn("score", F.round("score", 6))
+    found = fulltext.search_index(text_index(spark, sf), '"license" OR "under"')
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
 
+@query(f"{_SCORED} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE lang IN ('en', 'fr') AND n_chars >= 200 AND ta + sa > 0 AND tb + sb > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def search_listing(spark, sf):
+    """A query within a filtered listing, best first."""
+    opts = ListOptions(ext=["en", "fr"], min_size=200, query='"license" AND "under"')
+    rows = fulltext.list_search(documents(spark, sf), opts, text_index(spark, sf)).withColumn("score", F.round("score", 6))
+    best = rows.orderBy(F.desc("score"), "doc_id").limit(50)
+    return best.select("doc_id", "score", F.row_number().over(aggregates.Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))  # 50 rows
 
-@query(r"SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT p_partkey, term, count(*) AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}\p{M}]+')) AS term FROM part) GROUP BY 1, 2) GROUP BY term")
+
+@query(f"{_SCORED} SELECT doc_id, CASE WHEN ta + tb > 0 THEN 'text' ELSE '' END || CASE WHEN ta + tb > 0 AND sa + sb > 0 THEN ',' ELSE '' END || CASE WHEN sa + sb > 0 THEN 'source' ELSE '' END AS sources FROM r")
+def match_sources(spark, sf):
+    found = fulltext.search_index(text_index(spark, sf), '"license" OR "under"')
+    return found.select(F.col("key").alias("doc_id"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"SELECT DISTINCT doc_id FROM ({_DOC_TOKENS}) WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' all rights reserved ') OR contains(' ' || array_to_string(t, ' ') || ' ', ' password ') OR list_contains(s, 'password')")
+def keyword_ids(spark, sf):
+    return fulltext.keyword_ids(text_index(spark, sf), ["all rights reserved", "password"]).select(F.col("key").alias("doc_id"))
+
+
+@query(f"SELECT doc_id FROM ({_DOC_TOKENS}) WHERE len(list_filter(t, lambda w: levenshtein(w, 'licence') <= 2)) > 0")
+def fuzzy_listing(spark, sf):
+    return fulltext.fuzzy_index(text_index(spark, sf), "licence", ["text"]).select(F.col("key").alias("doc_id"))
+
+
+@query(f"SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(t) AS term FROM ({_DOC_TOKENS})) GROUP BY 1, 2) GROUP BY term")
 def token_index(spark, sf):
-    index = fulltext.token_index(_t(spark, sf, "part"), "p_partkey", ["p_name"])
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
+    rows = text_index(spark, sf).postings.filter("field = 'text'")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
 
 
 @query(r"SELECT p_partkey, p_name FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda w: levenshtein(w, 'widgat') <= 1)) > 0")
@@ -302,10 +340,10 @@ def fuzzy_match(spark, sf):
     return fulltext.fuzzy_search(_t(spark, sf, "part"), "widgat", ["p_name"]).select("p_partkey", "p_name")
 
 
-@query(r"SELECT conv_id, turn FROM conversations WHERE len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+')) > 0 AND list_has_all(regexp_split_to_array(lower(translate(coalesce(text, ''), 'ıIİçÇğĞöÖşŞüÜ', 'iiiccggoossuu')), '[^\p{L}\p{N}]+'), ['the', 'that'])")
+@query(r"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(translate(coalesce(text, ''), 'ıIİçÇğĞöÖşŞüÜ', 'iiiccggoossuu')), '[^\p{L}\p{N}]+'), ['the', 'that'])")
 def keyword_gate(spark, sf):
     tokens = F.split(text.normalize_tr(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
-    return _t(spark, sf, "conversations").filter(F.array_contains(tokens, "the") & F.array_contains(tokens, "that")).select("conv_id", "turn")
+    return _t(spark, sf, "documents").filter(F.array_contains(tokens, "the") & F.array_contains(tokens, "that")).select("doc_id")
 
 
 @query(rf"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) AS r FROM embeddings),
@@ -446,7 +484,7 @@ def snippets(spark, sf):
 
 @query()
 def visual_groups(spark, sf):
-    return duplicates.visual_groups(_hashes(spark, sf), "p_partkey", "h", 2, 63)
+    return duplicates.visual_groups(_hashes(spark, sf), "doc_id", "h", 3, 63)
 
 
 @query()
@@ -502,9 +540,11 @@ def nearest_place(spark, sf):
     return geo.nearest_place(points, places, "s_suppkey").select("s_suppkey", "place")
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(render|vray|lumion|enscape|corona|3dmax)') THEN 'Render' WHEN regexp_matches(url, '(?i)(doku|texture|material|malzeme|bump|normalmap)') THEN 'Doku' WHEN regexp_matches(url, '(?i)(foto|photo|fotograf|santiye|whatsapp)') THEN 'Fotoğraf' END AS kind FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(f, '(texture|doku|material|kaplama|surface|pbr|tileable|seamless|map|tex)') AND NOT regexp_matches(f, '(foto|photo|mevcut|as_built|asbuilt|as-built|dcim|screenshot|ekran_g|survey|field|cekim|çekim|santiye|şantiye|site_)') AND NOT regexp_matches(f, '(render|output|cikti|final|gorsel|visual|vray|v-ray|corona|lumion|enscape|archviz)') THEN 1 ELSE 0 END AS texture_folder FROM (SELECT page_id, lower(regexp_replace(url, '[^/]*$', '')) AS f FROM pages)")
 def image_kinds(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", classify.image_kind(F.col("url"), F.lit(None).cast("string")).alias("kind"))
+    """Where the folder alone tells a texture."""
+    rows = _t(spark, sf, "pages").select("page_id", classify.image_kind(F.lit("x.jpg"), F.regexp_replace("url", "[^/]*$", "")).alias("kind"))
+    return rows.select("page_id", (F.coalesce("kind", F.lit("")) == classify.TEXTURE).cast("int").alias("texture_folder"))
 
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
@@ -540,14 +580,21 @@ def lockouts(spark, sf):
     return rates.lockouts(_t(spark, sf, "events"), "user_id", "ts", 3, 3600).select("user_id", F.date_format("locked_from", "yyyy-MM-dd HH:mm:ss").alias("locked_from"))
 
 
-@query("SELECT c.c_custkey AS id, 'orphan' AS state FROM customer c WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c.c_nationkey) UNION ALL SELECT o_orderkey, CASE WHEN abs(o_totalprice - o_orderkey) > 2 THEN 'stale' ELSE 'fresh' END FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey AS path, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN abs(o_totalprice - c_acctbal * 30) > 20000 THEN 'stale' ELSE 'fresh' END AS state FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
 def staleness(spark, sf):
     from ..operators import archive
 
-    orders = _t(spark, sf, "orders").filter("o_orderkey < 100")
-    catalog, listing = orders.select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("modified_at")), orders.select(F.col("o_orderkey").alias("path"), F.col("o_orderkey").alias("modified_at"))
-    orphans = filters.semi(_t(spark, sf, "customer"), _t(spark, sf, "nation"), "c_nationkey", "n_nationkey", "left_anti").select(F.col("c_custkey").alias("id"), F.lit("orphan").alias("state"))
-    return orphans.unionByName(archive.staleness(catalog, listing).withColumnRenamed("path", "id"))
+    catalog = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("modified_at"))
+    listing = _t(spark, sf, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_acctbal") * 30).alias("modified_at"))
+    return archive.staleness(catalog, listing, 20000)
+
+
+@query("SELECT 'orders' AS \"table\", count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey AND c_acctbal > 0)")
+def orphans(spark, sf):
+    from ..operators import archive
+
+    assets = _t(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return archive.orphans({"orders": (_t(spark, sf, "orders"), "o_custkey"), "lineitem": (_t(spark, sf, "lineitem"), "l_suppkey")}, assets)
 
 
 @query()

@@ -6,6 +6,7 @@ functions, one file at a time, and an error is a row, never a failed job.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
 import re
@@ -79,19 +80,43 @@ def read_text(data: bytes, ext: str) -> tuple[str, dict[str, str]]:
     return text, {k: str(v) for k, v in fields.items()}
 
 
+def _step_strings(text: str) -> list[str | None]:
+    """The quoted parts of a STEP argument list in order; '' within quotes is one quote."""
+    return [x.replace("''", "'") for x in re.findall(r"'((?:[^']|'')*)'", text)]
+
+
+def _header(text: str, name: str) -> str:
+    found = re.search(rf"{name}\s*\((.*?)\)\s*;", text, re.S)
+    return found[1] if found else ""
+
+
 def read_ifc(data: bytes, ext: str) -> tuple[str, dict[str, str]]:
-    """Header fields and counts of a STEP file's entities."""
+    """Header fields, names and counts of a STEP file's entities; the text is what people search for."""
     text = decode(data)[0]
     kinds = pd.Series(re.findall(r"^#\d+\s*=\s*([A-Z0-9_]+)\s*\(", text, re.M), dtype=object).value_counts()
-    fields = {"total_entities": str(int(kinds.sum())), "top_entities": ", ".join(f"{k}:{n}" for k, n in sorted(kinds.items(), key=lambda x: (-x[1], x[0]))[:10])}
+    fields = {"total_entities": str(int(kinds.sum()))}
+    if len(kinds):
+        fields["top_entities"] = ", ".join(f"{k}:{n}" for k, n in sorted(kinds.items(), key=lambda x: (-x[1], x[0]))[:10])
     fields |= {f"{n}_count": str(int(kinds.get(k, 0))) for n, k in (("storey", "IFCBUILDINGSTOREY"), ("space", "IFCSPACE"))}
-    if m := re.search(r"FILE_SCHEMA\s*\(\s*\(\s*'([^']*)'", text):
-        fields["schema"] = m[1]
+    # FILE_NAME: name, time, (authors), (organizations), preprocessor, originating system, authorization.
+    lists = re.findall(r"\(([^()]*)\)", _header(text, "FILE_NAME"))
+    after = _step_strings(re.sub(r"\([^()]*\)", "()", _header(text, "FILE_NAME")))
+    found = {
+        "schema": next(iter(_step_strings(_header(text, "FILE_SCHEMA"))), ""),
+        "description": next(iter(_step_strings(_header(text, "FILE_DESCRIPTION"))), ""),
+        "author": ", ".join(filter(None, _step_strings(lists[0]))) if lists else "",
+        "organization": ", ".join(filter(None, _step_strings(lists[1]))) if len(lists) > 1 else "",
+        "originating_system": after[3] if len(after) > 3 else "",
+    }
     for name, kind in (("project_name", "IFCPROJECT"), ("site_name", "IFCSITE"), ("building_name", "IFCBUILDING")):
-        if m := re.search(rf"={kind}\('[^']*',[^,]*,'([^']*)'", text.replace(" ", "")):
-            fields[name] = m[1]
-    names = re.findall(r"=\s*IFCBUILDINGSTOREY\('[^']*',[^,]*,'([^']*)'", text)[:50]
-    return "", fields | ({"storey_names": ", ".join(names)} if names else {})
+        m = re.search(rf"=\s*{kind}\s*\(\s*'[^']*'\s*,[^,]*,\s*'((?:[^']|'')*)'", text)
+        found[name] = m[1].replace("''", "'") if m else ""
+    fields |= {k: v for k, v in found.items() if v}
+    storeys = [x for x in re.findall(r"=\s*IFCBUILDINGSTOREY\s*\(\s*'[^']*'\s*,[^,]*,\s*'((?:[^']|'')*)'", text) if x][:50]
+    if storeys:
+        fields["storey_names"] = "; ".join(storeys)
+    said = [found[k] for k in ("project_name", "site_name", "building_name", "author", "organization", "originating_system", "description")]
+    return "\n".join([x for x in said if x] + storeys), fields
 
 
 def read_dxf(data: bytes, ext: str) -> tuple[str, dict[str, str]]:
@@ -150,7 +175,9 @@ EXTRACTORS: dict[str, Callable[[bytes, str], tuple[str, dict[str, str]]]] = {**d
 def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> DataFrame:
     """(path, ext, content_hash, text, fields, error) of the files below a root.
 
-    A file of an unknown format, or one too large, is a row without text.
+    A file is read once, for its hash and its text. One of an unknown format is a row without text, one
+    too large a row without both. Spark's setting spark.sql.execution.arrow.maxRecordsPerBatch bounds the
+    files that a task holds at once.
     """
     known = extractors or EXTRACTORS
 
@@ -164,14 +191,14 @@ def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> D
                         text, fields = known[ext](bytes(content), ext)
                 except Exception as e:  # one bad file is a row
                     error = f"{type(e).__name__}: {e}"[:500]
-                out.append((path, text, fields, error))
-            yield pd.DataFrame(out, columns=["path", "text", "fields", "error"])
+                digest = None if content is None else hashlib.sha256(content).hexdigest()
+                out.append((path, ext, digest, text, fields, error))
+            yield pd.DataFrame(out, columns=["path", "ext", "content_hash", "text", "fields", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = files.select("path", extension(F.element_at(F.split("path", "/"), -1)).alias("ext"), F.when((F.col("length") <= MAX_FILE) & extension(F.element_at(F.split("path", "/"), -1)).isin(list(known)), F.col("content")).alias("content"))
-    decoded = rows.mapInPandas(run, "path string, text string, fields map<string,string>, error string")
-    heads = files.select("path", extension(F.element_at(F.split("path", "/"), -1)).alias("ext"), F.sha2("content", 256).alias("content_hash"))
-    return heads.join(decoded, "path")
+    ext = extension(F.element_at(F.split("path", "/"), -1))
+    rows = files.select("path", ext.alias("ext"), F.when((F.col("length") <= MAX_FILE), F.col("content")).alias("content"))
+    return rows.mapInPandas(run, "path string, ext string, content_hash string, text string, fields map<string,string>, error string")
 
 
 def extract_html(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -31,9 +31,9 @@ def test_structural_groups(spark):
 
 
 def test_layers_and_kinds(spark):
-    df = spark.createDataFrame([("A-DUVAR", "IMG_1234.jpg", "x"), ("foo", "salon_vray.png", "foto"), (None, "a.png", "Santiye Foto")], "layer string, name string, folder string")
+    df = spark.createDataFrame([("A-DUVAR", "IMG_1234.jpg", "x"), ("foo", "salon_vray.png", "foto"), (None, "a.png", "Santiye Foto"), (None, "salon_vray.png", "x"), (None, "DSC_0001_diff.jpg", "x"), (None, "brick.png", "p/textures"), (None, "sony.png", "p/renders"), (None, "last view 2.png", "x"), (None, "overview.png", "x")], "layer string, name string, folder string")
     rows = df.select(shapes.layer_category(F.col("layer")).alias("l"), classify.image_kind(F.col("name"), F.col("folder")).alias("k")).collect()
-    assert [tuple(r) for r in rows] == [("DUVAR", "Fotoğraf"), ("DIGER", "Render"), (None, "Fotoğraf")]
+    assert [tuple(r) for r in rows] == [("DUVAR", "Fotoğraf"), ("DIGER", "Fotoğraf"), (None, "Fotoğraf"), (None, "Render"), (None, "Doku"), (None, "Doku"), (None, "Fotoğraf"), (None, "Render"), (None, None)]
 
 
 def test_labelled_text(spark):

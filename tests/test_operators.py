@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.functions import color, geometry, text, vectors
-from strataq.operators import aggregates, archive, chunking, duplicates, filters, fulltext, graph, retrieval, similarity, tables
+from strataq.operators import aggregates, archive, chunking, duplicates, filters, fulltext, graph, numbering, retrieval, similarity, tables
 from strataq.operators.filters import Catalog, ListOptions
+from strataq.plans.shared import materialize
 
 DOCS = [(1, "villa plan", "villa bahce"), (2, "ofis plan", "kat"), (3, "villa kesit", "salon villa"), (4, "roof and beam", "x"), (5, "bos", "villa bahçe bulutlu roof beam")]
 
@@ -83,7 +84,7 @@ def test_filters(spark):
     assert ids(metadata={"k": ["a"], "m": ["b", "c"]}) == [1] and ids(metadata={"k": ["a"], "m": []}) == [1, 2]
     assert ids(favourite=True) == [4] and ids(tags=["t", "u"]) == [1] and ids(deadline_year=["2024"]) == [1] and ids(modified_after=6, modified_before=6) == [2]
     rows, total = filters.page(filters.sort_by(filters.apply_filters(catalog, ListOptions()), catalog, "size_desc"), 1, 2)
-    assert total == 3 and [r.id for r in rows.collect()] == [1]
+    assert total() == 3 and [r.id for r in rows.collect()] == [1]
 
 
 def test_components_with_salts(spark, monkeypatch):
@@ -102,7 +103,7 @@ def test_components_and_pairs(spark):
     assert graph.connected_components(chain).select("component").distinct().collect()[0][0] == 0
 
 
-def test_hamming_pairs_are_exact(spark):
+def test_hamming_pairs_are_exact(spark, monkeypatch):
     import random
 
     rng = random.Random(4)
@@ -110,7 +111,16 @@ def test_hamming_pairs_are_exact(spark):
     values = base + [b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base]
     df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
     want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
-    assert {(r.a, r.b) for r in duplicates.hamming_pairs(df, "id", "h", 3).collect()} == want
+    assert {(r.a, r.b) for r in duplicates.hamming_pairs(df, "h", 3).collect()} == want
+    monkeypatch.setattr(duplicates, "BLOCK", 2)
+    assert sorted((r.a, r.b) for r in duplicates.hamming_pairs(df, "h", 3).collect()) == sorted(want)
+    groups = {}
+    for r in duplicates.visual_groups(df, "id", "h", 3).collect():
+        groups.setdefault((r.component, r.score), set()).add(r.id)
+    number = {h: i for i, h in enumerate(values)}
+    for (first, score), ids in groups.items():
+        inner = [(number[a], number[b], (a ^ b).bit_count()) for a, b in want if number[a] in ids]
+        assert first == min(ids) and {i for a, b, _ in inner for i in (a, b)} == ids and score == 100 - (max(d for *_, d in inner) * 100 + 32) // 64
 
 
 def test_relations(spark):
@@ -181,3 +191,47 @@ def test_stride_and_prefix(spark):
     df = spark.range(100).selectExpr("id", "concat('/root/', id) as p")
     assert sorted(r.id for r in aggregates.stride_sample(df, "id", 30).collect()) == list(range(0, 100, 4))
     assert aggregates.common_prefix(df, "p").first()[0] == "/root/"
+
+
+def test_numbers_over_many_ranges(spark, monkeypatch):
+    """Each range has its own task here, with adaptive execution on."""
+    wanted = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        source = spark.range(20_000).selectExpr("id", "lpad(cast(id * 7919 % 20011 as string), 6, '0') as path", "cast(null as string) as content_hash", "repeat('x', 40) as fill")
+        written = []
+        monkeypatch.setattr(numbering, "materialize", lambda df, label: written.append(materialize(df, label)) or written[-1])
+        numbered = numbering.number_rows(source, ["path"], "n", 5)
+        rows = numbered.select("n", "path").orderBy("n").collect()
+        assert [r.n for r in rows] == list(range(5, 20_005)) and [r.path for r in rows] == sorted(r.path for r in rows)
+        assert len(written[0].inputFiles()) >= 8
+        merged, ids = archive.merge_assets(source.filter("id < 3"), source)
+        assert merged.count() == 20_000 and merged.select("id").distinct().count() == 20_000 and ids.count() == 19_997
+        dim, _ = archive.reconcile_names(spark.createDataFrame([(9, "000001")], "id long, name string"), source.select("id", F.col("path").alias("name")))
+        assert dim.count() == 20_000 and dim.agg(F.max("id")).first()[0] == 9 + 19_999
+        assert aggregates.stride_sample(source.select("path"), "path", 5).count() == 1000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+INDEXED = {q: ids for q, ids in [("villa", [1, 3, 5]), ("villa OR ofis", [1, 2, 3, 5]), ("villa NOT salon", [1, 5]), ("villa AND salon", [3]), ('"villa bahce"', [1]), ("villa OR OR ofis", []), ("OR villa", []), ("and", [4]), ("(villa", [1, 3, 5]), ("roof and beam", [4, 5]), ("bulut", [5]), ("bul", []), ("villa plan", [1]), ("(ofis OR salon) plan", [2]), ("kat ve plan", []), ("villa veya ofis", [1, 2, 3, 5]), ("villa DEĞİL salon", [1, 5])]}
+
+
+def test_search_over_the_index_equals_the_scan(spark, docs):
+    index = fulltext.build_index(docs, "id", ["title", "body"])
+    for query, ids in INDEXED.items():
+        assert sorted(r.key for r in fulltext.search_index(index, query).collect()) == ids, query
+        assert sorted(r.id for r in fulltext.search(docs, query, ["title", "body"]).collect()) == ids, query
+    assert fulltext.search_index(index, " ") is None
+    assert [r.key for r in fulltext.search_index(index, "ana kubbe", {"ana kubbe": ["salon"]}).collect()] == [3]
+    assert {r.key: r.sources for r in fulltext.search_index(index, "villa NOT salon").collect()} == {1: ["title", "body"], 5: ["body"]}
+    assert sorted(r.key for r in fulltext.fuzzy_index(index, "vila", ["title"]).collect()) == [1, 3]
+    assert sorted(r.key for r in fulltext.keyword_ids(index, ["villa bahce", "ofis"]).collect()) == [1, 2]
+    catalog = Catalog(docs.withColumns({"file_name": F.col("title"), "modified_at": F.col("id")}))
+    listed = lambda **o: [r.id for r in fulltext.list_search(catalog, ListOptions(**o), index, names=("title",)).collect()]
+    assert listed(query="") == [5, 4, 3, 2, 1] and sorted(listed(query="villa")) == [1, 3, 5] and listed(query="vila", fuzzy_last=True) == [3, 1] and listed(query="vila") == []
+    one = spark.createDataFrame([("a plan", "a villa of villa")], "title string, body string").select(fulltext.best_snippet(["title", "body"], ["villa"]).alias("s")).first().s
+    assert (one.field, one.text.count("[villa]")) == ("body", 2)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from strataq.plans import service_queries  # noqa: F401
 from strataq.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
