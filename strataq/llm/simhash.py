@@ -3,9 +3,12 @@
 Fingerprints of equal texts meet in one class first. A vantage-point tree, fitted on a bounded sample
 of classes, deals all classes to shards by Hamming distance: at each node a class goes inside or
 outside a ball; if the triangle bound says that a partner may lie across the border, a class inside
-also visits the outside. By induction every linked pair meets in some shard. A shard's task splits on
-by vantage points of its own down to small leaves, compares there, and emits one edge per class to the
-smallest of its local group, never all pairs. Components of these edges are the result.
+also visits the outside. By induction every linked pair meets in some shard. Where a leaf of the fitted
+tree gets more than SHARD classes (counted first), it goes on below by vantage points drawn from a
+hash of the place in the tree, as deep as its count asks: these need no sample, so shards stay small
+however many classes there are. A shard's task splits on by vantage points of its own down to small
+leaves, compares there, and emits one edge per class to the smallest of its local group, never all
+pairs. Components of these edges are the result.
 
 Nulls, empty and long texts: a null text is an empty one, with fingerprint zero; long texts are hashed
 whole. Repeated rows get equal fingerprints and component; a null doc_id is never the smallest (the
@@ -30,6 +33,8 @@ from .common import materialize, slices
 SHINGLE, BITS, RADIUS = 3, 64, 3
 #: Classes that the tree is fitted on, at most; classes wanted in a shard; classes compared in a leaf.
 SAMPLE, SHARD, LEAF = 32_768, 16_384, 2048
+#: Leaves of the fitted tree at most.
+LEAVES = SAMPLE // 16
 #: Shingles hashed at once.
 CHUNK = 1 << 17
 
@@ -124,6 +129,21 @@ def route(x: np.ndarray, nodes: list[tuple[np.uint64, int, int, int]]) -> Iterat
         todo += [(a, members[inside]), (b, members[outside])]
 
 
+def deepen(x: np.ndarray, shard: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, members): a leaf's members dealt on by depth levels of drawn vantage points."""
+    todo = [(1, x)]
+    while todo:
+        at, members = todo.pop()
+        if not len(members):
+            continue
+        if at >= 1 << depth:
+            yield at, members
+            continue
+        point = np.uint64(xxhash.xxh64_intdigest(f"{shard}:{at}"))
+        inside, outside = _parts(members, point, BITS // 2 - 1)
+        todo += [(2 * at, members[inside]), (2 * at + 1, members[outside])]
+
+
 def local_groups(x: np.ndarray) -> np.ndarray:
     """The index of the first of each member's group, of distinct fingerprints linked within this shard."""
     label = np.arange(len(x))
@@ -166,13 +186,27 @@ def links(classes: DataFrame) -> DataFrame:
     """(src, dst): edges that connect exactly the fingerprints linked by distances within RADIUS."""
     n = classes.count()
     sample = classes.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE).toPandas()
-    nodes = fit_tree(sample["fingerprint"].to_numpy(np.int64).view(np.uint64), min(SAMPLE // 16, -(-n // SHARD))) if n else []
+    nodes = fit_tree(sample["fingerprint"].to_numpy(np.int64).view(np.uint64), min(LEAVES, -(-n // SHARD))) if n else []
+
+    depths: dict[int, int] = {}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
             for shard, members in route(x, nodes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), shard, np.int32)), pa.array(members.view(np.int64))], names=["shard", "fingerprint"])
+                for part, own in deepen(members, shard, depths.get(shard, 0)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard, np.int32)), pa.array(np.full(len(own), part)), pa.array(own.view(np.int64))], names=["shard", "part", "fingerprint"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            for shard, members in route(batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64), nodes):
+                found[shard] = found.get(shard, 0) + len(members)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["shard", "n"])
+
+    if n > LEAVES * SHARD:  # the fitted tree alone keeps shards small below that
+        sizes = classes.select("fingerprint").mapInArrow(tally, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()  # LEAVES rows at most
+        depths = {r["shard"]: max(0, (r["n"] // SHARD).bit_length()) for r in sizes}
 
     def compare(shard: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(shard["fingerprint"].to_numpy(np.int64).view(np.uint64))
@@ -180,7 +214,7 @@ def links(classes: DataFrame) -> DataFrame:
         moved = label != np.arange(len(x))
         return pd.DataFrame({"src": x[moved].view(np.int64), "dst": x[label[moved]].view(np.int64)})
 
-    return classes.select("fingerprint").mapInArrow(deal, "shard int, fingerprint long").groupBy("shard").applyInPandas(compare, "src long, dst long")
+    return classes.select("fingerprint").mapInArrow(deal, "shard int, part long, fingerprint long").groupBy("shard", "part").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

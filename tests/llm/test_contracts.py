@@ -288,6 +288,35 @@ def test_vantage_points_lose_no_link(spark, monkeypatch):
     assert simhash.local_groups(x).tolist() == [root(i) for i in range(len(x))]
 
 
+def test_shards_below_the_fitted_tree_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    far = rng.integers(0, 1 << 63, 1200, dtype=np.int64)
+    near = far[:500] ^ (np.int64(1) << rng.integers(0, 62, 500)) ^ (np.int64(1) << rng.integers(0, 62, 500))
+    values = np.unique(np.concatenate((far, near)))
+    x = values.view(np.uint64)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1)))}
+    met = set()
+    for _, members in simhash.deepen(x, 3, 4):
+        at = np.searchsorted(x, np.sort(members))
+        met |= {(int(at[i]), int(at[j])) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(x[at][:, None] ^ x[at][None, :]) <= 3, 1)))}
+    assert met == want
+    monkeypatch.setattr(simhash, "LEAVES", 2)
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    classes = spark.createDataFrame([(int(v),) for v in values], "fingerprint long").repartition(3)
+    edges = {(r.src, r.dst) for r in simhash.links(classes).collect()}
+    label = {int(v): int(v) for v in values}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a, b in edges:
+        label[root(a)] = root(b)
+    assert all(root(int(values[a])) == root(int(values[b])) for a, b in want)
+    assert len({root(int(v)) for v in values}) == len({simhash.local_groups(x)[i] for i in range(len(x))})
+
+
 def plain_repeats(rows):
     seen = {}
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
