@@ -12,7 +12,7 @@ Each task packs its own partition, in groups bounded by rows and tokens; what a
 to the next, so nothing is shuffled and a lost task is packed alike again.
 
 Nulls, empty and long texts: a null or empty text is an example of the end id alone; long texts are
-cut. A repeated row is packed again; a null doc_id stays null. An empty table gives no rows. Further
+cut. Of examples with equal dot products (ties) the first in the partition is taken. A repeated row is packed again; a null doc_id stays null. An empty table gives no rows. Further
 columns are ignored.
 """
 
@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from .common import slices
 from .tokens import encoder
 
-#: Limits of one sequence.
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 512, 4096
+#: Limits of one sequence, each of which binds on ordinary texts: a sequence of many short examples has its
+#: segments full first, one of examples without much context its loss-bearing tokens.
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 24, 3072
+#: Where no prompt is given, the share of an example's ids, from its start, that are context without loss.
+CONTEXT = 0.25
 #: Examples and tokens that a task packs together.
-GROUP_ROWS, GROUP_TOKENS = 8192, 2 << 20
+GROUP_ROWS, GROUP_TOKENS = 2048, 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -44,6 +47,8 @@ def pack_lengths(tokens: np.ndarray, loss: np.ndarray, caps: tuple[int, int, int
     (example, start) of rests that the next group packs (none if last).
     """
     cap_t, cap_s, cap_l = caps
+    if min(caps) < 1:
+        raise ValueError("each limit of a sequence is 1 or more")
     length, bearing = tokens.astype(np.int64).copy(), loss.astype(np.int64).copy()
     start = np.zeros(len(length), np.int64)
     out: list[list[tuple[int, int, int]]] = []
@@ -108,13 +113,15 @@ def pack_lengths(tokens: np.ndarray, loss: np.ndarray, caps: tuple[int, int, int
     return out, [(int(i), int(start[i])) for i in np.flatnonzero(length)]
 
 
-def pack_examples(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+def pack_examples(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, context: float = CONTEXT) -> DataFrame:
     """Encode texts and pack them: one row per piece, with its ids (little-endian unsigned 32 bit).
 
     prompt_col: text put before text_col that bears no loss (instruction data); a null is empty.
-    Without it every id but an example's first bears loss.
+    Without it the first share (context) of an example's ids is context that bears none.
     """
     caps = (max_tokens, max_segments, max_loss)
+    if min(caps) < 1:
+        raise ValueError("each limit of a sequence is 1 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, made = encoder(vocabulary, byte_level), TaskContext.get().partitionId(), 0
@@ -142,7 +149,7 @@ def pack_examples(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: in
         tokens = 0
         for batch in slices(batches, "text"):
             ids, borders = enc.encode(batch.column("text"), end_id)
-            firsts = np.ones(batch.num_rows, np.int64)
+            firsts = (np.diff(borders) * context).astype(np.int64)
             if prompt_col:
                 prompt, cuts = enc.encode(batch.column("prompt"), end_id)
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):

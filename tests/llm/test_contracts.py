@@ -153,6 +153,30 @@ def test_vector_limits_hold():
     assert (seen == tokens).all()
 
 
+def test_each_limit_binds_and_every_token_is_packed_once(spark):
+    """On texts of many lengths, every sequence keeps all three limits and each of them is met by some."""
+    import random
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 1, 2, 5, 40, 200, 900, 5000]))) for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = packing.pack_examples(df, public_tokenizers.path("word_bpe_49k.json"), False, 2).collect()
+    sequences, pieces = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        pieces.setdefault(r.doc_id, []).append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()]
+    assert [max(c) for c in zip(*sums)] == [4096, 24, 3072]
+    assert any(t < 4096 and n == 24 or t < 4096 and b >= 2048 for t, n, b in sums) and all(t & (t - 1) == 0 for t, _, _ in sums)
+    for i, text in enumerate(texts):
+        own = sorted(pieces[i], key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in own) == ids_of(text, "word_bpe_49k.json", 2).tobytes()
+        assert sum(r.loss_tokens for r in own) == own[0].doc_tokens - int(own[0].doc_tokens * packing.CONTEXT)
+    for limits in ({"max_loss": 0}, {"max_segments": 0}, {"max_tokens": 0}):
+        with pytest.raises(ValueError):
+            packing.pack_examples(df, "", False, 2, **limits)
+
+
 def test_instruction_data_bears_loss_on_answers(spark):
     df = spark.createDataFrame([(1, "a question here", "an answer"), (2, None, "only an answer"), (3, "q", None)], "doc_id long, prompt string, text string")
     rows = {r.doc_id: r for r in packing.pack_examples(df, public_tokenizers.path("word_bpe_49k.json"), False, 2, prompt_col="prompt").groupBy("doc_id").agg(F.sum("loss_tokens").alias("loss"), F.max("doc_tokens").alias("n")).collect()}
