@@ -1,10 +1,7 @@
-"""Changes to tables, and a store of table versions as Parquet folders with a pointer."""
+"""Changes to tables, snapshots of them, and a journal to undo and redo by."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,57 +64,53 @@ def append_newest(log: DataFrame, rows: DataFrame, keep: int | None = None) -> D
     return out if keep is None else out.orderBy(F.desc("id")).limit(keep)
 
 
-class TableStore:
-    """Tables of one archive under a folder: each change writes a new version of one or more tables,
-    then one small manifest, so readers see all of it or nothing. Older versions serve undo."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def manifest(self, version: int | None = None) -> dict[str, str]:
-        found = self.versions()
-        if not found:
-            return {}
-        rows = self.spark.read.text(f"{self.root}/manifests/v={found[-1] if version is None else version}").collect()
-        return json.loads("".join(r[0] for r in rows))
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.manifest(version)[table]}")
-
-    def write(self, **tables: DataFrame) -> int:
-        """A new version in which these tables are replaced."""
-        paths = self.manifest()
-        for name, df in tables.items():
-            paths[name] = f"data/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
-        return self._commit(paths)
-
-    def _commit(self, paths: dict[str, str]) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        self.spark.createDataFrame([(json.dumps(paths),)], "value string").coalesce(1).write.text(f"{self.root}/manifests/v={version}")
-        return version
-
-    def undo(self) -> int:
-        """The state before the last change, as a new version."""
-        found = self.versions()
-        if len(found) < 2:
-            raise ValueError("nothing to undo")
-        return self._commit(self.manifest(found[-2]))
-
-    def snapshot(self, folder: str) -> None:
-        """Copy the current tables to another folder as version 1 there."""
-        TableStore(self.spark, folder).write(**{n: self.read(n) for n in self.manifest()})
-
-    def upgrade(self, table: str, schema: dict[str, str]) -> int:
-        """Bring a table to a schema: new columns are null, types are cast."""
-        from .archive import read_legacy
-
-        return self.write(**{table: read_legacy(self.read(table), schema)})
+# Snapshots and the journal of changes: plain tables, written and joined by Spark.
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write every table to a folder of its own below a new folder."""
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+
+
+def restore(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a snapshot."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def upgrade(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """A table brought to a schema: new columns are null, types are cast."""
+    from .archive import read_legacy
+
+    return read_legacy(df, schema)
+
+
+#: Fixed value: steps that can be undone.
+JOURNAL_STEPS = 50
+
+
+def changes(before: DataFrame, after: DataFrame, key: str, step: int) -> DataFrame:
+    """(step, key, before, after): the rows that a step changed, with both of their states (null: no row)."""
+    old = before.select(F.col(key).alias("key"), F.struct(*before.columns).alias("before"))
+    new = after.select(F.col(key).alias("key"), F.struct(*before.columns).alias("after"))
+    both = old.join(new, "key", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    return both.select(F.lit(step).alias("step"), "key", "before", "after")
+
+
+def record(journal: DataFrame, change: DataFrame, step: int) -> DataFrame:
+    """The journal with a step in place of it and all later ones (which can no longer be redone)."""
+    return journal.filter((F.col("step") < step) & (F.col("step") > step - JOURNAL_STEPS)).unionByName(change)
+
+
+def undo(table: DataFrame, journal: DataFrame, key: str, step: int) -> DataFrame:
+    """The table before a step; undoing step after step goes back through the journal."""
+    return _as(table, journal.filter(F.col("step") == step), key, "before")
+
+
+def redo(table: DataFrame, journal: DataFrame, key: str, step: int) -> DataFrame:
+    return _as(table, journal.filter(F.col("step") == step), key, "after")
+
+
+def _as(table: DataFrame, change: DataFrame, key: str, state: str) -> DataFrame:
+    kept = table.join(change.select(F.col("key").alias(key)), key, "left_anti").select(*table.columns)
+    return kept.unionByName(change.filter(F.col(state).isNotNull()).select(*(F.col(f"{state}.{c}").alias(c) for c in table.columns)))

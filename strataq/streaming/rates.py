@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,14 +28,26 @@ def rate_decisions(df: DataFrame, key: str, at: str, order: str, seconds: float
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
+        last, opened, used, width = None, 0, 0, int(seconds * 1_000_000)
         for frame in batches:
-            allowed = []
-            for k, t in zip(frame["key"], frame["at"]):
-                if k != last:
-                    last, state = k, None
-                passed, state = decide([t.timestamp()], state, seconds, limit)
-                allowed += passed
+            keys, at = frame["key"].to_numpy(), frame["at"].to_numpy("datetime64[us]").astype(np.int64)
+            allowed = np.zeros(len(frame), bool)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(frame)]
+            for a, b in zip(edges[:-1], edges[1:]):  # a step a window, not a row
+                if a == b:
+                    continue
+                i = a
+                if keys[a] == last:  # its window may still be open
+                    i = a + int(np.searchsorted(at[a:b], opened + width))
+                    allowed[a:i] = np.arange(used + 1, used + 1 + i - a) <= limit
+                    used += i - a
+                while i < b:
+                    opened = int(at[i])
+                    end = i + max(1, int(np.searchsorted(at[i:b], opened + width)))
+                    used = end - i
+                    allowed[i:end] = np.arange(1, used + 1) <= limit
+                    i = end
+                last = keys[a]
             yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "allowed": allowed})
 
     rows = df.selectExpr(f"{order} as id", f"{key} as key", f"{at} as at").filter("key is not null and at is not null")

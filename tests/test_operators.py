@@ -141,14 +141,19 @@ def test_merge(spark):
     assert [(r.src, r.dst) for r in archive.remap_side(side, ids, ["src", "dst"]).collect()] == [(8, 9)]
 
 
-def test_store(spark, tmp_path):
-    store = tables.TableStore(spark, f"file://{tmp_path}/store")
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
-    store.write(assets=df)
-    store.write(assets=tables.upsert(store.read("assets"), spark.createDataFrame([(2, "c"), (3, "d")], "id long, name string"), ["id"]))
-    assert sorted((r.id, r.name) for r in store.read("assets").collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    store.undo()
-    assert sorted(r.name for r in store.read("assets").collect()) == ["a", "b"] and store.versions() == [1, 2, 3]
+def test_snapshots_and_journal(spark, tmp_path):
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    states = [spark.createDataFrame(x, "id long, name string") for x in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, None)], [(2, "c"), (3, "d")])]
+    journal = tables.changes(states[0], states[0], "id", 0)
+    for step in (1, 2):
+        journal = tables.record(journal, tables.changes(states[step - 1], states[step], "id", step), step)
+    back = tables.undo(states[2], journal, "id", 2)
+    assert rows(back) == rows(states[1]) and rows(tables.undo(back, journal, "id", 1)) == rows(states[0])
+    assert rows(tables.redo(tables.redo(states[0], journal, "id", 1), journal, "id", 2)) == rows(states[2])
+    assert {r.step for r in tables.record(journal, tables.changes(states[0], states[2], "id", 2), 2).collect()} == {1, 2}
+    tables.snapshot({"assets": states[2]}, f"file://{tmp_path}/one")
+    assert rows(tables.restore(spark, f"file://{tmp_path}/one", ["assets"])["assets"]) == rows(states[2])
+    assert tables.upgrade(states[0], {"id": "long", "kind": "string"}).columns == ["id", "kind"]
 
 
 def test_soft_delete_and_patch(spark):
