@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .images import convex_hull
+
 #: Weights of closed, open and mixed shape comparisons.
 CLOSED = {"vertices": 0.20, "compactness": 0.20, "regularity": 0.15, "aspect": 0.15, "rectangularity": 0.15, "solidity": 0.10, "constant": 0.05}
 OPEN = {"aspect": 0.35, "vertices": 0.30, "regularity": 0.25, "constant": 0.10}
@@ -45,6 +49,43 @@ def box(points: Column) -> tuple[Column, Column]:
     return side("x"), side("y")
 
 
+def _variation(values: Column) -> tuple[Column, Column]:
+    """(mean, standard deviation by the mean) of an array."""
+    mean = _sum(values) / F.size(values)
+    spread = F.sqrt(_sum(F.transform(values, lambda v: (v - mean) * (v - mean))) / F.size(values))
+    return mean, spread / mean
+
+
+def regularity(points: Column) -> Column:
+    """1 for equal edges and equal angles, falling to 0 with the variation of either; 0 below three corners."""
+    n = F.size(points)
+    lengths = F.transform(_edges(points), lambda e: F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+
+    def angle(i: Column) -> Column:
+        a, b, c = points[(i + n - 1) % n], points[i], points[(i + 1) % n]
+        ax, ay, cx, cy = a["x"] - b["x"], a["y"] - b["y"], c["x"] - b["x"], c["y"] - b["y"]
+        return F.abs(F.atan2(ax * cy - ay * cx, ax * cx + ay * cy))
+
+    edge, edge_spread = _variation(lengths)
+    turn, turn_spread = _variation(F.transform(F.sequence(F.lit(0), n - 1), angle))
+    return F.when((n < 3) | (edge < 1e-9) | (turn < 1e-9), 0.0).otherwise(F.exp(-2.0 * (edge_spread + turn_spread)))
+
+
+def solidity(points: Column) -> Column:
+    """The share of its convex hull that an outline fills."""
+
+    @F.pandas_udf("double")
+    def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x, y) -> float:
+            hull = convex_hull(np.stack((x, y), 1)) if x is not None and len(x) > 2 else np.empty((0, 2))
+            return 0.0 if len(hull) < 3 else 0.5 * abs(float(np.dot(hull[:, 0], np.roll(hull[:, 1], -1)) - np.dot(hull[:, 1], np.roll(hull[:, 0], -1))))
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype=float)
+
+    whole = hull_area(F.transform(points, lambda p: p["x"].cast("double")), F.transform(points, lambda p: p["y"].cast("double")))
+    return F.when(whole <= 0, 0.0).otherwise(F.least(F.lit(1.0), area(points) / whole))
+
+
 def compactness(a: Column, p: Column) -> Column:
     return F.when(p <= 0, 0.0).otherwise(F.least(F.lit(1.0), 4 * math.pi * a / (p * p)))
 

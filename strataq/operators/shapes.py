@@ -22,12 +22,10 @@ def outline_features(df: DataFrame, points: str, closed: str) -> DataFrame:
     w, h = geometry.box(p)
     area = F.when(F.col(closed), geometry.area(p)).otherwise(0.0)
     length = F.when(F.col(closed), geometry.perimeter(p)).otherwise(geometry.perimeter(p, False))
-    edges = F.zip_with(p, F.concat(F.slice(p, 2, 1 << 30), F.slice(p, 1, 1)), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
-    mean = F.aggregate(edges, F.lit(0.0), lambda s, x: s + x) / F.size(edges)
-    spread = F.sqrt(F.aggregate(edges, F.lit(0.0), lambda s, x: s + x * x) / F.size(edges) - mean * mean)
     out = df.withColumn("vertices", F.size(p)).withColumn("area", area).withColumn("perimeter", length)
     out = out.withColumn("aspect", F.when(F.least(w, h) <= 0, 0.0).otherwise(F.greatest(w, h) / F.least(w, h)))
-    out = out.withColumn("regularity", F.when(F.col(closed) & (mean > 0), F.greatest(F.lit(0.0), 1 - F.coalesce(spread, F.lit(0.0)) / mean)).otherwise(0.0))
+    out = out.withColumn("regularity", F.when(F.col(closed), geometry.regularity(p)).otherwise(0.0))
+    out = out.withColumn("solidity", F.when(F.col(closed), geometry.solidity(p)).otherwise(0.0))
     out = out.withColumn("compactness", geometry.compactness(F.col("area"), F.col("perimeter")))
     return out.withColumn("rectangularity", F.when(F.col(closed), geometry.rectangularity(p)).otherwise(0.0))
 

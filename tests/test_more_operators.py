@@ -11,9 +11,12 @@ from strataq.operators import archive, classify, geo, shapes
 def test_outline_features_and_search(spark):
     square, bar = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.0, 0.0), (8.0, 0.0), (8.0, 1.0), (0.0, 1.0)]
     df = spark.createDataFrame([(1, square, True, "LWPOLYLINE"), (2, bar, True, "LWPOLYLINE"), (3, square[:3], False, "LWPOLYLINE"), (4, square[:2], False, "LINE")], "asset_id long, p array<struct<x:double,y:double>>, closed boolean, entity_type string")
-    rows = shapes.searchable(shapes.outline_features(df, "p", "closed")).withColumn("solidity", F.lit(1.0))
+    rows = shapes.searchable(shapes.outline_features(df, "p", "closed"))
     got = {r.asset_id: r for r in rows.collect()}
     assert sorted(got) == [1, 2, 3] and got[1].regularity == 1.0 and got[1].rectangularity == 1.0 and got[2].aspect == 8.0 and got[3].area == 0.0
+    assert got[1].solidity == got[2].solidity == 1.0 and got[3].solidity == 0.0 and 0 < got[2].regularity < 0.3
+    corner = spark.createDataFrame([([(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0), (1.0, 2.0), (0.0, 2.0)], True)], "p array<struct<x:double,y:double>>, closed boolean")
+    assert abs(shapes.outline_features(corner, "p", "closed").first().solidity - 3 / 3.5) < 1e-9
     goal = {k: got[1][k] for k in [*shapes.FEATURES, "closed"]}
     best = shapes.similar_shapes(rows, goal).collect()
     assert best[0].asset_id == 1 and abs(best[0].score - 1.0) < 1e-9 and best[0].score > best[1].score
