@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, extension, stem
+from ..functions.vectors import hamming
 from ..plans.shared import materialize
 from .graph import connected_components
 
@@ -49,26 +50,34 @@ def group_order(groups: DataFrame, score: str = "n") -> DataFrame:
     return groups.orderBy(F.desc(score), "first", "id")
 
 
-#: Values of a band that are compared at once.
-BLOCK = 4096
+#: Hashes of a band value that a plain join compares, at most; hashes compared at once beyond that.
+SMALL, BLOCK = 64, 4096
 
 
-def _blocks(df: DataFrame, hash_col: str, distance: int, bits: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Distinct hashes by band, band value and pair of blocks; the bands' bits.
+def _blocks(df: DataFrame, hash_col: str, distance: int, bits: int) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """(pairs, rows, bands' bits): pairs (a, b, d) within the distance of band values that SMALL hashes
+    share at most, and the hashes of the others by band, band value and pair of blocks.
 
-    A value is cut into distance + 1 bands, of which two values within the distance share one. A band
-    value that many hashes share is dealt over pairs of blocks, so no group has more than two blocks.
+    A value is cut into distance + 1 bands, of which two values within the distance share one; a pair
+    counts in the first band it shares. A band value that many hashes share is dealt over pairs of
+    blocks, so no group has more than two blocks.
     """
     values = df.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
     edges = [round(i * bits / (distance + 1)) for i in range(distance + 2)]
     cuts = list(zip(edges, edges[1:]))
     bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("v")) for i, (low, high) in enumerate(cuts)))
-    banded = values.select("h", F.explode(bands).alias("band"))
+    banded = materialize(values.select("h", F.explode(bands).alias("band")), "bands")
     sizes = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    a = banded.join(sizes.filter(F.col("n") <= SMALL).select("band"), "band").select("band", F.col("h").alias("a"))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    meets = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)
+    for i, (low, high) in enumerate(cuts):
+        meets = meets & ((F.col("band.i") <= i) | (F.shiftrightunsigned(apart, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) != 0))
+    pairs = a.join(banded.select("band", F.col("h").alias("b")), "band").filter(meets).select("a", "b", hamming(F.col("a"), F.col("b")).cast("int").alias("d"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
-    rows = banded.join(sizes, "band").withColumn("own", own).withColumn("met", F.explode(met))
-    return rows.select("band.i", "band.v", "met.x", "met.y", "own", "h"), cuts
+    rows = banded.join(sizes.filter(F.col("n") > SMALL), "band").withColumn("own", own).withColumn("met", F.explode(met))
+    return pairs, rows.select("band.i", "band.v", "met.x", "met.y", "own", "h"), cuts
 
 
 def _near(frame: pd.DataFrame, distance: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,19 +102,20 @@ def _near(frame: pd.DataFrame, distance: int, cuts: list[tuple[int, int]]) -> It
 
 def hamming_pairs(df: DataFrame, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
     """(a, b, d): hash values (a < b) within a distance, exactly; equal hashes are one value."""
-    rows, cuts = _blocks(df, hash_col, distance, bits)
+    pairs, rows, cuts = _blocks(df, hash_col, distance, bits)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = list(_near(frame, distance, cuts))
         return pd.DataFrame({c: np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k, c in enumerate("abd")})
 
-    return rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int")
+    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int"))
 
 
 def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataFrame:
     """(a, b, d): for each value of each pair of blocks that has a partner there, an edge to the least of
-    its group, and the distance of its farthest partner. A row a member, never a row a pair."""
-    rows, cuts = _blocks(df, hash_col, distance, bits)
+    its group, and the distance of its farthest partner: a row a member, and a row a pair only where SMALL
+    hashes share a band at most."""
+    pairs, rows, cuts = _blocks(df, hash_col, distance, bits)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.unique(frame["h"].to_numpy(np.int64))
@@ -124,7 +134,7 @@ def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataF
         held = worst > 0
         return pd.DataFrame({"a": values[label[held]], "b": values[held], "d": worst[held]})
 
-    return rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int")
+    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int"))
 
 
 def visual_groups(df: DataFrame, id_col: str, hash_col: str, distance: int, bits: int = 64) -> DataFrame:

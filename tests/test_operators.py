@@ -113,7 +113,9 @@ def test_hamming_pairs_are_exact(spark, monkeypatch):
     want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
     assert {(r.a, r.b) for r in duplicates.hamming_pairs(df, "h", 3).collect()} == want
     monkeypatch.setattr(duplicates, "BLOCK", 2)
+    monkeypatch.setattr(duplicates, "SMALL", 1)
     assert sorted((r.a, r.b) for r in duplicates.hamming_pairs(df, "h", 3).collect()) == sorted(want)
+    monkeypatch.setattr(duplicates, "SMALL", 2)
     groups = {}
     for r in duplicates.visual_groups(df, "id", "h", 3).collect():
         groups.setdefault((r.component, r.score), set()).add(r.id)
