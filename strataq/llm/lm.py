@@ -46,6 +46,8 @@ ROUNDS, RATE = 1, 0.08
 FIRST_BATCH, BATCH, GROWTH = 256, 8192, 16
 #: Distinct words that a task counts before it sends them on; tokens scored at once.
 COUNTED, PART = 1_000_000, 1 << 16
+#: Bytes of text, and of codes, that a task holds decoded at once.
+TEXTS, CODED = 4 << 20, 2 << 20
 #: Tokens whose class logits fit in the processor's cache.
 CACHED = 2048
 BLOCK, LANES = 1 << 14, 32
@@ -57,7 +59,7 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXTS):
             codes, borders = codes_of(batch.column("text"))
             raw = codes.astype("<u4")
             found = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(4 * borders.astype(np.int64)), pa.py_buffer(raw)])
@@ -80,7 +82,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for batch in slices(batches, "codes"):
+        for batch in slices(batches, "codes", CODED):
             new, n = np.unique(_codes(batch.column("codes"))[0], return_counts=True)
             both, back = np.unique(np.concatenate((codes, new)), return_inverse=True)
             codes, counts = both, np.bincount(back, np.concatenate((counts, n)), len(both)).astype(np.int64)
@@ -270,7 +272,7 @@ def fit_network(rows: DataFrame, counts: DataFrame, head: int = HEAD, known: int
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             net = shared.value.with_params([p.copy() for p in shared.value.params])
             state, seen = [np.zeros_like(p) for p in net.params], 0
-            for batch in slices(batches, "codes"):
+            for batch in slices(batches, "codes", CODED):
                 codes, borders = _codes(batch.column("codes"))
                 tokens = net.tokens(codes)[0]
                 mixed = np.random.default_rng(seen).permutation(len(tokens))
@@ -306,7 +308,7 @@ def score_coded(rows: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in slices(batches, "codes"):
+        for batch in slices(batches, "codes", CODED):
             codes, borders = _codes(batch.column("codes"))
             tokens, at = net.tokens(codes)
             around = contexts(tokens, borders)
