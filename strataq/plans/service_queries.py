@@ -29,12 +29,13 @@ def names_added(spark, sf):
     return services.add_named(dim, _t(spark, sf, "customer").select(F.col("c_mktsegment").alias("name")))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 7 WHEN c_nationkey NOT IN (3, 4) THEN c_nationkey END AS project_id FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 7 WHEN c_nationkey NOT IN (3, 4) THEN c_nationkey ELSE -1 END AS project_id FROM customer")
 def projects_assigned(spark, sf):
     assets = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("project_id"))
     dim = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
     _, left = services.drop_named(dim, [3, 4], assets)
-    return services.assign(left, _t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), 7)
+    found = services.assign(left, _t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), 7)
+    return found.select("id", F.coalesce("project_id", F.lit(-1).cast("long")).alias("project_id"))
 
 
 @query("WITH r AS (SELECT DISTINCT regexp_extract(url, '^(.*?//[^/]*)', 1) AS path FROM pages) SELECT r.path, count(p.url) AS n FROM r LEFT JOIN pages p ON lower(p.url) = lower(r.path) OR starts_with(lower(p.url), lower(r.path) || '/') GROUP BY r.path")
