@@ -162,6 +162,13 @@ def thin_analyses(assets: DataFrame, metadata: DataFrame, keys: list[str], least
     return assets.join(have, F.col("id") == F.col("asset_id"), "left").filter(F.coalesce("n", F.lit(0)) < least).select("id")
 
 
+def backfill(metadata: DataFrame, assets: DataFrame, key: str, value: Column) -> DataFrame:
+    """Metadata with a value of a key for the assets that have none; run again, it adds nothing."""
+    have = metadata.filter(F.col("key") == key).select(F.col("asset_id").alias("__m")).distinct()
+    fresh = assets.join(have, F.col("id") == F.col("__m"), "left_anti").select(F.col("id").alias("asset_id"), F.lit(key).alias("key"), value.cast("string").alias("value_text"))
+    return metadata.unionByName(fresh.filter("value_text is not null"), allowMissingColumns=True)
+
+
 def inventory(tables: dict[str, DataFrame | None]) -> DataFrame:
     """(table, n): rows of each table; a table that is not there has none."""
     out = None

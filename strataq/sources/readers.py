@@ -172,8 +172,8 @@ def _blocks(raw: bytes) -> str:
 EXTRACTORS: dict[str, Callable[[bytes, str], tuple[str, dict[str, str]]]] = {**dict.fromkeys(TEXT_KINDS, read_text), "ifc": read_ifc, "dxf": read_dxf, **dict.fromkeys(OFFICE_KINDS, read_office)}
 
 
-def extract(spark: SparkSession, root: str, extractors: dict | None = None) -> DataFrame:
-    """(path, ext, content_hash, text, fields, error) of the files below a root.
+def extract(spark: SparkSession, root: str | list[str], extractors: dict | None = None) -> DataFrame:
+    """(path, ext, content_hash, text, fields, error) of the files below a root, or of some files again.
 
     A file is read once, for its hash and its text. One of an unknown format is a row without text, one
     too large a row without both. Spark's setting spark.sql.execution.arrow.maxRecordsPerBatch bounds the

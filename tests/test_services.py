@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.functions import codec
-from strataq.operators import duplicates, exports, retrieval, services
+from strataq.operators import classify, duplicates, exports, retrieval, services
 from strataq.sources import readers
 
 
@@ -91,3 +91,16 @@ def test_model_header(spark):
     text, fields = readers.read_ifc(IFC.encode(), "ifc")
     assert text == "House of O'Neil\nAda, Bo\nStudio\nTool 7\nView [One]\nGround Floor\nFirst"
     assert fields == {"total_entities": "4", "top_entities": "IFCBUILDINGSTOREY:2, IFCPROJECT:1, IFCWALL:1", "storey_count": "2", "space_count": "0", "schema": "IFC4", "description": "View [One]", "author": "Ada, Bo", "organization": "Studio", "originating_system": "Tool 7", "project_name": "House of O'Neil", "storey_names": "Ground Floor; First"}
+
+
+def test_backfill_and_reindex(spark, tmp_path):
+    metadata = spark.createDataFrame([(1, "kind", "Render"), (2, "other", "x")], "asset_id long, key string, value_text string")
+    assets = spark.createDataFrame([(1, "photo_a.jpg"), (2, "photo_b.jpg"), (3, "zzz.jpg")], "id long, file_name string")
+    kind = classify.image_kind(F.col("file_name"), F.lit(""))
+    once = services.backfill(metadata, assets, "kind", kind)
+    assert rows(once.filter("key = 'kind'"), "asset_id", "value_text") == [(1, "Render"), (2, "Fotoğraf")]
+    assert services.backfill(once, assets, "kind", kind).count() == once.count()
+    for name in ("a.txt", "b.txt", "c.bin"):
+        (tmp_path / name).write_text(f"text of {name}")
+    again = readers.extract(spark, [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/c.bin"])
+    assert [(r.ext, r.text, len(r.content_hash)) for r in again.orderBy("ext").collect()] == [("bin", None, 64), ("txt", "text of a.txt", 64)]
