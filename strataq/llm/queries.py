@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, lm, media, packing, pii, secrets, simhash, substrings, toxicity
+from . import bitpack, decontaminate, html_text, lm, media, packing, pii, resample, secrets, simhash, substrings, toxicity, variants
 from .common import table
 from .spans import joined
 
@@ -73,7 +73,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudo_likelihood, op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+_ALL = (
+    op1_pseudo_likelihood, op2_toxicity, op3_token_files, op4_decontamination, op5_pii, op6_packing, op7_simhash, op8_secrets, op9_substrings, op10_media,
+    op11_resampling, op12_variants, op13_html,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 
 def _secrets_sql() -> str:
@@ -100,5 +117,38 @@ c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM g JOIN m USING
 k AS (SELECT a.doc_id, count(*) - count(c.p) AS kept, string_agg(word, ' ' ORDER BY a.p) FILTER (c.p IS NULL) AS t FROM a LEFT JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
+#: CRC-32 of a string x by its bytes, from the table of 256 steps.
+_CRC_SQL = "xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def _crc(x: str) -> str:
+    return _CRC_SQL.format(x=x)
+
+
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RESAMPLE_SQL = f"""WITH {_CRC_TABLE}, w AS (SELECT doc_id AS id, 1 AS raw, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+UNION ALL SELECT item_id, 0, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+f AS (SELECT id, raw, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+c AS (SELECT id, raw, f, count(*) AS n FROM f GROUP BY ALL), d AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM c), crc),
+g AS (SELECT b, coalesce(sum(n) FILTER (raw = 1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (raw = 0), 0)::DOUBLE AS t FROM c JOIN d USING (f) GROUP BY b),
+t AS (SELECT sum(s) AS s, sum(t) AS t FROM g), gain AS (SELECT b, floor(1000 * ln((g.t + 1) * (t.s + 10000) / ((g.s + 1) * (t.t + 10000))))::BIGINT AS gain FROM g, t),
+v AS (SELECT id, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN d USING (f) JOIN gain USING (b) WHERE raw = 1 GROUP BY id),
+x AS (SELECT w.id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || w.id)[1:8] AS BIGINT) + 0.5) / 4294967296)))::BIGINT AS score, len(w) >= 20 AS enough FROM w LEFT JOIN v ON v.id = w.id WHERE raw = 1),
+r AS (SELECT *, CASE WHEN enough THEN row_number() OVER (PARTITION BY enough ORDER BY score DESC, id) END AS r FROM x)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 25 * count(*) // 100 FROM x WHERE enough) THEN r END AS rank FROM r"""
+
+_VARIANTS_SQL = f"""WITH RECURSIVE {_CRC_TABLE}, r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="text")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+o AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY ALL), h AS (SELECT w, n, {_crc("doc_id || ':' || w")} AS h FROM o, crc),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT word, i, word[:i] || word[i + 2:] AS gap FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+m AS (SELECT a.word, b.word AS near FROM p a JOIN p b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word UNION SELECT p.word, gap FROM p JOIN v ON v.word = gap UNION SELECT gap, p.word FROM p JOIN v ON v.word = gap),
+b AS (SELECT m.word, count(*) AS n_near, first(near ORDER BY v.n DESC, near COLLATE "binary") AS near, max(v.n) AS near_n FROM m JOIN v ON v.word = near GROUP BY m.word),
+g AS (SELECT v.word, CASE WHEN near_n >= 10 * v.n THEN near END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+k AS (SELECT word, word AS root FROM g WHERE form IS NULL UNION ALL SELECT g.word, k.root FROM g JOIN k ON g.form = k.word)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN k ON k.word = g.word"""
+
 #: The others need hashes, models or formats that SQL lacks; tests hold them against plain versions.
-ORACLES: dict[str, str] = {"op8_secrets": _secrets_sql(), "op9_substrings": _REPEATS_SQL}
+ORACLES: dict[str, str] = {"op8_secrets": _secrets_sql(), "op9_substrings": _REPEATS_SQL, "op11_resampling": _RESAMPLE_SQL, "op12_variants": _VARIANTS_SQL}
