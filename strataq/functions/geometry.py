@@ -83,16 +83,16 @@ def solidity(points: Column) -> Column:
         return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype=float)
 
     whole = hull_area(F.transform(points, lambda p: p["x"].cast("double")), F.transform(points, lambda p: p["y"].cast("double")))
-    return F.when(whole <= 0, 0.0).otherwise(F.least(F.lit(1.0), area(points) / whole))
+    return F.when((whole < 1e-9) | (area(points) < 1e-9), 0.0).otherwise(F.least(F.lit(1.0), area(points) / whole))
 
 
 def compactness(a: Column, p: Column) -> Column:
-    return F.when(p <= 0, 0.0).otherwise(F.least(F.lit(1.0), 4 * math.pi * a / (p * p)))
+    return F.when((p < 1e-9) | (a < 1e-9), 0.0).otherwise(F.least(F.lit(1.0), 4 * math.pi * a / (p * p)))
 
 
 def rectangularity(points: Column) -> Column:
     w, h = box(points)
-    return F.when(w * h <= 0, 0.0).otherwise(area(points) / (w * h))
+    return F.when((w * h < 1e-9) | (area(points) < 1e-9), 0.0).otherwise(F.least(F.lit(1.0), area(points) / (w * h)))
 
 
 def near(a: Column, b: Column) -> Column:

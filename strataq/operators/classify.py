@@ -5,7 +5,7 @@ from __future__ import annotations
 import mimetypes
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_tr, words
@@ -20,6 +20,9 @@ TEXTURE_ENDS = ["_diff", "_diffuse", "_albedo", "_basecolor", "_base_color", "_c
 TEXTURE_FOLDERS = ["texture", "textures", "tex", "doku", "dokular", "material", "materials", "map", "maps", "mapping", "kaplama", "kaplamalar", "surface", "surfaces", "pbr", "tileable", "seamless", "06-dokular"]
 RENDER_FOLDERS = ["render", "renders", "renderlar", "04-renderlar", "output", "outputs", "cikti", "final", "gorsel", "gorseller", "visual", "visuals", "vray", "v-ray", "corona", "lumion", "enscape", "archviz", "visualization"]
 PHOTO_FOLDERS = ["foto", "fotograf", "fotograflar", "fotoğraf", "fotoğraflar", "photo", "photos", "photograph", "photographs", "santiye", "şantiye", "santiye_fotograflari", "mevcut_durum", "mevcut", "as_built", "asbuilt", "as-built", "dcim", "screenshot", "screenshots", "ekran_goruntusu", "ekran_görüntüsü", "site_photos", "site_photo", "survey", "field", "cekim", "çekim", "cekimler", "çekimler"]
+RENDER_SIBLINGS = ["psd", "max", "3ds", "blend", "c4d", "skp", "rvt", "fbx", "obj", "exr", "hdr"]
+RENDER_ENGINES = ["v-ray", "vray", "corona", "lumion", "enscape", "twinmotion", "arnold", "octane", "redshift", "maxwell", "mental ray", "mentalray", "cycles", "eevee", "iray", "fstorm", "3ds max", "3dsmax", "blender", "sketchup", "cinema 4d", "modo", "rhino", "keyshot", "thearender"]
+TEXTURE_SIZES = [512, 1024, 2048, 4096, 8192, 16384]
 RENDER, TEXTURE, PHOTO = "Render", "Doku", "Fotoğraf"
 #: Names that cameras give, kinds of files.
 DEVICE = r"(?i)^(?:img[_-]?\d{3,}|dsc[fn_]?\d{3,}|pxl_\d+|dji_\d+|gopr?\d+|\d{4}-?\d{2}-?\d{2}[t_ -]?\d{2}|\d{13,})"
@@ -27,32 +30,45 @@ CATEGORIES = {"cad": ["dwg", "dxf", "rvt", "rfa", "skp", "max", "ifc"], "image":
 NOTHING = ["BOŞ", "YOK", "BOS", "-"]
 
 
-def image_kind(name: Column, folder: Column, camera: Column | None = None, rendered: Column | None = None, width: Column | None = None, height: Column | None = None) -> Column:
-    """Render, texture or photograph, by name and folders, then by what the file says; null if none tells.
+def image_kind(name: Column, folder: Column, camera: Column | None = None, rendered: Column | None = None, width: Column | None = None, height: Column | None = None, software: Column | None = None, siblings: Column | None = None) -> Column:
+    """Render, texture or photograph, by name, folders and files beside it, then by what the file says; null if none tells.
 
-    A photograph told by its name stays one; else a camera's data make it one, a renderer's mark a render,
-    and a square of a power of two from 512 on a texture.
+    camera: whether it has any camera data, a place included; software: the program that wrote it; siblings:
+    extensions of the files of the same stem. A photograph told by its name stays one; else camera data make it
+    one, a renderer's mark a render, sides of texture sizes a texture, and a large wide image a render.
     """
     low, places = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(folder, F.lit("")))
     stem = F.regexp_replace(low, r"(?<=.)\.[^.]*$", "")
     has = lambda c, words: c.rlike("|".join(map(re.escape, words)))
+    no = F.lit(False)
+    told = lambda c: F.coalesce(c, no) if c is not None else no
     texture_name = stem.rlike(f"(?:{'|'.join(map(re.escape, TEXTURE_ENDS))})$")
     textures, renders, photos = (has(places, words) for words in (TEXTURE_FOLDERS, RENDER_FOLDERS, PHOTO_FOLDERS))
-    photo_name = has(low, PHOTO_WORDS)
+    beside = told(F.arrays_overlap(F.transform(siblings, F.lower), F.array(*map(F.lit, RENDER_SIBLINGS))) if siblings is not None else None)
     by_name = (
         F.when(texture_name, TEXTURE).when(stem.rlike(DEVICE), PHOTO)
         .when(photos & ~textures, PHOTO).when(textures & ~renders & ~photos, TEXTURE)
-        .when(photo_name, PHOTO).when(renders & ~textures & ~photos, RENDER)
-        .when(has(low, TEXTURE_WORDS), TEXTURE).when(has(low, RENDER_WORDS), RENDER)
+        .when(has(low, PHOTO_WORDS), PHOTO).when(renders & ~textures & ~photos, RENDER)
+        .when(has(low, TEXTURE_WORDS), TEXTURE).when(beside | has(low, RENDER_WORDS), RENDER)
         .when(low.rlike(f"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, RENDER_WHOLE_WORDS))})(?![A-Za-z0-9])"), RENDER)
     )
-    no = F.lit(False)
-    side = F.coalesce(width, F.lit(0)) if width is not None else F.lit(0)
-    square = (side >= 512) & (side.bitwiseAND(side - 1) == 0) & (side == height) if height is not None else no
-    by_file = F.when(F.coalesce(camera, no) if camera is not None else no, PHOTO).when(F.coalesce(rendered, no) if rendered is not None else no, RENDER).when(F.coalesce(square, no), TEXTURE)
+    engine = told(has(F.lower(software), RENDER_ENGINES) if software is not None else None)
+    square = wide = no
+    if width is not None and height is not None:
+        square = ((width == height) & (width >= 512) & (width.bitwiseAND(width - 1) == 0)) | (width.isin(TEXTURE_SIZES) & height.isin(TEXTURE_SIZES))
+        wide = (width / height).between(1.3, 2.4) & ((width >= 2560) | (height >= 1440)) & F.coalesce(by_name == RENDER, F.lit(True))
+    by_file = F.when(told(camera), PHOTO).when(told(rendered) | engine, RENDER).when(told(square), TEXTURE).when(told(wide), RENDER)
     return F.when(by_name == PHOTO, PHOTO).otherwise(F.coalesce(by_file, by_name))
 
 
+def sibling_extensions(assets: DataFrame, name: str = "file_name", folder: str = "folder") -> DataFrame:
+    """Assets with siblings: the other extensions, small, of the files in a folder that share a stem."""
+    key = [F.lower(folder).alias("__f"), F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).alias("__s")]
+    ext = F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
+    there = assets.select(*key, ext.alias("ext")).distinct().groupBy("__f", "__s").agg(F.array_sort(F.collect_set("ext")).alias("siblings"))
+    return assets.select("*", *key, ext.alias("__e")).join(there, ["__f", "__s"], "left").withColumn("siblings", F.array_remove(F.coalesce("siblings", F.array().cast("array<string>")), F.col("__e"))).drop("__f", "__s", "__e")
+
+
 def file_category(ext: Column) -> Column:
     out = F.lit("other")
     for kind, names in CATEGORIES.items():

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..plans.shared import materialize
 from .graph import connected_components
 
 FEATURES = ["vertices", "compactness", "regularity", "aspect", "rectangularity", "solidity"]
 TOP, TOP_MAX = 50, 200
-#: Layer names that tell a category, by priority.
-LAYERS = [("DUVAR", "DUVAR|WALL"), ("KAPI", "KAPI|DOOR"), ("PENCERE", "PENCERE|WINDOW"), ("KOLON", "KOLON|COLUMN"), ("DOSEME", "DOSEME|DÖŞEME|FLOOR|SLAB"), ("CATI", "CATI|ÇATI|ROOF"), ("MOBILYA", "MOBILYA|FURN"), ("TEFRIS", "TEFRIS|TEFRİŞ"), ("OLCU", "OLCU|ÖLÇÜ|DIM")]
+#: Parts of layer names that tell a category, by priority.
+LAYERS = [("HAVUZ", "HAVUZ|POOL|BASIN"), ("DUVAR", "DUVAR|WALL|MURO"), ("KAPI", "KAPI|DOOR|PORTA"), ("PENCERE", "PENCERE|WINDOW|CAM"), ("KOLON", "KOLON|COLUMN"), ("KIRIS", "KIRIS|KIRIŞ|BEAM"), ("MERDIVEN", "MERDIVEN|MERDİVEN|STAIR"), ("DOSEME", "DOSEME|DÖŞEME|SLAB|FLOOR"), ("CATI", "CATI|ÇATI|ROOF")]
 
 
 def outline_features(df: DataFrame, points: str, closed: str) -> DataFrame:
@@ -23,7 +24,7 @@ def outline_features(df: DataFrame, points: str, closed: str) -> DataFrame:
     area = F.when(F.col(closed), geometry.area(p)).otherwise(0.0)
     length = F.when(F.col(closed), geometry.perimeter(p)).otherwise(geometry.perimeter(p, False))
     out = df.withColumn("vertices", F.size(p)).withColumn("area", area).withColumn("perimeter", length)
-    out = out.withColumn("aspect", F.when(F.least(w, h) <= 0, 0.0).otherwise(F.greatest(w, h) / F.least(w, h)))
+    out = out.withColumn("aspect", F.when(h > 1e-9, w / h).otherwise(0.0))
     out = out.withColumn("regularity", F.when(F.col(closed), geometry.regularity(p)).otherwise(0.0))
     out = out.withColumn("solidity", F.when(F.col(closed), geometry.solidity(p)).otherwise(0.0))
     out = out.withColumn("compactness", geometry.compactness(F.col("area"), F.col("perimeter")))
@@ -124,6 +125,34 @@ def overlap_scores(df: DataFrame, least: int = 1, asset: str = "asset_id") -> Da
     return both.select("a", "b", F.round((F.col("m") + F.col("mb")) * 100.0 / (F.col("ta") + F.col("tb"))).cast("int").alias("score")).filter(F.col("score") >= max(1, least))
 
 
+def composite_search(df: DataFrame, refs: DataFrame, least: int = 0, k: int = TOP, asset: str = "asset_id") -> DataFrame:
+    """(ref, asset, score, rank): for each asset of refs, the k others whose shapes overlap its own most.
+
+    The score is the share of both assets' shapes that match one of the other's, 0 to 1, from a rounded
+    percentage. Only classes of shapes that some reference has are compared with all others.
+    """
+    named = df.withColumn("class", F.xxhash64(*FEATURES, "closed"))
+    have = materialize(named.groupBy(asset, "class").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in [*FEATURES, "closed"])), "shape-classes")
+    own = have.join(refs.select(F.col(asset).alias("__ref")).distinct(), F.col(asset) == F.col("__ref"), "left_semi")
+    features = [*FEATURES, "closed"]
+    one = lambda rows: rows.dropDuplicates(["class"]).select("class", *features).withColumn("bucket", _buckets(F.col("vertices")))
+    left = one(own).select(F.col("class").alias("ca"), *(F.col(c).alias(f"l_{c}") for c in features), F.explode(F.array(*(F.col("bucket") + d for d in (-2, -1, 0, 1, 2)))).alias("bucket"))
+    alike = left.join(one(have), "bucket").filter(geometry.shape_similarity(_columns("l_"), _columns()) >= geometry.MATCH).select("ca", F.col("class").alias("cb"))
+    a = own.select(F.col(asset).alias("ref"), F.col("class").alias("ca"), F.col("n").alias("na"))
+    b = have.select(F.col(asset).alias("asset"), F.col("class").alias("cb"), F.col("n").alias("nb"))
+    # Which classes of either side match, by pair of assets; each side's are summed once.
+    met = materialize(a.join(alike, "ca").join(b, "cb").filter("ref <> asset"), "shape-matches")
+    sides = met.select("ref", "asset", "ca", F.col("na").alias("n")).distinct().unionByName(met.select("ref", "asset", F.col("cb").alias("ca"), F.col("nb").alias("n"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True)
+    matched = sides.groupBy("ref", "asset").agg(F.sum("n").alias("m"))
+    totals = have.groupBy(asset).agg(F.sum("n").alias("total"))
+    for side in ("ref", "asset"):
+        matched = matched.join(totals.select(F.col(asset).alias(side), F.col("total").alias(f"t_{side}")), side)
+    score = F.round(F.col("m") * 100.0 / (F.col("t_ref") + F.col("t_asset"))).cast("int")
+    scored = matched.select("ref", "asset", score.alias("score")).filter(F.col("score") >= max(1, min(least, 100)))
+    place = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("score"), "asset"))
+    return scored.withColumn("rank", place).filter(F.col("rank") <= max(1, min(k, TOP_MAX))).withColumn("score", F.col("score") / 100.0)
+
+
 def structural_groups(df: DataFrame, least: int = 60, asset: str = "asset_id") -> DataFrame:
     """(id, component, score): assets linked by overlaps, scored by the weakest link."""
     edges = overlap_scores(df, least, asset)
