@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, fold_name
+from ..plans.shared import materialize
 from .filters import prefix_filter
 from .numbering import number_rows
 
@@ -25,15 +26,25 @@ def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.unionByName(new.select(*links.columns)).distinct()
 
 
+def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that no row of gone equals in some columns, nulls included; dealt by a hash of them."""
+    key = lambda df: F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    other = gone.select(key(gone).alias("__key"), *(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(columns)))
+    same = F.col("__own") == F.col("__key")
+    for i, c in enumerate(columns):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}"))
+    return rows.withColumn("__own", key(rows)).join(other, same, "left_anti").drop("__own")
+
+
 def remove_links(links: DataFrame, gone: DataFrame) -> DataFrame:
-    """The links without those that agree in the columns of gone."""
-    return links.join(gone.distinct(), gone.columns, "left_anti").select(*links.columns)
+    """The links without those that agree in the columns of gone; nulls agree with nulls."""
+    return _without(links, gone.distinct(), gone.columns)
 
 
 def toggle_links(links: DataFrame, ids: DataFrame) -> DataFrame:
     """Favourites: those named and not there are added, those named and there go."""
     fresh = ids.select(*links.columns).distinct()
-    return links.join(fresh, links.columns, "left_anti").unionByName(fresh.join(links, links.columns, "left_anti"))
+    return _without(links, fresh, links.columns).unionByName(_without(fresh, links, links.columns))
 
 
 def rename(names: DataFrame, old: str, new: str) -> DataFrame:
@@ -110,9 +121,10 @@ def path_exists(assets: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def refile(assets: DataFrame, moves: DataFrame) -> DataFrame:
-    """Assets with the new path, name and extension of (id, new_path); an occupied path moves nothing."""
+    """Assets with the new path, name and extension of (id, new_path); an occupied path moves nothing. Of several
+    free paths for one asset the first in order is taken, and of several assets for one path the smallest."""
     moves = path_exists(assets, moves.select(F.col("new_path").alias("path")).distinct()).filter("not known").select(F.col("path").alias("new_path")).join(moves, "new_path")
-    once = moves.groupBy("new_path").agg(F.min("id").alias("__id"))
+    once = moves.groupBy("id").agg(F.min("new_path").alias("new_path")).groupBy("new_path").agg(F.min("id").alias("__id"))
     joined = assets.join(once, F.col("id") == F.col("__id"), "left")
     name = F.element_at(F.split("new_path", r"[/\\]"), -1)
     ext = F.nullif(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)), F.lit(""))
@@ -258,19 +270,18 @@ def hydrate(ranked: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def timeline(relations: DataFrame, assets: DataFrame, asset: int, time: str = "modified_at") -> DataFrame:
-    """The versions connected with one asset, itself included, by time; asked by one asset, so the closure is
-    walked from it, a join a step, until nothing new is found."""
-    both = relations.select("src", "dst").unionByName(relations.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = assets.filter(F.col("id") == asset).select("id")
-    edge, seen = found, {r["id"] for r in found.collect()}
-    while True:
-        step = both.join(edge.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        fresh = {r["id"] for r in step.collect()} - seen  # versions of one asset
-        if not fresh:
-            break
-        seen |= fresh
-        edge = assets.sparkSession.createDataFrame([(i,) for i in fresh], "id long")
-    return assets.filter(F.col("id").isin(list(seen))).orderBy(time, "id")
+    """The versions connected with one asset, itself included, by time.
+
+    The closure is walked from the asset, a join a step; what a step finds is written, and the driver learns
+    only whether it is empty.
+    """
+    both = relations.select("src", "dst").unionByName(relations.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edge = seen = materialize(assets.filter(F.col("id") == asset).select(F.col("id").alias("dst")), "timeline")
+    while not edge.isEmpty():
+        step = both.join(edge.select(F.col("dst").alias("src")), "src").select("dst").distinct().join(seen, "dst", "left_anti")
+        edge = materialize(step, "timeline")
+        seen = seen.unionByName(edge)
+    return assets.join(seen, F.col("id") == F.col("dst"), "left_semi").orderBy(time, "id")
 
 
 def under_roots(assets: DataFrame, prefixes: list[str]) -> Column:

@@ -449,7 +449,14 @@ def session_window(spark, sf):
     return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
 
 
-@query()
+# A user's events by hour from the first one on: each window is opened by the first event after the last.
+_GAPS_SQL = """e AS (SELECT user_id, list(epoch_us(CAST(ts AS TIMESTAMP)) ORDER BY ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id),
+s AS (SELECT user_id, t, 1 AS i FROM e UNION ALL SELECT user_id, t, i + len(list_filter(t[i:], lambda x: x < t[i] + {width})) FROM s WHERE i + len(list_filter(t[i:], lambda x: x < t[i] + {width})) <= len(t))"""
+
+
+@query(f"""WITH RECURSIVE {_GAPS_SQL.format(width=3_600_000_000)}, w AS (SELECT user_id, t[i] AS opened FROM s),
+o AS (SELECT event_id, events.user_id, (SELECT max(opened) FROM w WHERE w.user_id = events.user_id AND opened <= epoch_us(ts)) AS opened, ts FROM events WHERE events.user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, opened ORDER BY ts, event_id) <= 3 AS allowed FROM o""")
 def rate_window(spark, sf):
     from ..streaming import rates
 
@@ -563,18 +570,27 @@ def bridge_joins(spark, sf):
     return filters.semi(_t(spark, sf, "lineitem"), orders, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, date_trunc('second', ts) AS s FROM events) GROUP BY user_id")
+@query(f"""WITH RECURSIVE {_GAPS_SQL.format(width=1_000_000)} SELECT user_id, count(*) AS n FROM s GROUP BY user_id""")
 def throttled_events(spark, sf):
     from ..streaming import incremental
 
     return incremental.throttle(_t(spark, sf, "events").select("user_id", "ts"), "user_id", "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS locked_from FROM (SELECT user_id, ts, lag(date_trunc('second', ts), 2) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts)) AS back FROM events) WHERE epoch(date_trunc('second', ts)) - epoch(back) < 3600")
+# Windows of a key's ordered times t: i is the first of one, nxt the first after it.
+_TIMES_SQL = "e AS (SELECT user_id, list(epoch_us(ts) ORDER BY ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id)"
+_LOCKS_SQL = f"""WITH RECURSIVE {_TIMES_SQL}, s AS (SELECT user_id, t, 1 AS i, CAST(NULL AS BIGINT) AS locked FROM e UNION ALL
+SELECT user_id, t, CASE WHEN n >= 3 THEN i + len(list_filter(t[i:], lambda x: x < t[i + 2] + 1800000000)) ELSE i + n END, CASE WHEN n >= 3 THEN t[i + 2] END
+FROM (SELECT *, len(list_filter(t[i:], lambda x: x < t[i] + 3600000000)) AS n FROM s WHERE i <= len(t)))
+SELECT user_id, locked AS locked_us FROM s WHERE locked IS NOT NULL"""
+
+
+@query(_LOCKS_SQL)
 def lockouts(spark, sf):
     from ..streaming import rates
 
-    return rates.lockouts(_t(spark, sf, "events"), "user_id", "ts", 3, 3600).select("user_id", F.date_format("locked_from", "yyyy-MM-dd HH:mm:ss").alias("locked_from"))
+    found = rates.lockouts(_t(spark, sf, "events"), "user_id", "ts", 3, 3600, 1800)
+    return found.select("user_id", F.unix_micros("locked_from").alias("locked_us"))
 
 
 @query("SELECT o_orderkey AS path, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN abs(o_totalprice - c_acctbal * 30) > 20000 THEN 'stale' ELSE 'fresh' END AS state FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")

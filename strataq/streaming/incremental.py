@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from .rates import rate_decisions, rate_stream
+
 
 def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], key: str) -> StreamingQuery:
     """Index whatever files a folder has gained since the last run, then stop.
@@ -28,12 +30,13 @@ def index_new(spark: SparkSession, source: str, schema, index_path: str, checkpo
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def throttle(events: DataFrame, key: str, at: str, seconds: int = 1) -> DataFrame:
-    """The first event of a key in each slot of time (leading edge), on a stream or a table."""
-    slotted = events.withColumn("slot", F.window(F.col(at).cast("timestamp"), f"{seconds} seconds")["start"])
+def throttle(events: DataFrame, key: str, at: str, seconds: float = 1) -> DataFrame:
+    """(key, at) of the events that open a gap: the first of a key, then the first one seconds or more after
+    the last that was let through; on a stream or a table."""
     if events.isStreaming:
-        return slotted.withWatermark("slot", f"{seconds} seconds").dropDuplicatesWithinWatermark([key, "slot"]).drop("slot")
-    return slotted.groupBy(key, "slot").agg(F.min(at).alias(at)).drop("slot")
+        return rate_stream(events, key, at, seconds, limit=1).filter("allowed").selectExpr(f"key as {key}", f"at as {at}")
+    rows = events.selectExpr(key, f"cast({at} as timestamp) as {at}", "monotonically_increasing_id() as __id")
+    return rate_decisions(rows, key, at, f"struct({at}, __id)", seconds, limit=1).filter("allowed").selectExpr(key, f"`struct({at}, __id)`.{at} as {at}")
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -104,3 +104,27 @@ def test_backfill_and_reindex(spark, tmp_path):
         (tmp_path / name).write_text(f"text of {name}")
     again = readers.extract(spark, [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/c.bin"])
     assert [(r.ext, r.text, len(r.content_hash)) for r in again.orderBy("ext").collect()] == [("bin", None, 64), ("txt", "text of a.txt", 64)]
+
+
+def test_links_with_nulls(spark):
+    links = spark.createDataFrame([(1, "a", None), (1, "b", "red"), (2, None, None)], "asset_id long, name string, colour string")
+    gone = spark.createDataFrame([(1, "a", None), (2, None, None)], links.schema)
+    assert [tuple(r) for r in services.remove_links(links, gone).collect()] == [(1, "b", "red")]
+    assert [tuple(r) for r in services.toggle_links(links, gone).collect()] == [(1, "b", "red")]
+    back = services.toggle_links(services.remove_links(links, gone), gone)
+    assert sorted(map(str, back.collect())) == sorted(map(str, links.collect()))
+    assert services.remove_links(links, gone.select("colour").distinct()).count() == 1
+
+
+def test_refile_moves_an_asset_once(spark):
+    assets = spark.createDataFrame([(1, "x/a.txt", "a.txt", "txt", None), (2, "x/b.txt", "b.txt", "txt", None), (3, "x/c.txt", "c.txt", "txt", None)], "id long, path string, file_name string, ext string, deleted_at long")
+    moves = spark.createDataFrame([(1, "y/q.pdf"), (1, "y/p.md"), (2, "y/p.md"), (3, "X/B.TXT"), (9, "y/z")], "id long, new_path string")
+    got = {r.id: (r.path, r.file_name, r.ext) for r in services.refile(assets, moves).collect()}
+    assert got == {1: ("y/p.md", "p.md", "md"), 2: ("x/b.txt", "b.txt", "txt"), 3: ("x/c.txt", "c.txt", "txt")} and services.refile(assets, moves).count() == 3
+
+
+def test_timeline_walks_a_long_chain(spark):
+    assets = spark.range(40).selectExpr("id", "100 - id as modified_at")
+    relations = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(7, 3), (20, 21), (21, 22)], "src long, dst long")
+    assert [r.id for r in services.timeline(relations, assets, 4).collect()] == [7, 5, 4, 3, 2, 1, 0]
+    assert [r.id for r in services.timeline(relations, assets, 30).collect()] == [30] and services.timeline(relations, assets, 99).count() == 0

@@ -1,9 +1,11 @@
+import random
+import time
 import zipfile
 
 from pyspark.sql import functions as F
 
 from strataq.sources import readers
-from strataq.streaming import incremental, rates
+from strataq.streaming import changes, incremental, progress, rates
 
 
 def test_extract_and_scan(spark, tmp_path):
@@ -40,8 +42,8 @@ def test_rates(spark):
     df = spark.createDataFrame(rows, "id long, k string, t double").withColumn("t", F.timestamp_seconds("t"))
     got = {r.id: r.allowed for r in rates.rate_decisions(df, "k", "t", "id", 1.0, 2).collect()}
     assert [got[i] for i in range(8)] == [True, True, False, False, True, True, False, False] and got[99]
-    locks = rates.lockouts(df, "k", "t", limit=5, window=300)
-    assert locks.count() == 4
+    locks = rates.lockouts(df, "k", "t", limit=5, window=300).collect()
+    assert [(r.k, r.locked_from.timestamp(), r.locked_until.timestamp()) for r in locks] == [("a", 1.2, 301.2)]
 
 
 def test_rate_stream(spark, tmp_path):
@@ -73,3 +75,122 @@ def test_throttle_and_windows(spark, tmp_path):
     query = incremental.windowed_counts(stream, "t", "k", "1 second").writeStream.outputMode("update").format("memory").queryName("counted").option("checkpointLocation", f"file:{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sum(r.n for r in spark.sql("select n from counted").collect()) == 4
+
+
+def plain_locks(times, limit, window, lock):
+    """A failure at a time, one after the other."""
+    opened = until = None
+    used, found = 0, []
+    for t in sorted(times):
+        if until is not None and t < until:
+            continue
+        if until is not None or opened is None or t - opened >= window:
+            opened, used, until = t, 0, None
+        used += 1
+        if used >= limit:
+            found.append(t)
+            until = t + lock
+    return found
+
+
+def test_lockouts_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    times = {k: [rng.randrange(4000) for _ in range(rng.choice([0, 1, 5, 400]))] for k in "abcdefgh"}
+    times["hot"] = [rng.randrange(200_000) for _ in range(60_000)]
+    times["verdict"] = [*range(0, 100, 10), 400]
+    rows = [(k, t) for k, ts in times.items() for t in ts] + [(None, 3), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, t long").withColumn("t", F.timestamp_seconds("t")).repartition(5)
+    for limit, window, lock in ((5, 300, 300), (1, 10, 20), (3, 50, 0), (40, 100, 1000)):
+        got = {}
+        for r in rates.lockouts(df, "k", "t", limit, window, lock).collect():
+            assert r.locked_until.timestamp() - r.locked_from.timestamp() == lock
+            got.setdefault(r.k, []).append(int(r.locked_from.timestamp()))
+        want = {k: plain_locks(ts, limit, window, lock) for k, ts in times.items()}
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert plain_locks(times["verdict"], 5, 300, 300) == [40]
+    assert rates.lockouts(df.limit(0), "k", "t").count() == 0
+
+
+def test_lockout_stream_goes_on_after_a_restart(spark, tmp_path):
+    folder, out = f"file:{tmp_path}/in", f"file:{tmp_path}/out"
+    times = [0, 1, 2, 3, 50, 51, 52, 53, 54, 55, 400, 401, 402]
+
+    def run(part):
+        spark.createDataFrame([("a", t) for t in part], "k string, t long").withColumn("t", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("k string, t timestamp").parquet(folder)
+        rates.lockout_stream(stream, "k", "t", 3, 1000, 52).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file:{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+
+    for part in (times[:2], times[2:7], times[7:]):
+        run(part)
+    assert sorted(int(r.locked_from.timestamp()) for r in spark.read.parquet(out).collect()) == plain_locks(times, 3, 1000, 52) == [2, 400]
+
+
+def test_throttle_is_a_gap_from_the_last(spark):
+    rows = [("a", t) for t in (0.9, 1.1, 1.8, 1.95, 2.85, 2.9)] + [("b", 5.0), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "k string, t double").withColumn("t", F.timestamp_seconds("t"))
+    assert sorted((r.k, round(r.t.timestamp(), 2)) for r in incremental.throttle(df, "k", "t").collect()) == [("a", 0.9), ("a", 1.95), ("b", 5.0)]
+
+
+def test_folder_changes(spark, tmp_path):
+    folder, out, cp = f"file:{tmp_path}/listings", f"file:{tmp_path}/changes", f"file:{tmp_path}/cp"
+    schema = "root string, path string, size_bytes long, modified_at long, listed_at timestamp"
+    changes.use_keyed_state(spark)
+    listings = [
+        (100, [("r", "a", 1, 1), ("r", "b", 1, 1), ("s", "a", 1, 1)]),
+        (110, [("r", "a", 2, 1), ("r", "b", 1, 1), ("s", "a", 1, 1)]),  # a modified
+        (110, [("r", "a", 2, 1), ("r", "b", 1, 1)]),  # the same listing again
+        (105, [("r", "a", 9, 9)]),  # a late one
+        (120, [("r", "a", 2, 1), ("r", "c", 1, 1), ("s", "a", 1, 1)]),  # c created, b gone
+        (130, [("r", "a", 2, 1), ("r", "c", 1, 1), ("s", "a", 1, 1)]),
+        (140, [("r", "a", 2, 1), ("r", "b", 1, 1), ("r", "c", 1, 1)]),  # b is back, a of s gone
+        (150, [("r", "a", 2, 1), ("r", "b", 1, 1), ("r", "c", 1, 1)]),
+        (160, [("r", "a", 2, 1), ("r", "b", 1, 1), ("r", "c", 1, 1)]),
+    ]
+    try:
+        for part in (listings[:2], listings[2:6], listings[6:]):  # each is a run of its own: state comes back from the checkpoint
+            for at, rows in part:
+                spark.createDataFrame([(*r, at) for r in rows], schema.replace("timestamp", "long")).withColumn("listed_at", F.timestamp_seconds("listed_at")).coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            changes.folder_changes(stream, every=10).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((int(r["at"].timestamp()), r.root, r.path, r.kind) for r in spark.read.parquet(out).collect())
+    assert got == [
+        (100, "r", "a", "created"), (100, "r", "b", "created"), (100, "s", "a", "created"), (110, "r", "a", "modified"),
+        (120, "r", "b", "removed"), (120, "r", "c", "created"), (140, "r", "b", "created"), (140, "s", "a", "removed"),
+    ]
+    table = lambda at: spark.createDataFrame([(*r, at) for r in dict(listings)[at]], schema.replace("timestamp", "long"))
+    between = {(r.root, r.path): r.kind for r in changes.listing_changes(table(100), table(120)).collect()}
+    assert between == {("r", "a"): "modified", ("r", "b"): "removed", ("r", "c"): "created"}
+
+
+def test_progress_log(spark, tmp_path):
+    folder = f"file:{tmp_path}/in"
+    for i in range(6):
+        spark.range(10).withColumn("part", F.lit(i)).coalesce(1).write.mode("append").parquet(folder)
+    log = progress.ProgressLog(spark, f"file:{tmp_path}/progress", {"copying": 60}, gap=0.1)
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema("id long, part int").option("maxFilesPerTrigger", 1).parquet(folder)
+        query = stream.writeStream.format("noop").queryName("copying").option("checkpointLocation", f"file:{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        for _ in range(100):
+            if log.processed.get("copying") == 60 and not log.names:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    rows = progress.read_progress(spark, f"file:{tmp_path}/progress").filter("stage = 'copying'").collect()
+    counts, times = [r.processed for r in rows], [r["at"] for r in rows]
+    assert counts == sorted(set(counts)) and counts[-1] == 60 and {r.total for r in rows} == {60} and [r.n for r in rows] == list(range(len(rows)))
+    assert all(b - a >= 0.1 for a, b in zip(times[:-1], times[1:-1]))
+
+
+def test_progress_of_steps_is_throttled(spark, tmp_path):
+    now = [0.0]
+    log = progress.ProgressLog(spark, f"file:{tmp_path}/steps", {"a": 100}, clock=lambda: now[0])
+    for _ in range(100):
+        log.add("a", 1)
+        now[0] += 0.04
+    rows = progress.read_progress(spark, f"file:{tmp_path}/steps").collect()
+    assert [r.processed for r in rows][:3] == [1, 5, 9] and rows[-1].processed == 100 and len(rows) == 26
