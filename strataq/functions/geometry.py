@@ -49,11 +49,17 @@ def box(points: Column) -> tuple[Column, Column]:
     return side("x"), side("y")
 
 
-def _variation(values: Column) -> tuple[Column, Column]:
-    """(mean, standard deviation by the mean) of an array."""
-    mean = _sum(values) / F.size(values)
-    spread = F.sqrt(_sum(F.transform(values, lambda v: (v - mean) * (v - mean))) / F.size(values))
-    return mean, spread / mean
+def _bound(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _variation(values: Column) -> Column:
+    """struct<mean, spread>: the mean of an array, and its standard deviation by the mean."""
+    off = lambda m: lambda v: (v - m["mean"]) * (v - m["mean"])
+    means = lambda vs: F.struct(vs.alias("vs"), (_sum(vs) / F.size(vs)).alias("mean"))
+    spread = lambda m: F.struct(m["mean"].alias("mean"), (F.sqrt(_sum(F.transform(m["vs"], off(m))) / F.size(m["vs"])) / m["mean"]).alias("spread"))
+    return _bound(_bound(values, means), spread)
 
 
 def regularity(points: Column) -> Column:
@@ -66,9 +72,10 @@ def regularity(points: Column) -> Column:
         ax, ay, cx, cy = a["x"] - b["x"], a["y"] - b["y"], c["x"] - b["x"], c["y"] - b["y"]
         return F.abs(F.atan2(ax * cy - ay * cx, ax * cx + ay * cy))
 
-    edge, edge_spread = _variation(lengths)
-    turn, turn_spread = _variation(F.transform(F.sequence(F.lit(0), n - 1), angle))
-    return F.when((n < 3) | (edge < 1e-9) | (turn < 1e-9), 0.0).otherwise(F.exp(-2.0 * (edge_spread + turn_spread)))
+    both = F.struct(_variation(lengths).alias("edge"), _variation(F.transform(F.sequence(F.lit(0), n - 1), angle)).alias("turn"))
+    flat = lambda b: (b["edge"]["mean"] < 1e-9) | (b["turn"]["mean"] < 1e-9)
+    value = _bound(both, lambda b: F.when(flat(b), 0.0).otherwise(F.exp(-2.0 * (b["edge"]["spread"] + b["turn"]["spread"]))))
+    return F.when(n < 3, 0.0).otherwise(value)
 
 
 def solidity(points: Column) -> Column:

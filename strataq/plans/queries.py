@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, text, vectors
+from ..functions import color, contours, text, vectors
 from ..operators import aggregates, chunking, classify, duplicates, filters, fulltext, geo, graph, shapes, similarity
 from ..operators.filters import Catalog, ListOptions
 
@@ -243,7 +243,10 @@ def _queries(spark, sf) -> tuple[DataFrame, DataFrame]:
 _COS = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 6)"
 
 
-@query(f"SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, coalesce({_COS}, 0) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10")
+_KNN_SQL = f"SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, coalesce({_COS}, 0) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10"
+
+
+@query(_KNN_SQL)
 def knn_cosine(spark, sf):
     rows, queries = _queries(spark, sf)
     return similarity.knn(rows, queries, "vec_id", "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
@@ -470,14 +473,90 @@ def metadata_chunks(spark, sf):
     return chunking.metadata_chunks(catalog.assets.select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), F.col("lang").alias("title")), catalog.metadata)
 
 
-@query()
+_PLAIN = "lower(translate(coalesce({x}, ''), 'ıIİçÇğĞöÖşŞüÜ', 'iiiccggoossuu'))"
+_STOPS = ", ".join(f"'{w.translate(str.maketrans('ıIİçÇğĞöÖşŞüÜ', 'iiiccggoossuu'))}'" for w in text.STOP_WORDS)
+_HYBRID_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN.format(x="text")}, '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM documents),
+q AS (SELECT vec_id AS query_id, list_distinct(list_filter(string_split_regex({_PLAIN.format(x="text[:60]")}, '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOPS}))) AS tokens, embedding FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d), x AS (SELECT query_id, len(tokens) AS asked, unnest(tokens) AS term FROM q),
+p AS (SELECT term, doc_id, count(*) AS tf, len(any_value(w)) AS l FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM x) GROUP BY term, doc_id),
+f AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, s GROUP BY term, n),
+b AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 9) AS score, count(*) = max(asked) AS gated FROM x JOIN p USING (term) JOIN f USING (term), s GROUP BY query_id, doc_id),
+t AS (SELECT query_id, doc_id, gated, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS text_rank FROM b QUALIFY text_rank <= 300),
+v AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), vec_id) AS vector_rank FROM q, embeddings e QUALIFY vector_rank <= 200),
+u AS (SELECT query_id, doc_id AS chunk_id, doc_id // 4 AS asset_id, coalesce(gated, false) AS gated, text_rank, vector_rank, CASE WHEN gated THEN 1 ELSE round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9) END AS score FROM t FULL JOIN v USING (query_id, doc_id) WHERE doc_id IN (SELECT doc_id FROM documents)),
+c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, asset_id ORDER BY gated DESC, CASE WHEN gated THEN text_rank END, score DESC, chunk_id) <= 3)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY gated DESC, CASE WHEN gated THEN text_rank END, score DESC, chunk_id) AS INT) AS position, chunk_id, asset_id, score, text_rank, vector_rank FROM c QUALIFY position <= 12"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every hundredth vector: its document's first words, and itself."""
+    rows = _t(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").join(_t(spark, sf_dir, "documents"), F.col("doc_id") == F.col("vec_id"), "left")
+    return rows.select(F.col("vec_id").alias("query_id"), text.significant(F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("tokens"), F.lit(None).cast("array<string>").alias("more"), F.col("embedding").alias("vector"))
+
+
+_CHUNKS: dict[tuple[str, str], fulltext.TextIndex] = {}
+
+
+@query(_HYBRID_SQL)
 def hybrid_retrieval(spark, sf):
+    """Every hundredth vector against all documents, four of which are an asset."""
     from ..operators import retrieval
 
-    docs, embeddings = _t(spark, sf, "documents"), _t(spark, sf, "embeddings")
-    chunks = docs.join(embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.col("label").alias("asset_id"), "text", "embedding")
-    goal = embeddings.filter("vec_id = 0").select("embedding").first()
-    return retrieval.retrieve(chunks, "license under", list(goal[0]) if goal else None, k=50)
+    key = (spark.sparkContext.applicationId, sf)
+    docs = _t(spark, sf, "documents")
+    if key not in _CHUNKS:
+        _CHUNKS[key] = retrieval.chunk_index(docs, "doc_id")
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("__v"), "embedding")
+    chunks = docs.join(vectors, F.col("doc_id") == F.col("__v"), "left").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("asset_id"), "embedding")
+    return retrieval.retrieve_many(_CHUNKS[key], chunks, _requests(spark, sf))
+
+
+@query()
+def knn_cells(spark, sf):
+    """The ten nearest of every hundredth vector by an index of cells, a third of which is probed."""
+    rows, queries = _queries(spark, sf)
+    index = similarity.build_vector_index(rows, "vec_id", "embedding")
+    return similarity.search_cells(index, queries, "vec_id", "embedding", 10, max(1, len(index.centres) // 3))
+
+
+@query(_KNN_SQL)
+def knn_all_cells(spark, sf):
+    """The same with every cell probed, which is exact."""
+    rows, queries = _queries(spark, sf)
+    index = similarity.build_vector_index(rows, "vec_id", "embedding")
+    return similarity.search_cells(index, queries, "vec_id", "embedding", 10, len(index.centres)).withColumn("score", F.round("score", 6))
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a grey image of 8 by 8 cells, four pixels wide each."""
+    cell = F.col("embedding")
+    grey = F.transform(cell, lambda x: F.least(F.greatest(F.floor(128 + 400 * x.cast("double")), F.lit(0)), F.lit(255)).cast("int"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("grey", (F.floor(i / 128) * 8 + F.floor((i % 32) / 4)).cast("int")))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", grey.alias("grey")).select("vec_id", "label", wide.alias("pixels"), F.lit(32).alias("width"))
+
+
+@query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor(128 + 400 * x::DOUBLE), 0), 255) AS INT)) AS g FROM embeddings),
+p AS (SELECT vec_id, unnest(g) AS v FROM g), c AS (SELECT vec_id, v AS t, sum(count(*)) OVER w AS a, sum(sum(v)) OVER w AS sa, sum(count(*)) OVER (PARTITION BY vec_id) AS n, sum(sum(v)) OVER (PARTITION BY vec_id) AS s FROM p GROUP BY vec_id, v WINDOW w AS (PARTITION BY vec_id ORDER BY v)),
+b AS (SELECT vec_id, t, a, sa, n, s, a::DOUBLE * (n - a) * pow(sa::DOUBLE / a - (s - sa)::DOUBLE / (n - a), 2) AS v FROM c WHERE a < n), o AS (SELECT vec_id, t, a, n, s FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(v, 6) DESC, t) = 1)
+SELECT vec_id, CAST(t AS INT) AS threshold, CAST(16 * CASE WHEN s >= 128 * n THEN a ELSE n - a END AS INT) AS drawn FROM o""")
+def image_thresholds(spark, sf):
+    return contours.outlines(_rasters(spark, sf), "pixels", "width", ["vec_id"]).select("vec_id", "threshold", "drawn")
+
+
+@query()
+def image_outlines(spark, sf):
+    """The outline of every vector's image, with its features."""
+    rows = contours.outlines(_rasters(spark, sf), "pixels", "width", ["vec_id", "label"])
+    found = shapes.outline_features(rows.filter("error is null").withColumn("closed", F.lit(True)), "points", "closed")
+    return found.select("vec_id", "label", "contour_points", "vertices", "closed", *(F.round(c, 9).alias(c) for c in ("area", "perimeter", *shapes.FEATURES[1:])))
+
+
+@query()
+def composite_shapes(spark, sf):
+    """Brands whose shapes overlap those of each brand with a number divisible by 3, ten each."""
+    rows = _shapes(spark, sf).withColumns({"vertices": (F.col("shape_id") % 40 + 3).cast("double"), "closed": F.col("shape_id") % 5 != 0})
+    refs = rows.filter(F.regexp_extract("asset_id", "([0-9]+)", 1).cast("int") % 3 == 0).select("asset_id")
+    return shapes.composite_search(rows, refs, 1, 10)
 
 
 @query()
