@@ -5,10 +5,12 @@ of classes, deals all classes to shards by Hamming distance: at each node a clas
 outside a ball; if the triangle bound says that a partner may lie across the border, a class inside
 also visits the outside. By induction every linked pair meets in some shard. Where a leaf of the fitted
 tree gets more than SHARD classes (counted first), it goes on below by vantage points drawn from a
-hash of the place in the tree, as deep as its count asks: these need no sample, so shards stay small
-however many classes there are. A shard's task splits on by vantage points of its own down to small
-leaves, compares there, and emits one edge per class to the smallest of its local group, never all
-pairs. Components of these edges are the result.
+hash of the place in the tree: first as deep as its count asks, then, part by part, wherever a counted
+part still holds over twice SHARD, until none does or none shrinks (fingerprints nearer each other than
+any ball can part). These points need no sample, and only the parts that are too large are told to the
+driver. A shard's task splits on by vantage points of its own down to small leaves, compares there, and
+emits one edge per class to the smallest of its local group, never all pairs. Components of these edges
+are the result.
 
 Nulls, empty and long texts: a null text is an empty one, with fingerprint zero; long texts are hashed
 whole. Repeated rows get equal fingerprints and component; a null doc_id is never the smallest (the
@@ -18,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,10 @@ SHINGLE, BITS, RADIUS = 3, 64, 3
 SAMPLE, SHARD, LEAF = 32_768, 16_384, 2048
 #: Leaves of the fitted tree at most.
 LEAVES = SAMPLE // 16
+#: Radius that leaves a drawn ball's inside and outside (with its visitors) alike, and the share of either.
+BALANCED, KEEPS = BITS // 2 + 1, 0.65
+#: Levels below a fitted leaf at most (a part's number has 63 bits), and rounds of counting.
+DEEPEST, ROUNDS = 60, 8
 #: Shingles hashed at once.
 CHUNK = 1 << 17
 
@@ -129,19 +136,27 @@ def route(x: np.ndarray, nodes: list[tuple[np.uint64, int, int, int]]) -> Iterat
         todo += [(a, members[inside]), (b, members[outside])]
 
 
-def deepen(x: np.ndarray, shard: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, members): a leaf's members dealt on by depth levels of drawn vantage points."""
-    todo = [(1, x)]
+def depth_for(n: int) -> int:
+    """Levels of drawn vantage points for n classes: a balanced ball leaves KEEPS of them on either side."""
+    return math.ceil(math.log(n / SHARD, 1 / KEEPS)) if n > SHARD else 0
+
+
+def deepen(x: np.ndarray, shard: int, depth: int, further: dict[int, int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, members): a leaf's members dealt on by depth levels of drawn vantage points, and where a part's
+    number is in further, by so many levels more. A part's number is the path to it, after a leading 1."""
+    todo = [(1, x, depth)]
     while todo:
-        at, members = todo.pop()
+        at, members, left = todo.pop()
         if not len(members):
             continue
-        if at >= 1 << depth:
-            yield at, members
-            continue
+        if not left:
+            left = (further or {}).get(at, 0)
+            if not left:
+                yield at, members
+                continue
         point = np.uint64(xxhash.xxh64_intdigest(f"{shard}:{at}"))
-        inside, outside = _parts(members, point, BITS // 2 - 1)
-        todo += [(2 * at, members[inside]), (2 * at + 1, members[outside])]
+        inside, outside = _parts(members, point, BALANCED)
+        todo += [(2 * at, members[inside], left - 1), (2 * at + 1, members[outside], left - 1)]
 
 
 def local_groups(x: np.ndarray) -> np.ndarray:
@@ -189,24 +204,44 @@ def links(classes: DataFrame) -> DataFrame:
     nodes = fit_tree(sample["fingerprint"].to_numpy(np.int64).view(np.uint64), min(LEAVES, -(-n // SHARD))) if n else []
 
     depths: dict[int, int] = {}
+    further: dict[int, dict[int, int]] = {}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
             for shard, members in route(x, nodes):
-                for part, own in deepen(members, shard, depths.get(shard, 0)):
+                for part, own in deepen(members, shard, depths.get(shard, 0), further.get(shard)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard, np.int32)), pa.array(np.full(len(own), part)), pa.array(own.view(np.int64))], names=["shard", "part", "fingerprint"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        found: dict[tuple[int, int], int] = {}
         for batch in batches:
             for shard, members in route(batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64), nodes):
-                found[shard] = found.get(shard, 0) + len(members)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["shard", "n"])
+                for part, own in deepen(members, shard, depths.get(shard, 0), further.get(shard)):
+                    found[shard, part] = found.get((shard, part), 0) + len(own)
+        columns = ([k[0] for k in found], [k[1] for k in found], list(found.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["shard", "part", "n"])
+
+    def large() -> dict[tuple[int, int], int]:
+        """The parts over twice SHARD, with their size."""
+        sizes = classes.select("fingerprint").mapInArrow(tally, "shard int, part long, n long").groupBy("shard", "part").agg(F.sum("n").alias("n"))
+        return {(r["shard"], r["part"]): r["n"] for r in sizes.filter(F.col("n") > 2 * SHARD).collect()}
 
     if n > LEAVES * SHARD:  # the fitted tree alone keeps shards small below that
-        sizes = classes.select("fingerprint").mapInArrow(tally, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()  # LEAVES rows at most
-        depths = {r["shard"]: max(0, (r["n"] // SHARD).bit_length()) for r in sizes}
+        now = large()
+        depths = {shard: min(DEEPEST, depth_for(size)) for (shard, _), size in now.items()}
+        stuck: set[tuple[int, int]] = set()
+        for _ in range(ROUNDS):
+            before, now = now, {k: v for k, v in large().items() if k not in stuck}
+            for (shard, part), size in now.items():
+                above = next((before[shard, part >> up] for up in range(1, DEEPEST) if (shard, part >> up) in before), None)
+                if part.bit_length() > DEEPEST or (above is not None and size > 0.95 * above):
+                    stuck.add((shard, part))
+                else:
+                    further.setdefault(shard, {})[part] = max(1, min(depth_for(size), DEEPEST + 1 - part.bit_length()))
+            now = {k: v for k, v in now.items() if k not in stuck}
+            if not now:
+                break
 
     def compare(shard: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(shard["fingerprint"].to_numpy(np.int64).view(np.uint64))
