@@ -87,7 +87,7 @@ def test_bits_round_trip(width, tmp_path):
         assert (reader.document(1) == ids[:1000]).all() and (reader.document(2) == ids[1000:]).all() and (reader.ids(299, 901) == ids[299:901]).all()
 
 
-ODD = ["a", "Zed", "foo", "'s", "’s", " ", "  ", "\n", "\t", "\xa0", " ", "•", "§", "é", "é", "́", "ß", "İ", "Σ", "ΑΣ", "1", "23", "!", "?!", "...", "<|endoftext|>", "日本", "🙂", "\x1c", "\x85", "​", "it's", "I'LL", "\r\n", "ﬁ", "\x00"]
+ODD = ["%%%", "&", "***.", "$", "_", "-", '"', "(", ")]", "<|", "|>", "@", "×", "÷", "ÿ", "À", "\n\n", "a\nb", "\x7f", "a", "Zed", "foo", "'s", "’s", " ", "  ", "\n", "\t", "\xa0", " ", "•", "§", "é", "é", "́", "ß", "İ", "Σ", "ΑΣ", "1", "23", "!", "?!", "...", "<|endoftext|>", "日本", "🙂", "\x1c", "\x85", "​", "it's", "I'LL", "\r\n", "ﬁ", "\x00"]
 
 
 @pytest.mark.parametrize("name, byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
