@@ -26,14 +26,14 @@ FIRST, BACK = 6, 5
 
 def otsu_threshold(gray: np.ndarray) -> int:
     """The least grey value whose split has the greatest variance between both sides; 0 if none splits."""
-    n = np.bincount(gray.ravel(), minlength=256).astype(float)
-    below = np.cumsum(n)
-    inner = (below > 0) & (below < n.sum())
+    n = np.bincount(gray.ravel(), minlength=256)
+    below, sums = np.cumsum(n), np.cumsum(n * np.arange(256))
+    inner = (below > 0) & (below < below[-1])
     if not inner.any():
         return 0
-    sums = np.cumsum(n * np.arange(256))
-    a, b = below[inner], n.sum() - below[inner]
-    between = a * b * (sums[inner] / a - (sums[-1] - sums[inner]) / b) ** 2
+    a = below[inner]
+    apart = (sums[inner] * below[-1] - sums[-1] * a).astype(float)  # of whole numbers, so that ties are ties
+    between = apart * apart / (a * (below[-1] - a)).astype(float)
     return int(np.flatnonzero(inner)[np.argmax(between)]) if between.max() > 0 else 0
 
 

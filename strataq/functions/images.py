@@ -115,3 +115,54 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
     return float((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+
+#: Side of a model's image, and mean and deviation of its channels.
+MODEL_SIDE = 224
+MEAN, DEVIATION = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic kernel through its points (Catmull-Rom)."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def resampling(size: int, wanted: int) -> np.ndarray:
+    """(wanted, size) weights of a line's samples: the kernel is widened when the line shrinks."""
+    ratio = size / wanted
+    wide = max(ratio, 1.0)
+    centre = (np.arange(wanted) + 0.5) * ratio
+    low = np.clip(np.floor(centre - 2 * wide), 0, size - 1)[:, None]
+    high = np.clip(np.ceil(centre + 2 * wide), low[:, 0] + 1, size)[:, None]
+    at = np.arange(size)[None, :]
+    weights = np.where((at >= low) & (at < high), _cubic((at - (centre - 0.5)[:, None]) / wide), 0.0)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """(height, width, channels) samples by two matrix products, rounded and kept within 0 to 255."""
+    across = np.einsum("yh,hwc->ywc", resampling(pixels.shape[0], height), pixels.astype(np.float64))
+    both = np.einsum("xw,ywc->yxc", resampling(pixels.shape[1], width), across)
+    return np.floor(np.clip(both, 0, 255) + 0.5).clip(0, 255).astype(np.uint8)
+
+
+def model_input(pixels: np.ndarray, region: tuple[int, int, int] | None = None, side: int = MODEL_SIDE) -> np.ndarray:
+    """(3, side, side) normalised samples: the shorter side scaled to side and the middle cut out, or a square
+    region (x, y, length) scaled whole; a region beyond the image is an error."""
+    pixels = np.broadcast_to(pixels, (*pixels.shape[:2], 3))
+    h, w = pixels.shape[:2]
+    if not h or not w:
+        raise ValueError("an empty image")
+    if region is None:
+        wide, high = (side, int(np.floor(h * side / w + 0.5))) if w < h else (int(np.floor(w * side / h + 0.5)), side)
+        scaled = resize(pixels, max(wide, side), max(high, side))
+        x, y = (scaled.shape[1] - side) // 2, (scaled.shape[0] - side) // 2
+        scaled = scaled[y : y + side, x : x + side]
+    else:
+        x, y, length = region
+        length = min(length, w - x, h - y)
+        if x < 0 or y < 0 or length < 1:
+            raise ValueError("a region beyond the image")
+        scaled = resize(pixels[y : y + length, x : x + length], side, side)
+    return ((scaled.astype(np.float32) / np.float32(255) - np.array(MEAN, np.float32)) / np.array(DEVIATION, np.float32)).transpose(2, 0, 1)

@@ -116,6 +116,26 @@ def day_bounds(day: Column) -> tuple[Column, Column]:
     return at, at + 86_399
 
 
+def days_ago(days: int) -> Column:
+    """Epoch seconds so many days before now; a negative number counts as none."""
+    return F.unix_timestamp() - max(0, days) * 86_400
+
+
+def months_ago(months: int) -> Column:
+    """Epoch seconds of the first day of the month so many months before this one."""
+    return F.unix_timestamp(F.add_months(F.trunc(F.current_date(), "month"), -months).cast("timestamp"))
+
+
+def month_label(seconds: Column) -> Column:
+    """YYYY-MM of epoch seconds, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM")
+
+
+def minute_label(seconds: Column) -> Column:
+    """YYYY-MM-DD HH:MM of epoch seconds, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+
+
 def iso_time(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

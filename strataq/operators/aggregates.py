@@ -38,9 +38,12 @@ def month_histogram(df: DataFrame, at: Column, first_month: str) -> DataFrame:
     return df.filter(at >= F.lit(first_month).cast("date")).groupBy(F.date_format(at, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month")
 
 
-def folder_rollup(df: DataFrame, path: Column, limit: int | None = FOLDERS_MAX) -> DataFrame:
-    """(folder, n) by falling count; paths without a separator have no folder."""
-    out = df.select(parent_dir(path).alias("folder")).filter("folder is not null").groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder")
+def folder_rollup(df: DataFrame, path: Column, limit: int | None = FOLDERS_MAX, latest: Column | None = None) -> DataFrame:
+    """(folder, n) by falling count, with the greatest value of latest if it is given; paths without a separator
+    have no folder."""
+    rows = df.select(parent_dir(path).alias("folder"), (F.lit(None) if latest is None else latest).alias("latest")).filter("folder is not null")
+    more = [] if latest is None else [F.max("latest").alias("latest")]
+    out = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), *more).orderBy(F.desc("n"), "folder")
     return out if limit is None else out.limit(limit)
 
 
@@ -62,6 +65,17 @@ def activity_summary(events: DataFrame, at: str, since: Column, user: str, actio
     return base.groupingSets([[F.col("user")], [F.col("action")], []], "user", "action").agg(kind.alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", F.coalesce("user", "action").alias("key"), "n")
 
 
+#: Users and actions that a summary names.
+TOP_USERS, TOP_ACTIONS = 5, 6
+
+
+def top_activity(events: DataFrame, at: str, since: Column, user: str, action: str) -> DataFrame:
+    """(kind, key, n, place): the total since a time, the busiest users and the commonest actions."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
+    most = F.when(F.col("kind") == "user", TOP_USERS).when(F.col("kind") == "action", TOP_ACTIONS).otherwise(1)
+    return activity_summary(events, at, since, user, action).withColumn("place", place).filter(F.col("place") <= most)
+
+
 def winners(df: DataFrame, group: str, value: str, order: list[Column]) -> DataFrame:
     """The value with the greatest order tuple of each group."""
     return df.groupBy(group).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import prefix_filter
 from .numbering import number_rows
 
 
@@ -17,6 +18,14 @@ def merge_preview(target: DataFrame, source: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(conflict).alias("path_conflicts"), F.count_if(~conflict & F.col("__h").isNotNull()).alias("hash_duplicates"))
 
 
+def check_merge(target: dict, source: dict) -> None:
+    """An error if two archives (id, version) are one, or if the source's schema is newer than the target's."""
+    if target["id"] == source["id"]:
+        raise ValueError("an archive is not merged with itself")
+    if source["version"] > target["version"]:
+        raise ValueError(f"the source has schema {source['version']}, newer than {target['version']}")
+
+
 def merge_assets(target: DataFrame, source: DataFrame, import_duplicates: bool = False, remap: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(assets, id map): the target with the source's new rows.
 
@@ -79,10 +88,14 @@ def orphans(tables: dict[str, tuple[DataFrame, str]], assets: DataFrame) -> Data
     return out
 
 
-def staleness(catalog: DataFrame, listing: DataFrame, tolerance: int = 2) -> DataFrame:
-    """(path, state): fresh, stale (its time differs by more than the tolerance) or missing."""
+def staleness(catalog: DataFrame, listing: DataFrame, tolerance: int = 2, offline: list[str] = []) -> DataFrame:  # noqa: B006
+    """(path, state): fresh, stale (its time differs by more than the tolerance), offline (missing, below a root
+    that is out of reach) or missing."""
+    away = F.lit(False)
+    for root in offline:
+        away = away | prefix_filter(F.col("path"), root)
     found = listing.select(F.col("path").alias("__p"), F.col("modified_at").alias("__m"))
-    state = F.when(F.col("__p").isNull(), "missing").when(F.abs(F.col("__m") - F.col("modified_at")) > tolerance, "stale").otherwise("fresh")
+    state = F.when(F.col("__p").isNull() & away, "offline").when(F.col("__p").isNull(), "missing").when(F.abs(F.col("__m") - F.col("modified_at")) > tolerance, "stale").otherwise("fresh")
     return catalog.join(found, F.col("path") == F.col("__p"), "left").select("path", state.alias("state"))
 
 

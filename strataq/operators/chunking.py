@@ -33,8 +33,11 @@ def word_windows(df: DataFrame, key: str, text: str, size: int = WORDS, overlap:
 def token_windows(df: DataFrame, key: str, text: str, encode: Callable[[str], list[tuple[int, int]]], size: int = TOKENS, overlap: int = TOKEN_OVERLAP) -> DataFrame:
     """(key, chunk_index, chunk): windows of tokens, cut at the tokens' offsets in the text.
 
-    encode gives the (start, end) of each token of a text; any tokenizer's offsets do.
+    encode gives the (start, end) of each token of a text; any tokenizer's offsets do. A window that has more
+    tokens by itself than in its text (as pieces join by what stands around them) is cut back at its end until
+    it fits, so none has over size of them unless one token alone has.
     """
+    overlap = max(0, min(overlap, size - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -43,10 +46,17 @@ def token_windows(df: DataFrame, key: str, text: str, encode: Callable[[str], li
                 spans, at, n = encode(t or ""), 0, 0
                 while at < len(spans):
                     to = min(len(spans), at + size)
-                    out.append((k, n, t[spans[at][0] : spans[to - 1][1]]))
+                    whole = at == 0 and to == len(spans)
+                    piece = t.strip() if whole else t[spans[at][0] : spans[to - 1][1]].strip()
+                    while not whole and to > at + 1 and (over := len(encode(piece)) - size) > 0:
+                        to = max(at + 1, to - over)
+                        piece = t[spans[at][0] : spans[to - 1][1]].strip()
+                    if piece:
+                        out.append((k, n, piece))
+                        n += 1
                     if to == len(spans):
                         break
-                    at, n = to - overlap, n + 1
+                    at = max(at + 1, to - overlap)
             yield pd.DataFrame(out, columns=["key", "chunk_index", "chunk"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_tr, words
+from ..functions.text import ascii_lower, normalize_tr, words
 
 #: Words that tell a kind of image: in a name (for renders anywhere, or only as a word), in a
 #: folder, and at the end of a texture's name; source files that stand beside renders.
@@ -69,6 +69,41 @@ def sibling_extensions(assets: DataFrame, name: str = "file_name", folder: str =
     return assets.select("*", *key, ext.alias("__e")).join(there, ["__f", "__s"], "left").withColumn("siblings", F.array_remove(F.coalesce("siblings", F.array().cast("array<string>")), F.col("__e"))).drop("__f", "__s", "__e")
 
 
+#: Folders of kinds of files, and of states of approval.
+EXT_FOLDERS = {
+    "01-Cizimler": ["dwg", "dxf", "dwf", "dgn", "dwt"],
+    "02-Gorseller": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "psd", "eps", "svg", "heic"],
+    "03-Dokumanlar": ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf", "odt", "ods", "csv"],
+    "04-Modeller": ["skp", "3ds", "max", "obj", "fbx", "blend", "rvt", "ifc", "stl", "dae"],
+    "05-Video": ["mp4", "mov", "avi", "mkv", "wmv", "flv", "webm"],
+    "06-Ses": ["mp3", "wav", "flac", "aac", "ogg", "m4a"],
+    "07-Arsivler": ["zip", "rar", "7z", "tar", "gz"],
+}
+APPROVAL_FOLDERS = {"Onayli": ["approved"], "Reddedilen": ["rejected"], "Bekleyen": ["draft", "review"]}
+NO_KIND, NO_STATE, NO_DATE = "00-Diger", "00-Belirsiz", "00-Terminsiz"
+
+
+def _folder(value: Column, folders: dict[str, list[str]], other: str) -> Column:
+    out = F.lit(other)
+    for name, values in folders.items():
+        out = F.when(value.isin(values), name).otherwise(out)
+    return out
+
+
+def ext_folder(ext: Column) -> Column:
+    return _folder(ascii_lower(ext), EXT_FOLDERS, NO_KIND)
+
+
+def approval_folder(status: Column) -> Column:
+    return _folder(status, APPROVAL_FOLDERS, NO_STATE)
+
+
+def year_folder(deadline: Column) -> Column:
+    """The year that a date in text begins with, if it has four digits."""
+    year = F.regexp_extract(F.trim(deadline), r"^([0-9]{4})(?:[-/]|$)", 1)
+    return F.coalesce(F.nullif(year, F.lit("")), F.lit(NO_DATE))
+
+
 def file_category(ext: Column) -> Column:
     out = F.lit("other")
     for kind, names in CATEGORIES.items():

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_match, words
+from ..functions.text import PLAIN, STOP_WORDS, TURKISH, fuzzy_match, words
 from ..plans.shared import materialize
 from .filters import Catalog, ListOptions, apply_filters, sort_by
 
@@ -239,11 +239,33 @@ def _scored(index: TextIndex, tree) -> DataFrame:
     return found.select("key", score.alias("score"), F.filter(hit, lambda f: f.isNotNull()).alias("sources"))
 
 
+def plain_tokens(query: str) -> list[str]:
+    """The significant words of a query with plain letters, each once, in order."""
+    table = str.maketrans(TURKISH, PLAIN)
+    stop = {w.translate(table) for w in STOP_WORDS}
+    return list(dict.fromkeys(t for t in words_of(query.translate(table)) if len(t) >= 3 and t not in stop))
+
+
+def expanded_tokens(query: str, vocabulary: dict[str, list[str]], most: int = 20) -> list[str]:
+    """The first new significant words that a vocabulary has for a query, in its order.
+
+    A key of one word asks for that whole word, so "han" is not met by "hangi"; a key of several may stand
+    anywhere in the query.
+    """
+    table = str.maketrans(TURKISH, PLAIN)
+    plain = query.translate(table).lower()
+    asked, own, more = set(words_of(plain)), plain_tokens(query), []
+    for key, others in vocabulary.items():
+        wanted = key.translate(table).lower()
+        if wanted in (plain if " " in wanted else asked):
+            more += [t for other in others for t in plain_tokens(other) if t not in own]
+    return list(dict.fromkeys(more))[:most]
+
+
 def synonyms_of(query: str, synonyms: dict[str, list[str]], most: int = 20) -> list[str]:
-    """Other words for the words and word sequences of a query, none that it has itself."""
+    """Other words for those of a query, none that it has itself."""
     asked = words_of(query)
-    text = f" {' '.join(asked)} "
-    return sorted({s for k, v in synonyms.items() if f" {' '.join(words_of(k))} " in text for s in v if s not in asked})[:most]
+    return [t for t in expanded_tokens(query, synonyms, most) if t not in asked]
 
 
 def fuzzy_index(index: TextIndex, query: str, fields: list[str]) -> DataFrame:
@@ -333,6 +355,36 @@ def snippet(c: Column, terms: list[str], width: int = 12, marks: tuple[str, str]
     return F.transform(F.transform(F.array(F.struct(flagged.alias("words"))), best), shown)[0]
 
 
+def field_snippets(index: TextIndex, df: DataFrame, key: str, query: str, width: int = 12, marks: tuple[str, str] = ("[", "]")) -> DataFrame:
+    """(key, field, snippet) of each field that holds a word asked for, for the rows that meet a query.
+
+    The window of width words that begins at a hit and has most of them, the first of equal ones, comes from the
+    stored positions; only hits' texts are read, to show it. Hits are marked, … stands where text is left out.
+    """
+    found = search_index(index, query)
+    tree = parse_query(query)
+    if found is None:
+        return df.select(F.col(key), F.lit("").alias("field"), F.lit("").alias("snippet")).limit(0)
+    asked = F.lit(False)
+    for term, positive in leaves(tree):
+        for word in term.text.split() if positive else ():
+            asked = asked | (F.startswith(F.col("term"), F.lit(word)) if term.prefix else F.col("term") == word)
+    hits = index.postings.filter(asked).groupBy("key", "field").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("at"))
+    # Positions differ, so no window holds more than the next width of them.
+    ahead = lambda p, i: F.size(F.filter(F.slice("at", i + 1, width), lambda q: q < p + width))
+    best = F.array_max(F.transform("at", lambda p, i: F.struct(ahead(p, i).alias("n"), (-p).alias("minus"))))
+    spots = hits.join(found.select("key"), "key", "left_semi").select("key", "field", "at", (-best["minus"]).alias("first"))
+    texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias("text")) for f in index.fields)))
+    rows = df.select(F.col(key).alias("key"), texts.alias("f")).select("key", "f.field", "f.text").join(spots, ["key", "field"])
+    word = r"[\p{L}\p{N}\p{M}]+"
+    pieces = F.regexp_extract_all("text", F.lit(f"({word}[^\\p{{L}}\\p{{N}}\\p{{M}}]*)"), 1)
+    cut = rows.select("key", "field", "at", "first", F.size(pieces).alias("n"), F.slice(pieces, F.col("first") + 1, F.lit(width)).alias("pieces"))
+    marked = F.transform("pieces", lambda x, i: F.when(F.array_contains("at", F.col("first") + i), F.regexp_replace(x, f"^({word})", f"\\{marks[0]}$1\\{marks[1]}")).otherwise(x))
+    shown = F.regexp_replace(F.array_join(marked, ""), r"[^\p{L}\p{N}\p{M}\]]+$", "")
+    text = F.concat(F.when(F.col("first") > 0, "…").otherwise(""), shown, F.when(F.col("first") + width < F.col("n"), "…").otherwise(""))
+    return cut.select(F.col("key").alias(key), "field", text.alias("snippet"))
+
+
 def best_snippet(fields: list[str], terms: list[str], width: int = 12) -> Column:
     """(field, text): the snippet of the field with most hits, the first of equal ones."""
     wanted = F.array(*(F.lit(w) for w in terms))

@@ -114,6 +114,31 @@ def record_scan(roots: DataFrame, path: str, label: str, at: int) -> DataFrame:
     return roots.withColumns({"scanned_at": F.when(same, F.lit(at).cast("long")).otherwise(F.col("scanned_at")), "deleted_at": F.when(~same, F.col("deleted_at"))})
 
 
+def set_root_state(roots: DataFrame, ids: list[int], at: int | None) -> DataFrame:
+    """Roots put in the trash at a time, or (None) taken out again; others, and those already so, stay."""
+    hit = F.col("id").isin(ids) & (F.col("deleted_at").isNull() if at is not None else F.col("deleted_at").isNotNull())
+    return roots.withColumn("deleted_at", F.when(hit, F.lit(at).cast("long")).otherwise(F.col("deleted_at")))
+
+
+def purge_roots(roots: DataFrame, tags: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(roots, tags) without some roots that are in the trash; active ones stay."""
+    gone = roots.filter(F.col("id").isin(ids) & F.col("deleted_at").isNotNull()).select(F.col("id").alias("__id"))
+    left = lambda df, c: df.join(gone, F.col(c) == F.col("__id"), "left_anti")
+    return left(roots, "id"), left(tags, "root_id")
+
+
+def group_roots(roots: DataFrame, ids: list[int], group: int | None) -> DataFrame:
+    """Roots put in a group (None: in none)."""
+    return roots.withColumn("group_id", F.when(F.col("id").isin(ids), F.lit(group).cast("long")).otherwise(F.col("group_id")))
+
+
+def list_roots(roots: DataFrame, assets: DataFrame, trashed: bool = False, tags: DataFrame | None = None) -> DataFrame:
+    """Active roots by name, or those in the trash, the last deleted first, with counts and tags."""
+    if not trashed:
+        return roots_with_counts(roots.filter("deleted_at is null"), assets, tags)
+    return roots_with_counts(roots.filter("deleted_at is not null"), assets, tags).orderBy(F.desc("deleted_at"), F.desc("id"))
+
+
 def path_exists(assets: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, known): whether an active asset has each path, ASCII case aside."""
     have = assets.filter("deleted_at is null").select(ascii_lower(F.col("path")).alias("__p")).distinct().withColumn("__hit", F.lit(True))
@@ -242,6 +267,12 @@ def received(messages: DataFrame, reads: DataFrame, user: int, limit: int = 50)
     return joined.withColumn("read", F.col("read_at").isNotNull()).drop("__m", "__u").orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, LOG_MAX)))
 
 
+def resolve_message(messages: DataFrame, message: int, by: int, at: int) -> DataFrame:
+    """A message marked as settled by a user; the first time stays."""
+    open_ = (F.col("id") == message) & F.col("resolved_at").isNull()
+    return messages.withColumns({"resolved_by": F.when(open_, F.lit(by).cast("long")).otherwise(F.col("resolved_by")), "resolved_at": F.when(open_, F.lit(at).cast("long")).otherwise(F.col("resolved_at"))})
+
+
 def mark_read(reads: DataFrame, message: int, user: int, at: int) -> DataFrame:
     """Reads with one more; the first time stays."""
     fresh = reads.sparkSession.createDataFrame([(message, user, at)], "message_id long, user_id long, read_at long")
@@ -257,6 +288,30 @@ def activate_archive(archives: DataFrame, name: str, colour: str | None, path: s
     return archives.unionByName(fresh, allowMissingColumns=True)
 
 
+def change_archive(archives: DataFrame, archive: int, name: str | None = None, colour: str | None = None, deleted_at: int | None = None) -> DataFrame:
+    """A registry with one archive renamed, of another colour, or put away; an active name is taken once."""
+    if name is not None:
+        other = archives.filter((F.col("id") != archive) & F.col("deleted_at").isNull() & (fold_name(F.col("name")) == fold_name(F.lit(name))))
+        if not name.strip() or not other.isEmpty():
+            raise ValueError("an archive has this name, or it is blank")
+    values = {"name": name, "colour": colour, "deleted_at": deleted_at}
+    hit = F.col("id") == archive
+    return archives.withColumns({c: F.when(hit, F.lit(v).cast(archives.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items() if v is not None})
+
+
+def report_summaries(reports: DataFrame, lines: DataFrame, limit: int = 50) -> DataFrame:
+    """Scan reports, newest first, with how many of their lines there are by kind: (…, lines map)."""
+    newest = log_page(reports, limit)
+    counts = lines.groupBy("report_id", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("report_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("lines"))  # a row a kind
+    out = newest.join(counts, F.col("id") == F.col("report_id"), "left").drop("report_id")
+    return out.withColumn("lines", F.coalesce("lines", F.create_map().cast("map<string,bigint>"))).orderBy(F.desc("ts"), F.desc("id"))
+
+
+def path_sample(assets: DataFrame, n: int = 20) -> DataFrame:
+    """The first paths of active assets, by id."""
+    return assets.filter("deleted_at is null").orderBy("id").limit(max(1, n)).select("id", "path")
+
+
 # Results in an order of their own.
 
 

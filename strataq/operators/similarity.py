@@ -199,11 +199,11 @@ def fit_centres(sample: np.ndarray, cells: int, metric: str) -> np.ndarray:
 
 
 def build_vector_index(vectors: DataFrame, id_col: str, vector: str, metric: str = "cosine", cells: int | None = None, keep: tuple[str, ...] = ()) -> VectorIndex:
-    """Write an index of all vectors; cells: about the root of their number by default. The centres are fitted on
+    """Write an index of all vectors; cells: about four times the root of their number by default. The centres are fitted on
     SAMPLE vectors at most, the first by a hash of the id; keep: columns that searches filter by."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), *keep).filter("v is not null and id is not null")
     if cells is None:
-        cells = int(max(1, min(CELLS, rows.count() ** 0.5)))
+        cells = int(max(1, min(CELLS, 4 * rows.count() ** 0.5)))
     found = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"]
     sample = np.stack(found.to_numpy()).astype(np.float64) if len(found) else np.empty((0, 1))
     centres = fit_centres(sample, cells, metric) if len(sample) else np.empty((0, 1))

@@ -73,6 +73,47 @@ def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.parquet(f"{folder}/{name}")
 
 
+#: Fixed value: the schema that this library writes.
+VERSION = 1
+
+
+def export_archive(tables: dict[str, DataFrame], folder: str, archive_id: str, at: int) -> DataFrame:
+    """A snapshot with a manifest (id, version, exported_at, names, counts) beside its tables, written last; gives the manifest."""
+    snapshot(tables, folder)
+    spark = next(iter(tables.values())).sparkSession
+    counts = {name: spark.read.parquet(f"{folder}/{name}").count() for name in tables}  # of the written files' footers
+    rows = [(archive_id, VERSION, at, sorted(tables), counts)]
+    manifest = spark.createDataFrame(rows, "id string, version int, exported_at long, names array<string>, counts map<string,long>").coalesce(1)
+    manifest.write.json(f"{folder}/_manifest.json")
+    return manifest
+
+
+def peek(spark: SparkSession, folder: str) -> dict:
+    """An export's manifest; its tables are not read. An error if the export is not whole."""
+    found = spark.read.schema("id string, version int, exported_at long, names array<string>, counts map<string,long>").json(f"{folder}/_manifest.json").first()
+    if found is None:
+        raise ValueError("the export has no manifest")
+    return found.asDict()
+
+
+def import_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an export; an error if it is newer than this library, or a table has lost rows."""
+    manifest = peek(spark, folder)
+    if manifest["version"] > VERSION:
+        raise ValueError(f"the export has schema {manifest['version']}, newer than {VERSION}")
+    found = restore(spark, folder, manifest["names"])
+    for name, df in found.items():
+        if df.count() != manifest["counts"][name]:
+            raise ValueError(f"table {name} is not whole")
+    return found
+
+
+def flag_changes(df: DataFrame, ids: DataFrame, column: str, value: object) -> DataFrame:
+    """(id): those of some ids whose row has another value in a column, so that setting it changes something."""
+    rows = df.select("id", F.col(column).alias("__now")).join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.filter(~F.col("__now").eqNullSafe(F.lit(value).cast(df.schema[column].dataType))).select("id")
+
+
 def restore(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of a snapshot."""
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

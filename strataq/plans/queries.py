@@ -146,6 +146,30 @@ def activity_summary(spark, sf):
     return aggregates.activity_summary(events, "ts", F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days"), "user_id", "event_type")
 
 
+@query("SELECT coalesce(nullif(regexp_extract(o_orderpriority, '^([0-9])', 1), ''), '') AS key, CASE o_orderstatus WHEN 'F' THEN 'Onayli' WHEN 'O' THEN 'Bekleyen' ELSE '00-Belirsiz' END AS approval, CASE WHEN o_orderkey % 5 = 0 THEN '00-Terminsiz' ELSE strftime(o_orderdate, '%Y') END AS year, count(*) AS n FROM orders GROUP BY ALL")
+def organise_folders(spark, sf):
+    """Orders by the folders that their state and date ask for; every fifth has no date to speak of."""
+    orders = _t(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "review").otherwise("other")
+    date = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = orders.select(F.regexp_extract("o_orderpriority", "^([0-9])", 1).alias("key"), classify.approval_folder(status).alias("approval"), classify.year_folder(date).alias("year"))
+    return rows.groupBy("key", "approval", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) AS folder, count(*) AS n, max(page_id) AS latest FROM pages WHERE regexp_matches(url, '[/\\]') GROUP BY 1")
+def folder_latest(spark, sf):
+    return aggregates.folder_rollup(_t(spark, sf, "pages"), F.col("url"), None, F.col("page_id"))
+
+
+@query("""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS a FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY),
+c AS (SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM b UNION ALL SELECT 'user', u, count(*) FROM b GROUP BY u UNION ALL SELECT 'action', a, count(*) FROM b GROUP BY a)
+SELECT kind, key, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS INT) AS place FROM c QUALIFY place <= CASE kind WHEN 'user' THEN 5 WHEN 'action' THEN 6 ELSE 1 END""")
+def activity_top(spark, sf):
+    events = _t(spark, sf, "events")
+    last = events.agg(F.max("ts")).first()[0]
+    return aggregates.top_activity(events, "ts", F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days"), "user_id", "event_type")
+
+
 @query(r"SELECT regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) AS folder, count(*) AS n FROM pages WHERE regexp_matches(url, '[/\\]') GROUP BY 1")
 def folder_rollup(spark, sf):
     return aggregates.folder_rollup(_t(spark, sf, "pages"), F.col("url"), None)
@@ -467,7 +491,8 @@ def rate_window(spark, sf):
     return rates.rate_decisions(rows, "user_id", "ts", "event_id", seconds=3600, limit=3)
 
 
-@query()
+@query("""SELECT doc_id AS id, -1 AS chunk_index, concat_ws(chr(10), 'DOSYA: ' || source, 'BAŞLIK: ' || lang, pairs) AS chunk FROM documents LEFT JOIN
+(SELECT doc_id, string_agg(x, chr(10) ORDER BY x) AS pairs FROM (SELECT doc_id, 'QUALITY' || coalesce(': ' || quality, '') AS x FROM labels UNION ALL SELECT doc_id, 'TOXIC' || coalesce(': ' || toxic, '') FROM labels) GROUP BY doc_id) USING (doc_id)""")
 def metadata_chunks(spark, sf):
     catalog = documents(spark, sf)
     return chunking.metadata_chunks(catalog.assets.select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), F.col("lang").alias("title")), catalog.metadata)
@@ -482,10 +507,10 @@ p AS (SELECT term, doc_id, count(*) AS tf, len(any_value(w)) AS l FROM (SELECT d
 f AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, s GROUP BY term, n),
 b AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 9) AS score, count(*) = max(asked) AS gated FROM x JOIN p USING (term) JOIN f USING (term), s GROUP BY query_id, doc_id),
 t AS (SELECT query_id, doc_id, gated, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS text_rank FROM b QUALIFY text_rank <= 300),
-v AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), vec_id) AS vector_rank FROM q, embeddings e QUALIFY vector_rank <= 200),
+v AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), vec_id) AS vector_rank FROM q, embeddings e WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY vector_rank <= 200),
 u AS (SELECT query_id, doc_id AS chunk_id, doc_id // 4 AS asset_id, coalesce(gated, false) AS gated, text_rank, vector_rank, CASE WHEN gated THEN 1 ELSE round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9) END AS score FROM t FULL JOIN v USING (query_id, doc_id) WHERE doc_id IN (SELECT doc_id FROM documents)),
 c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, asset_id ORDER BY gated DESC, CASE WHEN gated THEN text_rank END, score DESC, chunk_id) <= 3)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY gated DESC, CASE WHEN gated THEN text_rank END, score DESC, chunk_id) AS INT) AS position, chunk_id, asset_id, score, text_rank, vector_rank FROM c QUALIFY position <= 12"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY gated DESC, CASE WHEN gated THEN text_rank END, score DESC, chunk_id) AS INT) AS position, chunk_id, asset_id, score, coalesce(text_rank, 0) AS text_rank, coalesce(vector_rank, 0) AS vector_rank FROM c QUALIFY position <= 12"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -508,15 +533,16 @@ def hybrid_retrieval(spark, sf):
         _CHUNKS[key] = retrieval.chunk_index(docs, "doc_id")
     vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("__v"), "embedding")
     chunks = docs.join(vectors, F.col("doc_id") == F.col("__v"), "left").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("asset_id"), "embedding")
-    return retrieval.retrieve_many(_CHUNKS[key], chunks, _requests(spark, sf))
+    found = retrieval.retrieve_many(_CHUNKS[key], chunks, _requests(spark, sf))
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("text_rank", "vector_rank")})  # 0: not ranked there
 
 
 @query()
 def knn_cells(spark, sf):
-    """The ten nearest of every hundredth vector by an index of cells, a third of which is probed."""
+    """The ten nearest of every hundredth vector by an index of cells, two thirds of which are probed."""
     rows, queries = _queries(spark, sf)
     index = similarity.build_vector_index(rows, "vec_id", "embedding")
-    return similarity.search_cells(index, queries, "vec_id", "embedding", 10, max(1, len(index.centres) // 3))
+    return similarity.search_cells(index, queries, "vec_id", "embedding", 10, max(1, 2 * len(index.centres) // 3))
 
 
 @query(_KNN_SQL)
@@ -537,7 +563,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor(128 + 400 * x::DOUBLE), 0), 255) AS INT)) AS g FROM embeddings),
 p AS (SELECT vec_id, unnest(g) AS v FROM g), c AS (SELECT vec_id, v AS t, sum(count(*)) OVER w AS a, sum(sum(v)) OVER w AS sa, sum(count(*)) OVER (PARTITION BY vec_id) AS n, sum(sum(v)) OVER (PARTITION BY vec_id) AS s FROM p GROUP BY vec_id, v WINDOW w AS (PARTITION BY vec_id ORDER BY v)),
-b AS (SELECT vec_id, t, a, sa, n, s, a::DOUBLE * (n - a) * pow(sa::DOUBLE / a - (s - sa)::DOUBLE / (n - a), 2) AS v FROM c WHERE a < n), o AS (SELECT vec_id, t, a, n, s FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(v, 6) DESC, t) = 1)
+b AS (SELECT vec_id, t, a, sa, n, s, (sa * n - s * a)::DOUBLE * (sa * n - s * a)::DOUBLE / (a * (n - a))::DOUBLE AS v FROM c WHERE a < n), o AS (SELECT vec_id, t, a, n, s FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, t) = 1)
 SELECT vec_id, CAST(t AS INT) AS threshold, CAST(16 * CASE WHEN s >= 128 * n THEN a ELSE n - a END AS INT) AS drawn FROM o""")
 def image_thresholds(spark, sf):
     return contours.outlines(_rasters(spark, sf), "pixels", "width", ["vec_id"]).select("vec_id", "threshold", "drawn")
@@ -551,18 +577,16 @@ def image_outlines(spark, sf):
     return found.select("vec_id", "label", "contour_points", "vertices", "closed", *(F.round(c, 9).alias(c) for c in ("area", "perimeter", *shapes.FEATURES[1:])))
 
 
-@query()
-def composite_shapes(spark, sf):
-    """Brands whose shapes overlap those of each brand with a number divisible by 3, ten each."""
-    rows = _shapes(spark, sf).withColumns({"vertices": (F.col("shape_id") % 40 + 3).cast("double"), "closed": F.col("shape_id") % 5 != 0})
-    refs = rows.filter(F.regexp_extract("asset_id", "([0-9]+)", 1).cast("int") % 3 == 0).select("asset_id")
-    return shapes.composite_search(rows, refs, 1, 10)
+_WORD, _GAP = r"[\p{L}\p{N}\p{M}]+", r"[^\p{L}\p{N}\p{M}]*"
 
 
-@query()
+@query(f"""WITH x AS (SELECT doc_id, 'text' AS field, coalesce(text, '') AS c FROM documents UNION ALL SELECT doc_id, 'source', coalesce(source, '') FROM documents),
+d AS (SELECT doc_id, field, regexp_extract_all(lower(c), '{_WORD}') AS t, regexp_extract_all(c, '{_WORD}') AS o, regexp_extract_all(c, '{_WORD}{_GAP}') AS p FROM x),
+h AS (SELECT doc_id, field, i FROM (SELECT *, unnest(range(len(t))) AS i FROM d) WHERE t[i + 1] IN ('license', 'under')), w AS (SELECT doc_id, field, i, count(*) OVER (PARTITION BY doc_id, field ORDER BY i RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS n FROM h),
+b AS (SELECT doc_id, field, i FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY n DESC, i) = 1)
+SELECT doc_id, field, CASE WHEN i > 0 THEN '…' ELSE '' END || regexp_replace(array_to_string(list_transform(range(i + 1, least(i + 12, len(t)) + 1), lambda k: CASE WHEN t[k] IN ('license', 'under') THEN '[' || o[k] || ']' || p[k][len(o[k]) + 1:] ELSE p[k] END), ''), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\]]+$', '') || CASE WHEN i + 12 < len(t) THEN '…' ELSE '' END AS snippet FROM b JOIN d USING (doc_id, field)""")
 def snippets(spark, sf):
-    found = fulltext.search(_t(spark, sf, "documents"), "license", ["text"])
-    return found.select("doc_id", fulltext.snippet(F.col("text"), ["license"]).alias("snippet"))
+    return fulltext.field_snippets(text_index(spark, sf), _t(spark, sf, "documents"), "doc_id", '"license" OR "under"')
 
 
 @query()
@@ -689,8 +713,29 @@ def orphans(spark, sf):
     return archive.orphans({"orders": (_t(spark, sf, "orders"), "o_custkey"), "lineitem": (_t(spark, sf, "lineitem"), "l_suppkey")}, assets)
 
 
-@query()
+# Shapes of brands with vertex counts that recur, which of two brands' shapes are alike, and the brands' overlap.
+_OVERLAP_SQL = f"""s AS (SELECT p_brand AS asset_id, p_partkey AS shape_id, {_SHAPE.replace("CAST(p_size AS DOUBLE)", "CAST(p_partkey % 40 + 3 AS DOUBLE)").replace("p_size % 3 <> 0", "p_partkey % 5 <> 0")} FROM part),
+p AS (SELECT a.asset_id AS a, a.shape_id AS sa, b.asset_id AS b, b.shape_id AS sb, a.closed, exp(-pow(a.vertices - b.vertices, 2) / (2 * pow(greatest(0.3 * greatest(a.vertices, b.vertices), 1.5), 2))) AS v, least(a.aspect, b.aspect) / greatest(a.aspect, b.aspect) AS r,
+1 - abs(a.compactness - b.compactness) AS c, 1 - abs(a.regularity - b.regularity) AS g, 1 - abs(a.rectangularity - b.rectangularity) AS q, 1 - abs(a.solidity - b.solidity) AS o FROM s a JOIN s b ON a.closed = b.closed AND a.asset_id <> b.asset_id),
+m AS (SELECT a, b, count(DISTINCT sa) + count(DISTINCT sb) AS m FROM p WHERE CASE WHEN closed THEN 0.20 * v + 0.20 * c + 0.15 * g + 0.15 * r + 0.15 * q + 0.10 * o + 0.05 ELSE 0.35 * r + 0.30 * v + 0.25 * g + 0.10 END >= 0.9 GROUP BY a, b), n AS (SELECT asset_id, count(*) AS n FROM s GROUP BY asset_id),
+e AS (SELECT a, b, CAST(round(m * 100 / (x.n + y.n)::DOUBLE) AS INT) AS score FROM m JOIN n x ON x.asset_id = a JOIN n y ON y.asset_id = b)"""
+
+
+def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir).withColumns({"vertices": (F.col("shape_id") % 40 + 3).cast("double"), "closed": F.col("shape_id") % 5 != 0})
+
+
+@query(f"""WITH {_OVERLAP_SQL} SELECT a AS ref, b AS asset, score / 100.0::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INT) AS rank FROM e
+WHERE score >= 1 AND CAST(regexp_extract(a, '([0-9]+)', 1) AS INT) % 3 = 0 QUALIFY rank <= 10""")
+def composite_shapes(spark, sf):
+    """Brands whose shapes overlap those of each brand with a number divisible by 3, ten each."""
+    rows = _recurring(spark, sf)
+    refs = rows.filter(F.regexp_extract("asset_id", "([0-9]+)", 1).cast("int") % 3 == 0).select("asset_id")
+    return shapes.composite_search(rows, refs, 1, 10)
+
+
+@query(f"""WITH RECURSIVE {_OVERLAP_SQL}, l AS (SELECT a, b, score FROM e WHERE score >= 40), r AS (SELECT a AS id, a AS seen FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT id, min(seen) AS component FROM r GROUP BY id), w AS (SELECT component, min(score) AS score FROM l JOIN c ON c.id = l.a GROUP BY component) SELECT id, component, score FROM c JOIN w USING (component)""")
 def structural_groups(spark, sf):
-    """Brands whose drawings share shapes; vertex counts and closedness recur, so that they do."""
-    rows = _shapes(spark, sf).withColumns({"vertices": (F.col("shape_id") % 40 + 3).cast("double"), "closed": F.col("shape_id") % 5 != 0})
-    return shapes.structural_groups(rows, 40)
+    """Brands whose drawings share shapes."""
+    return shapes.structural_groups(_recurring(spark, sf), 40)
