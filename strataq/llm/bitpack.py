@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, open_fs, scratch, slices
-from .tokens import encoder
+from .tokens import ENCODED_BYTES, encoder
 
 MAGIC = b"BPK1"
 BLOCK_IDS = 1 << 14
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocab_size:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, enc = TaskContext.get().partitionId(), None, encoder(vocabulary, byte_level)
         fs, root = open_fs(folder)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bpk"

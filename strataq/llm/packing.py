@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import encoder
+from .tokens import ENCODED_BYTES, encoder
 
 #: Limits of one sequence, each of which binds on ordinary texts: a sequence of many short examples has its
 #: segments full first, one of examples without much context its loss-bearing tokens.
@@ -147,7 +147,7 @@ def pack_examples(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: in
             return pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.binary() if k == "ids" else pa.int64()) for k in rows]))
 
         tokens = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             ids, borders = enc.encode(batch.column("text"), end_id)
             firsts = (np.diff(borders) * context).astype(np.int64)
             if prompt_col:
