@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: linked by a Jaccard similarity of 5-word shingles of 0.8 or more."""
+    """One document of each group of near copies: SimHash fingerprints of 5-word shingles in a vantage-point tree, links
+    confirmed by a Jaccard similarity of 0.8 or more; bands give the links that lie beyond the tree's radius."""
     return near_copies.drop_near_copies(docs)
 
 

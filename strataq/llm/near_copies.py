@@ -1,11 +1,15 @@
-"""Near copies of texts: exact Jaccard similarity of word shingles, over candidates by MinHash bands.
-
-Rows with equal sets of SHINGLE-word shingles form a class. A class's MinHash values are cut into BANDS
-bands of ROWS, and classes that share a band meet in a bucket: a pair of similarity 0.8 shares none with
-probability (1 - 0.8 ** ROWS) ** BANDS, below one in a million, and a nearer pair more rarely. (A SimHash
-ball wide enough for 0.8 spans a quarter of all bits, where no tree prunes.) Links are then confirmed on
-the words themselves. First each class of a bucket is compared with the bucket's least. Buckets that are in
-several components after that are compared whole, inside tasks: in blocks of BLOCK classes, each pair of blocks
+"""Near copies of texts: SimHash fingerprints in a vantage-point tree, confirmed by the exact Jaccard similarity
+of word shingles, with MinHash bands for the links beyond the tree's radius.
+
+Rows with equal sets of SHINGLE-word shingles form a class, and each class has a SimHash fingerprint of its
+shingles. Fingerprints within simhash.RADIUS bits are found by op7's vantage-point tree (simhash.links), and each
+class is compared with the least of its fingerprint, and that with the least of the tree's group. A ball wide
+enough for a similarity of 0.8 spans a quarter of all bits, where no tree prunes, so the links that lie
+farther apart come from bands: a class's MinHash values are cut into BANDS bands of ROWS, and classes that share
+a band meet in a bucket: a pair of similarity 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS, below
+one in a million, and a nearer pair more rarely. All links are confirmed on the words themselves. First each class
+of a bucket is compared with the bucket's least. Buckets that are in several components after that and the
+tree's links are compared whole, inside tasks: in blocks of BLOCK classes, each pair of blocks
 in one task, which counts shared shingles through lists of their holders and sends on no more links than join
 the components. So no pair is a row, and no task holds more than two blocks. Components of the links are groups.
 
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.graph import connected_components
+from . import simhash
 from .common import materialize, ranges, slices
 from .substrings import words_of
 
@@ -85,12 +90,18 @@ def hashed_shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, n
 
 def sketches(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(class, BANDS keys) of each text; texts without words are class 0 and have keys 0."""
+    return sketches_and_fingerprints(texts, size)[:2]
+
+
+def sketches_and_fingerprints(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, BANDS keys, fingerprint) of each text; a fingerprint has the bits that are set in over half of the
+    hashes of its distinct shingles, and is 0 without words."""
     text, found, n = hashed_shingles(texts, size)
     ends = np.searchsorted(text, np.arange(n + 1))
     kinds, keys = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
     full = np.flatnonzero(np.diff(ends))
     kinds[full] = [xxhash.xxh3_64_intdigest(found[ends[i] : ends[i + 1]].tobytes()) for i in full]
-    least = np.empty((BANDS * ROWS, len(full)), np.uint64)
+    least, prints = np.empty((BANDS * ROWS, len(full)), np.uint64), np.zeros(n, np.uint64)
     at = 0
     while at < len(full):  # texts of about CHUNK shingles together
         to = max(at + 1, int(np.searchsorted(ends[full], ends[full[at]] + CHUNK)))
@@ -98,33 +109,49 @@ def sketches(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
         own, starts = found[a:b], ends[full[at:to]] - a
         for k in range(BANDS * ROWS):
             least[k, at:to] = np.minimum.reduceat((own ^ SHIFTS[k]) * FACTORS[k], starts)
+        sizes = np.diff(starts, append=len(own))
+        for bit in range(simhash.BITS):
+            held = np.add.reduceat((own >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
+            prints[full[at:to]] |= (2 * held > sizes).astype(np.uint64) << np.uint64(bit)
         at = to
     for band in range(BANDS):
         key = np.full(len(full), band + 1, np.uint64)
         for row in least[band * ROWS : (band + 1) * ROWS]:
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
         keys[full, band] = key
-    return kinds.view(np.int64), keys.view(np.int64)
+    return kinds.view(np.int64), keys.view(np.int64), prints.view(np.int64)
 
 
 def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with a number of their own (__row), class and band keys, written."""
+    """The rows with a number of their own (__row), class, fingerprint and band keys, written."""
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "__row", "__class", "__keys"]
+    names = [*docs.columns, "__row", "__class", "__fingerprint", "__keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, at):
             n = batch.num_rows
-            kinds, keys = sketches(batch.column(at).cast(pa.string()))
+            kinds, keys, prints = sketches_and_fingerprints(batch.column(at).cast(pa.string()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(row, row + n)), pa.array(kinds), lists], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(row, row + n)), pa.array(kinds), pa.array(prints), lists], names=names)
             row += n
 
-    schema = StructType([*docs.schema.fields, StructField("__row", LongType()), StructField("__class", LongType()), StructField("__keys", ArrayType(LongType()))])
+    schema = StructType([*docs.schema.fields, StructField("__row", LongType()), StructField("__class", LongType()), StructField("__fingerprint", LongType()), StructField("__keys", ArrayType(LongType()))])
     return materialize(docs.mapInArrow(run, schema), "sketches")
 
 
+def tree_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes (class, fingerprint) to compare, as few as join what the vantage-point tree links: each with the
+    least of its fingerprint, and the leasts of fingerprints that the tree links; written."""
+    order = F.struct(F.xxhash64("class").alias("order"), "class")
+    found = classes.filter("class <> 0").select("class", "fingerprint")
+    prints = materialize(found.groupBy("fingerprint").agg(F.min(order)["class"].alias("least")), "near-fingerprints")
+    equal = found.join(prints, "fingerprint").filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"))
+    end = lambda old, new: prints.select(F.col("fingerprint").alias(old), F.col("least").alias(new))
+    near = simhash.links(prints).join(end("dst", "a"), "dst").join(end("src", "b"), "src").select("a", "b")
+    return materialize(equal.unionByName(near), "tree-pairs")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose texts are so similar, written."""
 
@@ -193,15 +220,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _sketched(docs, text_col)
     one_id, one_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     best = F.min(F.when(one_id.isNotNull(), F.struct(one_id.alias("id"), F.xxhash64(one_text).alias("hash"), F.col("__row").alias("row")))).alias("best")
-    classes = materialize(rows.groupBy(F.col("__class").alias("class")).agg(F.min("__row").alias("row"), best), "classes")
+    classes = materialize(rows.groupBy(F.col("__class").alias("class")).agg(F.min("__row").alias("row"), F.first("__fingerprint").alias("fingerprint"), best), "classes")
     firsts = rows.select(F.col("__row").alias("row"), "__keys", one_text.alias("text")).join(classes.select("class", "row"), "row")
+    tree = tree_pairs(classes)
     bands = firsts.filter("class <> 0").select("class", F.explode("__keys").alias("key"))
     # Buckets of more than one class, with their least class in an order of its own.
     order = F.struct(F.xxhash64("class").alias("order"), "class")
     buckets = bands.groupBy("key").agg(F.min(order)["class"].alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(bands.join(buckets, "key").select("key", "class", "least"), "buckets")
-    texts = materialize(firsts.select("class", "text").join(met.select("class").distinct(), "class", "left_semi"), "bucket-texts")
-    edges = _confirmed(met.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), texts, similarity)
+    asked = met.select("class").union(tree.select("a")).union(tree.select("b")).distinct()
+    texts = materialize(firsts.select("class", "text").join(asked, "class", "left_semi"), "bucket-texts")
+    pairs = tree.union(met.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"))).distinct()
+    edges = _confirmed(pairs, texts, similarity)
     # Buckets whose classes lie in different components.
     placed = _with_components(met, edges)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
