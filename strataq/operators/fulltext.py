@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,19 +17,48 @@ from .filters import Catalog, ListOptions, apply_filters, sort_by
 #: BM25 parameters, the length from which a word is a prefix, and operator words. (Turkish
 #: "ve" is a plain word: it stands in ordinary sentences, and words side by side must all occur anyway.)
 K1, B, PREFIX = 1.2, 0.75, 4
+#: Keys of hits that are broadcast at most, to take their texts before these are shuffled; beyond that all texts are.
+BROADCAST_KEYS = 1 << 20
 OPERATORS = {"and": "AND", "or": "OR", "veya": "OR", "not": "NOT", "değil": "NOT", "degil": "NOT"}
 
 
 def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """The inverted index: (term, key, field, positions, length of the field)."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), words(F.col(f)).alias("tokens")) for f in fields)))
-    rows = df.select(F.col(key), each.alias("f")).select(key, "f.field", F.size("f.tokens").alias("length"), F.posexplode("f.tokens").alias("position", "term"))
-    return rows.groupBy("term", key, "field", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    rows = lambda part: part.select(F.col(key), each.alias("f")).select(key, "f.field", F.size("f.tokens").alias("length"), "f.tokens")
+    return _merged(df, key, lambda part: _postings_in_rows(rows(part))).select("term", key, "field", "length", "positions")
+
+
+def _postings_in_rows(rows: DataFrame) -> DataFrame:
+    """Rows with tokens to a row per term with its positions. A row's tokens are sorted within it, so nothing is
+    shuffled."""
+    names = [c for c in rows.columns if c != "tokens"]
+    spots = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    rows = rows.filter(F.size("tokens") > 0).select(*names, spots.alias("spots"))
+    first = lambda i: (i == 0) | (F.get("spots", i)["term"] != F.get("spots", i - 1)["term"])
+    rows = rows.select(*names, "spots", F.filter(F.sequence(F.lit(0), F.size("spots") - 1), first).alias("heads"))
+    own = lambda h, i: F.slice("spots", h + 1, F.coalesce(F.get("heads", i + 1), F.size("spots")) - h)["position"]
+    terms = F.transform("heads", lambda h, i: F.struct(F.get("spots", h)["term"].alias("term"), own(h, i).alias("positions")))
+    return rows.select(*names, F.explode(terms).alias("t")).select(*names, "t.term", "t.positions")
+
+
+def _merged(df: DataFrame, key: str, postings: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The postings of all rows; those of rows that share a key are one where all else is equal. Only such rows are
+    shuffled, and none where each key stands once."""
+    own = F.col(f"`{key}`")
+    repeated = df.groupBy(own.alias("__repeated")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__repeated")
+    if repeated.isEmpty():
+        return postings(df)
+    same = own.eqNullSafe(F.col("__repeated"))
+    many = postings(df.join(repeated, same, "left_semi"))
+    positions = F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
+    many = many.groupBy(*(c for c in many.columns if c != "positions")).agg(positions)
+    return postings(df.join(repeated, same, "left_anti")).unionByName(many)
 
 
 @dataclass
 class TextIndex:
-    """Postings in ranges of (term, key), and the corpus's statistics; searches read no text."""
+    """Postings in segments in order of (term, key), and the corpus's statistics; searches read no text."""
 
     postings: DataFrame  # term, key, field, positions, doc_length
     fields: list[str]
@@ -37,15 +67,19 @@ class TextIndex:
 
 
 def build_index(df: DataFrame, key: str, fields: list[str]) -> TextIndex:
-    """Write the index of some fields to the shared folder. Rows lie in order of their term and key, so a
-    search reads the parts of its terms alone, and a hot term spans many parts."""
+    """Write the index of some fields to the shared folder. Each task writes a segment of its rows' postings in order
+    of term and key, so a search reads the pages of its terms alone, a hot term spans all segments, and postings are
+    not shuffled."""
     tokens = [words(F.col(f"`{f}`")) for f in fields]
-    sized = df.select(F.col(f"`{key}`").alias("key"), *(t.alias(f"t{i}") for i, t in enumerate(tokens)))
-    sized = sized.withColumn("doc_length", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t{i}").alias("tokens")) for i, f in enumerate(fields))))
-    rows = sized.select("key", "doc_length", each.alias("f")).select("key", "doc_length", "f.field", F.posexplode("f.tokens").alias("position", "term"))
-    postings = rows.groupBy("term", "key", "field", "doc_length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    written = materialize(postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key"), "text-index")
+
+    def postings(part: DataFrame) -> DataFrame:
+        sized = part.select(F.col(f"`{key}`").alias("key"), *(t.alias(f"t{i}") for i, t in enumerate(tokens)))
+        sized = sized.withColumn("doc_length", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
+        each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t{i}").alias("tokens")) for i, f in enumerate(fields))))
+        return _postings_in_rows(sized.select("key", "doc_length", each.alias("f")).select("key", "doc_length", "f.field", "f.tokens"))
+
+    rows = _merged(df, key, postings).select("term", "key", "field", "doc_length", "positions")
+    written = materialize(rows.sortWithinPartitions("term", "key"), "text-index")
     stats = df.select(sum((F.size(t) for t in tokens), F.lit(0)).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     return TextIndex(written, fields, stats["n"], stats["mean"] or 1.0)
 
@@ -375,7 +409,11 @@ def field_snippets(index: TextIndex, df: DataFrame, key: str, query: str, width:
     best = F.array_max(F.transform("at", lambda p, i: F.struct(ahead(p, i).alias("n"), (-p).alias("minus"))))
     spots = hits.join(found.select("key"), "key", "left_semi").select("key", "field", "at", (-best["minus"]).alias("first"))
     texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias("text")) for f in index.fields)))
-    rows = df.select(F.col(key).alias("key"), texts.alias("f")).select("key", "f.field", "f.text").join(spots, ["key", "field"])
+    spots = materialize(spots, "snippet-spots")
+    held, own = spots.select(F.col("key").alias("__key")).distinct(), F.col(f"`{key}`") == F.col("__key")
+    if spots.count() <= BROADCAST_KEYS:  # only hits' texts are shuffled
+        df = df.join(F.broadcast(held), own, "left_semi")
+    rows = df.select(F.col(f"`{key}`").alias("key"), texts.alias("f")).select("key", "f.field", "f.text").join(spots, ["key", "field"])
     word = r"[\p{L}\p{N}\p{M}]+"
     pieces = F.regexp_extract_all("text", F.lit(f"({word}[^\\p{{L}}\\p{{N}}\\p{{M}}]*)"), 1)
     cut = rows.select("key", "field", "at", "first", F.size(pieces).alias("n"), F.slice(pieces, F.col("first") + 1, F.lit(width)).alias("pieces"))
