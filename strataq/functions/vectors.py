@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters whose words are hashed at once.
+HASHED = 1 << 20
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
@@ -45,20 +49,28 @@ def mean_pool(vectors: Column) -> Column:
 def text_hash(c: Column) -> Column:
     """A 63-bit fingerprint of a text's words: bits set in over half of their hashes (0 without words)."""
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
+    def hashes_of(texts: pd.Series) -> np.ndarray:
         split = texts.fillna("").str.lower().str.split()
         sizes = split.str.len().to_numpy(np.int64)
         flat = np.array([w for x in split for w in x], dtype=object)
         out = np.zeros(len(texts), np.int64)
         full = np.flatnonzero(sizes)
         if not len(full):
-            return pd.Series(out)
+            return out
         hashes = pd.util.hash_array(flat, categorize=True) >> np.uint64(1)
         starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
         for bit in range(63):
             held = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int64), starts)
             out[full] |= (2 * held > sizes[full]).astype(np.int64) << bit
+        return out
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        ends, at, out = np.cumsum(texts.str.len().fillna(0).to_numpy(np.int64)), 0, np.zeros(len(texts), np.int64)
+        while at < len(texts):  # texts of about HASHED characters together, or one longer
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASHED, side="right")))
+            out[at:to] = hashes_of(texts.iloc[at:to])
+            at = to
         return pd.Series(out)
 
     return run(c)

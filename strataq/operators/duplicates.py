@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +105,12 @@ def hamming_pairs(df: DataFrame, hash_col: str, distance: int, bits: int = 64) -
     """(a, b, d): hash values (a < b) within a distance, exactly; equal hashes are one value."""
     pairs, rows, cuts = _blocks(df, hash_col, distance, bits)
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = list(_near(frame, distance, cuts))
-        return pd.DataFrame({c: np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k, c in enumerate("abd")})
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = pa.Table.from_batches(list(parts)).to_pandas()  # two blocks at most
+        for found in _near(frame, distance, cuts):  # so that a task holds the pairs of a few rows alone
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "d"])
 
-    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int"))
+    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInArrow(compare, "a long, b long, d int"))
 
 
 def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataFrame:
