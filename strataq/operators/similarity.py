@@ -20,8 +20,8 @@ BLOCK = 4096
 PALETTE_MAX = 4096
 
 
-#: Scores that a task holds at once.
-SCORES = 1 << 22
+#: Scores that a task holds at once, and rows that it sends on at once.
+SCORES, ROWS = 1 << 20, 1 << 16
 
 
 def scores_of(goal: np.ndarray, own: np.ndarray, metric: str) -> np.ndarray:
@@ -106,7 +106,8 @@ def knn(vectors: DataFrame, queries: DataFrame, id_col: str, query_id: str, vect
 def best_per_group(vectors: DataFrame, queries: DataFrame, group: str, query_id: str, vector: str) -> DataFrame:
     """(query_id, group, score): the best cosine of each query with the vectors of each group, exactly.
 
-    Queries are broadcast in blocks of at most BLOCK; a task sends on a row per query and group of a batch.
+    Queries are broadcast in blocks of at most BLOCK. A task scores so many vectors at a time that their scores stay
+    within SCORES, keeps the best of each query and group so far, and sends them on when they are as many.
     """
     out, blocks = None, max(1, -(-queries.count() // BLOCK))
     kind = vectors.schema[group].dataType.simpleString()
@@ -119,19 +120,33 @@ def best_per_group(vectors: DataFrame, queries: DataFrame, group: str, query_id:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, goal = shared.value
+            held: dict[object, np.ndarray] = {}  # of each group, the best score of each query
+            step, many = max(1, SCORES // len(names)), max(1, ROWS // len(names))
+
+            def rows_of(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+                found = list(held)
+                for at in range(0, len(found), many):
+                    some = found[at : at + many]
+                    columns = [pa.array(np.tile(names, len(some))), pa.array(some, kind).take(pa.array(np.repeat(np.arange(len(some)), len(names)))), pa.array(np.concatenate([held[g] for g in some]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", group, "score"])
+                held.clear()
+
+            kind = None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                coded = batch.column(group).dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(codes, kind="stable")
-                heads = np.flatnonzero(np.diff(codes[order], prepend=-1))
-                length = np.linalg.norm(goal, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :]
-                score = np.where(length == 0, 0.0, goal @ own.T / np.where(length == 0, 1, length))
-                best = np.maximum.reduceat(score[:, order], heads, axis=1)
-                held = coded.dictionary.take(pa.array(np.tile(codes[order][heads], len(names))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(heads))), held, pa.array(best.ravel())], names=["query_id", group, "score"])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    own = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    coded = part.column(group).dictionary_encode()
+                    kind, codes = coded.dictionary.type, coded.indices.to_numpy(zero_copy_only=False)
+                    order = np.argsort(codes, kind="stable")
+                    heads = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                    best = np.maximum.reduceat(scores_of(goal, own[order], "cosine"), heads, axis=1)
+                    for i, g in enumerate(coded.dictionary.take(pa.array(codes[order][heads])).to_pylist()):
+                        held[g] = np.maximum(held[g], best[:, i]) if g in held else best[:, i].copy()
+                    if len(held) * len(names) > SCORES:
+                        yield from rows_of(kind)
+            if held:
+                yield from rows_of(kind)
 
         rows = vectors.select(F.col(group), F.col(vector).alias("v")).filter(F.col("v").isNotNull() & F.col(group).isNotNull()).mapInArrow(run, schema)
         out = rows if out is None else out.union(rows)
