@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,78 +50,154 @@ def group_order(groups: DataFrame, score: str = "n") -> DataFrame:
     return groups.orderBy(F.desc(score), "first", "id")
 
 
-#: Hashes of a band value that a plain join compares, at most; hashes compared at once beyond that.
-SMALL, BLOCK = 64, 4096
+#: Hashes of a band value that a plain join compares, at most; hashes that a task takes at once, and that it compares all
+#: with all; pairs that it holds.
+SMALL, CROWD, BLOCK, FOUND = 64, 1 << 18, 1024, 1 << 16
 
 
-def _blocks(df: DataFrame, hash_col: str, distance: int, bits: int) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
-    """(pairs, rows, bands' bits): pairs (a, b, d) within the distance of band values that SMALL hashes
-    share at most, and the hashes of the others by band, band value and pair of blocks.
+def _cut(bits: list[int], parts: int) -> list[tuple[int, list[int]]]:
+    """(mask, the other bits) of each of some bands of bits."""
+    edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    return [(int(np.uint64(sum(1 << b for b in bits[low:high])).view(np.int64)), bits[:low] + bits[high:]) for low, high in zip(edges, edges[1:])]
+
+
+def _place(path: int, distance: int, bits: int) -> tuple[int, list[int], list[int]]:
+    """(mask of the bits shared, the other bits, masks of earlier bands) of a path of bands within bands; the bands of
+    path p are p * (distance + 1) + 1 and so on, and path 0 has shared none."""
+    steps, shared, left, before = [], 0, list(range(bits)), []
+    while path:
+        path, step = divmod(path - 1, distance + 1)
+        steps.append(step)
+    for step in reversed(steps):
+        cuts = _cut(left, distance + 1)
+        before += [mask for mask, _ in cuts[:step]]
+        shared, left = shared | cuts[step][0], cuts[step][1]
+    return shared, left, before
+
+
+def _blocks(df: DataFrame, hash_col: str, distance: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows): pairs (a, b, d) within the distance of band values that SMALL hashes share at most,
+    and the hashes of the others by path and the bits they share.
 
     A value is cut into distance + 1 bands, of which two values within the distance share one; a pair
-    counts in the first band it shares. A band value that many hashes share is dealt over pairs of
-    blocks, so no group has more than two blocks.
+    counts in the first band it shares. A group of over CROWD hashes is dealt on by bands of its other bits,
+    where the same holds, until none is as large; a task cuts its group further in the same way.
     """
     values = df.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
     edges = [round(i * bits / (distance + 1)) for i in range(distance + 2)]
     cuts = list(zip(edges, edges[1:]))
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("v")) for i, (low, high) in enumerate(cuts)))
-    banded = materialize(values.select("h", F.explode(bands).alias("band")), "bands")
-    sizes = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    a = banded.join(sizes.filter(F.col("n") <= SMALL).select("band"), "band").select("band", F.col("h").alias("a"))
+    bands = F.array(*(F.struct(F.lit(i + 1).alias("path"), F.col("h").bitwiseAND(F.lit(_place(i + 1, distance, bits)[0])).alias("key")) for i in range(distance + 1)))
+    banded = materialize(values.select("h", F.explode(bands).alias("band")).select("band.path", "band.key", "h"), "bands")
+    count = lambda rows: materialize(rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band-sizes")
+    of = lambda rows, sizes: rows.join(sizes.select("path", "key"), ["path", "key"])
+    sizes = count(banded)
+    a = of(banded, sizes.filter(F.col("n") <= SMALL)).withColumnRenamed("h", "a")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     meets = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)
     for i, (low, high) in enumerate(cuts):
-        meets = meets & ((F.col("band.i") <= i) | (F.shiftrightunsigned(apart, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) != 0))
-    pairs = a.join(banded.select("band", F.col("h").alias("b")), "band").filter(meets).select("a", "b", hamming(F.col("a"), F.col("b")).cast("int").alias("d"))
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
-    rows = banded.join(sizes.filter(F.col("n") > SMALL), "band").withColumn("own", own).withColumn("met", F.explode(met))
-    return pairs, rows.select("band.i", "band.v", "met.x", "met.y", "own", "h"), cuts
-
-
-def _near(frame: pd.DataFrame, distance: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, d), a < b: values of a pair of blocks within the distance that share no earlier band."""
-    band, one, two = int(frame["i"].iloc[0]), int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
-    left = frame.loc[frame["own"] == one, "h"].to_numpy(np.int64)
-    right = frame.loc[frame["own"] == two, "h"].to_numpy(np.int64)
-    for at in range(0, len(left), 256):
-        part = left[at : at + 256]
-        apart = part[:, None] ^ right[None, :]
-        d = np.bitwise_count(apart.view(np.uint64))
-        hit = (d <= distance) & (d > 0)
-        for low, high in cuts[:band]:
-            hit &= (apart >> low) & ((1 << (high - low)) - 1) != 0
-        i, j = np.nonzero(hit)
-        a, b, d = part[i], right[j], d[i, j].astype(np.int32)
-        if one == two:  # each pair once
-            keep = a < b
-            a, b, d = a[keep], b[keep], d[keep]
-        yield np.minimum(a, b), np.maximum(a, b), d
+        meets = meets & ((F.col("path") <= i + 1) | (F.shiftrightunsigned(apart, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) != 0))
+    pairs = a.join(banded.withColumnRenamed("h", "b"), ["path", "key"]).filter(meets).select("a", "b", hamming(F.col("a"), F.col("b")).cast("int").alias("d"))
+    rows, level, first, sizes = [], banded, 1, sizes.filter(F.col("n") > SMALL)
+    while True:
+        fits = F.col("n") <= CROWD if len(_place(first, distance, bits)[1]) > distance else F.lit(True)
+        rows.append(of(level, sizes.filter(fits)))
+        over = sizes.filter(~fits)
+        if over.isEmpty():
+            break
+        first = first * (distance + 1) + 1
+        masks = F.array(*(F.lit(_place(first + p, distance, bits)[0]) for p in range(first * distance + 1)))
+        below = of(level, over).select(F.explode(F.sequence(F.col("path") * (distance + 1) + 1, (F.col("path") + 1) * (distance + 1))).alias("path"), "h")
+        level = materialize(below.select("path", F.col("h").bitwiseAND(F.get(masks, F.col("path") - first)).alias("key"), "h"), "bands")
+        sizes = count(level)
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return pairs, out
+
+
+def _runs(x: np.ndarray, ends: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) within the distance of runs of hashes; ends: where the run of each ends. All runs at once, by how far a
+    and b lie apart in theirs."""
+    at, apart = np.arange(len(x)), 0
+    while len(at):
+        apart += 1
+        kept = at + apart < ends
+        at, ends = at[kept], ends[kept]
+        hit = at[np.bitwise_count((x[at] ^ x[at + apart]).view(np.uint64)) <= distance]
+        yield x[hit], x[hit + apart]
+
+
+def _apart(a: np.ndarray, b: np.ndarray, before: list[int]) -> np.ndarray:
+    """Whether a and b differ in each of the earlier bands."""
+    out = np.ones(len(a), bool)
+    for mask in before:
+        out &= (a ^ b) & mask != 0
+    return out
+
+
+def _pairs(x: np.ndarray, left: list[int], before: list[int], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) within the distance of distinct hashes that differ in the bits left alone, and in each earlier band. Over BLOCK
+    hashes are cut into bands again; those that share one are compared, or cut in their turn."""
+    todo = [(x, left, before)]
+    while todo:
+        own, left, before = todo.pop()
+        if len(own) <= BLOCK or len(left) <= distance:
+            for at in range(0, len(own), 256):
+                i, j = np.nonzero(np.bitwise_count((own[at : at + 256, None] ^ own[None, at:]).view(np.uint64)) <= distance)
+                i, j = at + i[i < j], at + j[i < j]
+                kept = _apart(own[i], own[j], before)
+                yield own[i[kept]], own[j[kept]]
+            continue
+        for mask, others in _cut(left, distance + 1):
+            own = own[np.argsort(own & mask, kind="stable")]
+            key = own & mask
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(heads, append=len(own))
+            todo += [(own[h : h + n], others, list(before)) for h, n in zip(heads[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist())]
+            few = (sizes > 1) & (sizes <= BLOCK)
+            for a, b in _runs(own[np.repeat(few, sizes)], np.repeat(np.cumsum(sizes[few]), sizes[few]), distance):
+                kept = _apart(a, b, before)
+                yield a[kept], b[kept]
+            before = [*before, mask]
+
+
+def _near(x: np.ndarray, path: int, distance: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, d), a < b: pairs of a group within the distance that share no earlier band, about FOUND at a time."""
+    held, n = [], 0
+    _, left, before = _place(path, distance, bits)
+    for a, b in _pairs(x, left, before, distance):
+        if len(a):
+            held.append((np.minimum(a, b), np.maximum(a, b), np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int32)))
+            n += len(a)
+        if n >= FOUND:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def hamming_pairs(df: DataFrame, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
     """(a, b, d): hash values (a < b) within a distance, exactly; equal hashes are one value."""
-    pairs, rows, cuts = _blocks(df, hash_col, distance, bits)
+    pairs, rows = _blocks(df, hash_col, distance, bits)
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = pa.Table.from_batches(list(parts)).to_pandas()  # two blocks at most
-        for found in _near(frame, distance, cuts):  # so that a task holds the pairs of a few rows alone
+        group = pa.Table.from_batches(list(parts))  # CROWD hashes at most
+        for found in _near(group["h"].to_numpy(), group["path"][0].as_py(), distance, bits):  # so that a task holds few pairs
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "d"])
 
-    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInArrow(compare, "a long, b long, d int"))
+    return pairs.unionByName(rows.groupBy("path", "key").applyInArrow(compare, "a long, b long, d int"))
 
 
 def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataFrame:
-    """(a, b, d): for each value of each pair of blocks that has a partner there, an edge to the least of
-    its group, and the distance of its farthest partner: a row a member, and a row a pair only where SMALL
+    """(a, b, d): for each value of each group that has a partner there, an edge to the least of those it is
+    linked with, and the distance of its farthest partner: a row a member, and a row a pair only where SMALL
     hashes share a band at most."""
-    pairs, rows, cuts = _blocks(df, hash_col, distance, bits)
+    pairs, rows = _blocks(df, hash_col, distance, bits)
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(frame["h"].to_numpy(np.int64))
+    def compare(group: pa.Table) -> pa.Table:
+        values = np.sort(group["h"].to_numpy())
         label, worst = np.arange(len(values)), np.zeros(len(values), np.int32)
-        for a, b, d in _near(frame, distance, cuts):
+        for a, b, d in _near(values, group["path"][0].as_py(), distance, bits):
             a, b = np.searchsorted(values, a), np.searchsorted(values, b)
             np.maximum.at(worst, a, d)
             np.maximum.at(worst, b, d)
@@ -134,17 +209,17 @@ def _near_trees(df: DataFrame, hash_col: str, distance: int, bits: int) -> DataF
                 while (label[label] != label).any():
                     label = label[label]
         held = worst > 0
-        return pd.DataFrame({"a": values[label[held]], "b": values[held], "d": worst[held]})
+        return pa.table({"a": values[label[held]], "b": values[held], "d": worst[held]})
 
-    return pairs.unionByName(rows.groupBy("i", "v", "x", "y").applyInPandas(compare, "a long, b long, d int"))
+    return pairs.unionByName(rows.groupBy("path", "key").applyInArrow(compare, "a long, b long, d int"))
 
 
 def visual_groups(df: DataFrame, id_col: str, hash_col: str, distance: int, bits: int = 64) -> DataFrame:
     """(id, component, score): rows linked by near hashes; score from the worst edge."""
-    edges = materialize(_near_trees(df, hash_col, distance, bits), "near-hashes")
+    values = materialize(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null"), "hashes")  # computed once
+    edges = materialize(_near_trees(values, "h", distance, bits), "near-hashes")
     nodes = connected_components(edges, "a", "b")
     worst = edges.join(nodes.withColumnRenamed("node", "b"), "b").groupBy("component").agg(F.max("d").alias("worst"))
-    values = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null")
     placed = values.join(nodes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= 2").join(worst, "component", "left")
     score = F.expr("100 - (coalesce(worst, 0) * 100 + 32) div 64")

@@ -128,3 +128,39 @@ def test_candidates_of_repeated_chunks(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a"), (None, "a a b")], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, ["a", "b"], None)], "query_id long, tokens array<string>, more array<string>")
     assert {r.chunk_id: r.gated for r in retrieval.text_candidates(retrieval.chunk_index(df), queries).collect()} == {1: True, 2: False, None: True}
+
+
+@pytest.mark.parametrize("bits,crowd,leaf", [(12, 20, 4), (63, 30, 8), (64, 1 << 18, 8), (64, 5, 2)])
+def test_crowded_bands_are_cut_again(spark, bits, crowd, leaf, monkeypatch):
+    for name, value in {"SMALL": 2, "CROWD": crowd, "BLOCK": leaf, "FOUND": 5}.items():
+        monkeypatch.setattr(duplicates, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), 1 << 63, 3) if bits == 64 else rng.integers(0, 1 << bits, 3)
+    values = [int(b) for b in base] * 2 + [int(np.bitwise_xor.reduce([base[i % 3], *(np.uint64(1 << int(k)).view(np.int64) for k in rng.integers(0, bits, 4))])) for i in range(250)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, h long").repartition(3)
+    mask = (1 << 64) - 1
+    want = sorted((a, b, ((a ^ b) & mask).bit_count()) for a in set(values) for b in set(values) if a < b and ((a ^ b) & mask).bit_count() <= 3)
+    assert sorted((r.a, r.b, r.d) for r in duplicates.hamming_pairs(df, "h", 3, bits).collect()) == want
+    least = {v: v for v in values}
+    for _ in range(len(least)):
+        before = dict(least)
+        for a, b, _d in want:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    members, worst = {}, {}
+    for i, v in enumerate(values):
+        members.setdefault(least[v], []).append(i)
+    for a, _b, d in want:
+        worst[least[a]] = max(worst.get(least[a], 0), d)
+    groups = {i: (min(own), 100 - (worst.get(c, 0) * 100 + 32) // 64) for c, own in members.items() if len(own) > 1 for i in own}
+    assert {r.id: (r.component, r.score) for r in duplicates.visual_groups(df, "id", "h", 3, bits).collect()} == groups
+
+
+def test_hashes_of_a_crowded_band_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "SMALL", 2)
+    values = np.unique(np.random.default_rng(8).integers(0, 1 << 14, 9000)) << 20  # three of four bands share one value
+    _, rows = duplicates._blocks(spark.createDataFrame([(int(v),) for v in values], "h long"), "h", 3, 63)
+    assert rows.count() <= 4 * len(values)
+    near = sum(len(a) for a, _, _ in duplicates._near(values, 1, 3, 63))
+    assert near == sum(np.count_nonzero(np.bitwise_count(values[i] ^ values[i + 1 :]) <= 3) for i in range(len(values)))
