@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataq.functions import contours, vectors
@@ -164,3 +165,24 @@ def test_hashes_of_a_crowded_band_are_dealt_once(spark, monkeypatch):
     assert rows.count() <= 4 * len(values)
     near = sum(len(a) for a, _, _ in duplicates._near(values, 1, 3, 63))
     assert near == sum(np.count_nonzero(np.bitwise_count(values[i] ^ values[i + 1 :]) <= 3) for i in range(len(values)))
+
+
+def test_postings_are_scored_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = sorted({(int(c), int(t)) for c, t in rng.integers(0, (60, 9), (300, 2))})
+    table = pa.table({"chunk_id": [c for c, _ in rows], "no": pa.array([t for _, t in rows], pa.int32()), "tf": pa.array(rng.integers(1, 4, len(rows)), pa.int32()), "doc_length": pa.array([20 + c % 5 for c, _ in rows], pa.int32())})
+    terms = [[{"no": int(t), "own": int(i != 2), "df": 30} for i, t in enumerate(rng.choice(9, n, replace=False))] for n in (1, 2, 3, 5, 9)]
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("own", pa.int32()), ("df", pa.int64())]))
+    asked = retrieval._Asked(pa.table({"query_id": [10, 20, 30, 40, 50], "asked": pa.array([1, 2, 2, 4, 8], pa.int32()), "terms": pa.array(terms, kind)}), 60)
+
+    def best(size):
+        found = [row for part in retrieval._best_texts(asked, iter(table.to_batches(max_chunksize=size)), 21.0, 7) for row in zip(*(c.tolist() if isinstance(c, np.ndarray) else c.to_pylist() for c in part))]
+        return sorted(found)
+
+    whole = best(1000)
+    assert len(whole) == 35 and any(g for *_, g in whole) and not all(g for *_, g in whole)
+    held = {c: {t for d, t in rows if d == c} for c, _ in rows}
+    assert all(g == ({x["no"] for x in terms[q // 10 - 1] if x["own"]} <= held[c]) for q, c, _, g in whole)
+    for postings, size in ((1, 1), (7, 3), (40, 11), (1, 1000)):
+        monkeypatch.setattr(retrieval, "POSTINGS", postings)
+        assert best(size) == whole
